@@ -1,0 +1,64 @@
+"""Inputs derived from the generated tables, so that every registered query's
+work grows with the tables. Each rule is a plain expression of the table's own
+columns (mostly a key modulo n), and the oracle SQL derives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.session import read_table
+
+# Hostile URLs from the reference's own URL tests, added to the
+# crawled page URLs (ids below zero).
+URL_CASES = [
+    "http://127.0.0.1/secret",
+    "http://localhost/secret",
+    "http://169.254.169.254/",
+    "http://2130706433/secret",
+    "http://0x7f000001/secret",
+    "http://0/secret",
+    "http://2852039166/",
+    "http://0x7f.0.0.1/secret",
+    "https://example.com/article",
+    "ftp://example.com/file",
+    "not a url",
+    "http://[::1]/",
+    "http://metadata.google.internal/computeMetadata/v1/",
+    "https://fda.gov/",
+]
+
+MODES = ["tldr", "actions", "linkedin", "technical"]
+
+
+def hostile_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    cases = spark.createDataFrame([(-(i + 1), u) for i, u in enumerate(URL_CASES)], "page_id long, url string")
+    return pages.unionByName(cases)
+
+
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with category traits by doc_id % 5 (email header, unsubscribe,
+    issue number, salutation, unchanged)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    k = F.col("doc_id") % 5
+    text = (F.when(k == 0, F.concat(F.lit("From: a@b.c\n"), F.col("text")))
+            .when(k == 1, F.concat(F.col("text"), F.lit(" Unsubscribe")))
+            .when(k == 2, F.concat(F.col("text"), F.lit(" Issue #12")))
+            .when(k == 3, F.concat(F.lit("Dear "), F.col("text")))
+            .otherwise(F.col("text")))
+    return d.withColumn("text", text)
+
+
+def input_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as a command line would give them: every page URL; every
+    document as argument text, or piped with ``-`` when doc_id % 4 = 0."""
+    pages = read_table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id")).alias("request_id"),
+        F.array(F.col("url")).alias("args"), F.lit(None).cast("string").alias("piped"))
+    docs = read_table(spark, sf_dir, "documents")
+    pipe = F.col("doc_id") % 4 == 0
+    d = docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("request_id"),
+                    F.when(pipe, F.array(F.lit("-"))).otherwise(F.array(F.col("text"))).alias("args"),
+                    F.when(pipe, F.col("text")).alias("piped"))
+    return pages.unionByName(d)

@@ -1,0 +1,217 @@
+"""DuckDB SQL for each registered query: an independent statement of the same
+result over the same parquet views, used as the correctness oracle.
+
+Regex constants are shared with the Spark side where both engines read them the
+same way (RE2 and Java agree on \\A, \\z, \\x{..}); RE2 has no look-around, so
+those patterns are restated with groups here.
+"""
+
+from __future__ import annotations
+
+from textloom.functions.text import ASTRAL, EMAIL_RE, JS_WS
+from textloom.functions.url import AUTHORITY_RE, DEC_RE, FORBIDDEN_HOST_RE, HEX_RE, OCT_RE, SCHEME_RE
+
+ORACLE: dict[str, str] = {}
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def js_trim(x: str) -> str:
+    return f"regexp_replace({x}, {q(r'\A' + JS_WS + r'+|' + JS_WS + r'+\z')}, '', 'g')"
+
+
+def js_trim_end(x: str) -> str:
+    return f"regexp_replace({x}, {q(JS_WS + r'+\z')}, '', 'g')"
+
+
+def utf16_len(x: str) -> str:
+    return f"(length({x}) + length(regexp_replace({x}, {q('[^' + ASTRAL[1:])}, '', 'g')))"
+
+
+def bound(x: str, limit: int = 12000) -> str:
+    # No supplementary characters occur in the generated text, where code
+    # points and UTF-16 units agree; the length test counts units regardless.
+    return f"(CASE WHEN {utf16_len(x)} > {limit} THEN {js_trim_end(f'substr({x}, 1, {limit})')} ELSE {x} END)"
+
+
+def cut(x: str, limit: int = 12000) -> str:
+    return f"({utf16_len(x)} > {limit})"
+
+
+def html_text(x: str) -> str:
+    t = f"regexp_replace({x}, '(?is)<script.*?</script>', ' ', 'g')"
+    t = f"regexp_replace({t}, '(?is)<style.*?</style>', ' ', 'g')"
+    t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
+    for ent, ch in [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]:
+        t = f"replace({t}, {q(ent)}, {q(ch)})"
+    t = f"regexp_replace({t}, {q(JS_WS + '+')}, ' ', 'g')"
+    return js_trim(t)
+
+
+def is_html(x: str) -> str:
+    return (f"(starts_with({js_trim(f'lower({x})')}, '<!doctype html') "
+            f"OR contains(lower({x}), '<html'))")
+
+
+NEWSLETTER_SQL = ("(?i)(unsubscribe|newsletter|weekly update|daily digest|what you missed|issue"
+                  + JS_WS + r"+#?\d+|(^|[^A-Za-z0-9_])subscribe([^A-Za-z0-9_]|$)|read this email online)")
+
+
+def category(x: str) -> str:
+    return (f"(CASE WHEN regexp_matches({x}, {q(EMAIL_RE)}) THEN 'email' "
+            f"WHEN regexp_matches({x}, {q(NEWSLETTER_SQL)}) THEN 'newsletter' "
+            f"WHEN contains(lower({x}), 'dear ') THEN 'email' ELSE 'unknown' END)")
+
+
+HOSTILE_URLS = """(SELECT page_id, url FROM pages UNION ALL SELECT * FROM (VALUES
+ (-1, 'http://127.0.0.1/secret'), (-2, 'http://localhost/secret'), (-3, 'http://169.254.169.254/'),
+ (-4, 'http://2130706433/secret'), (-5, 'http://0x7f000001/secret'), (-6, 'http://0/secret'),
+ (-7, 'http://2852039166/'), (-8, 'http://0x7f.0.0.1/secret'), (-9, 'https://example.com/article'),
+ (-10, 'ftp://example.com/file'), (-11, 'not a url'), (-12, 'http://[::1]/'),
+ (-13, 'http://metadata.google.internal/computeMetadata/v1/'), (-14, 'https://fda.gov/')) v(page_id, url))"""
+
+
+def url_screen_sql(src: str, id_col: str, url_col: str) -> str:
+    """Columns: id, url, scheme, host, ok, reason (DuckDB)."""
+    num = (f"CASE WHEN regexp_matches(x, {q(HEX_RE)}) THEN (CASE WHEN length(x) = 2 THEN 0::BIGINT "
+           f"WHEN length(ltrim(substr(x, 3), '0')) > 9 THEN {1 << 40} ELSE ('0x' || substr(x, 3))::BIGINT END) "
+           f"WHEN regexp_matches(x, {q(OCT_RE)}) THEN (CASE WHEN length(ltrim(substr(x, 2), '0')) > 12 THEN {1 << 40} "
+           f"ELSE list_reduce(list_transform(string_split(substr(x, 2), ''), lambda c: c::BIGINT), "
+           f"lambda a, b: a * 8 + b, 0::BIGINT) END) "
+           f"WHEN regexp_matches(x, {q(DEC_RE)}) THEN (CASE WHEN length(x) > 11 THEN {1 << 40} ELSE x::BIGINT END) "
+           f"ELSE NULL END")
+
+    def private4(a: str, b: str) -> str:
+        return (f"({a} IN (0, 10, 127) OR {a} >= 224 OR ({a} = 169 AND {b} = 254) OR ({a} = 172 AND {b} BETWEEN 16 AND 31) "
+                f"OR ({a} = 192 AND {b} = 168) OR ({a} = 100 AND {b} BETWEEN 64 AND 127))")
+    dotted = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+    return f"""
+WITH u0 AS (SELECT {id_col} AS id, {url_col} AS url,
+    regexp_replace(regexp_replace({url_col}, '\\A[\\x00-\\x20]+|[\\x00-\\x20]+\\z', '', 'g'), '[\\t\\n\\r]', '', 'g') AS cu
+  FROM {src}),
+u1 AS (SELECT *, lower(regexp_extract(cu, {q(SCHEME_RE)}, 1)) AS scheme,
+    regexp_matches(cu, {q(AUTHORITY_RE)}) AS auth_ok,
+    lower(regexp_extract(cu, {q(AUTHORITY_RE)}, 1)) AS host,
+    regexp_extract(cu, {q(AUTHORITY_RE)}, 2) AS port FROM u0),
+u2 AS (SELECT *, starts_with(host, '[') AS br,
+    CASE WHEN starts_with(host, '[') THEN regexp_replace(host, '^\\[|\\]$', '', 'g') ELSE host END AS inner_host,
+    string_split(host, '.') AS raw_labels FROM u1),
+u3 AS (SELECT *, CASE WHEN len(raw_labels) > 1 AND raw_labels[len(raw_labels)] = ''
+      THEN list_slice(raw_labels, 1, len(raw_labels) - 1) ELSE raw_labels END AS labels FROM u2),
+u4 AS (SELECT *, list_transform(labels, lambda x: {num}) AS nums, len(labels) AS n,
+    labels[len(labels)] AS last_label FROM u3),
+u5 AS (SELECT *,
+    CASE WHEN br THEN NULL
+      WHEN NOT (last_label <> '' AND (regexp_matches(last_label, '^[0-9]+$') OR regexp_matches(last_label, {q(HEX_RE)}))) THEN NULL
+      WHEN len(list_filter(nums, lambda v: v IS NULL)) > 0 OR n > 4
+        OR len(list_filter(list_slice(nums, 1, n - 1), lambda v: v > 255)) > 0
+        OR nums[n] >= pow(256, 5 - n) THEN -1
+      ELSE list_reduce(list_slice(nums, 1, n - 1), lambda acc, v: acc * 256 + v, 0::BIGINT) * pow(256, 5 - n)::BIGINT + nums[n]
+    END AS addr FROM u4),
+u6 AS (SELECT *,
+    (scheme = '' OR (scheme IN ('http', 'https') AND NOT (auth_ok
+        AND (CASE WHEN br THEN regexp_matches(inner_host, '^[0-9a-f:.]+$') AND contains(inner_host, ':')
+                  ELSE host <> '' AND NOT regexp_matches(host, {q(FORBIDDEN_HOST_RE)}) END)
+        AND (port = '' OR (length(port) <= 5 AND TRY_CAST(port AS INTEGER) <= 65535))))
+      OR coalesce(addr = -1, false)) AS invalid,
+    floor(addr / 16777216) AS a, floor(addr / 65536) % 256 AS b,
+    CASE WHEN regexp_matches(substr(inner_host, 8), {q(dotted)}) THEN list_reduce(list_transform(
+      string_split(substr(inner_host, 8), '.'), lambda c: c::BIGINT), lambda x, y: x * 256 + y, 0::BIGINT) END AS maddr
+    FROM u5),
+u7 AS (SELECT *,
+    (host IN ('localhost', 'localhost.localdomain') OR host IN ('metadata', 'metadata.google.internal')
+     OR ends_with(host, '.metadata.google.internal')
+     OR coalesce(addr >= 0 AND {private4('a', 'b')}, false)
+     OR (br AND contains(inner_host, ':') AND (inner_host = '::1' OR starts_with(inner_host, 'fc')
+         OR starts_with(inner_host, 'fd') OR starts_with(inner_host, 'fe80') OR starts_with(inner_host, 'ff')
+         OR (starts_with(inner_host, '::ffff:') AND maddr IS NOT NULL
+             AND {private4('floor(maddr / 16777216)', 'floor(maddr / 65536) % 256')})))
+    ) AS private FROM u6)
+SELECT id, url, scheme, CASE WHEN NOT invalid THEN host END AS host,
+  CASE WHEN invalid THEN 'Invalid URL' WHEN scheme NOT IN ('http', 'https') THEN 'Only HTTP and HTTPS URLs are supported'
+       WHEN private THEN 'URL points to a private, local, or metadata address' END AS reason
+FROM u7"""
+
+
+def _url_screen_full(src: str, id_col: str, url_col: str) -> str:
+    return f"SELECT id, url, scheme, host, reason IS NULL AS ok, reason FROM ({url_screen_sql(src, id_col, url_col)})"
+
+
+ORACLE["page_text"] = f"""
+SELECT page_id, is_html, {cut('raw')} AS was_cut, {bound('raw')} AS text FROM (
+  SELECT page_id, ih AS is_html, CASE WHEN ih THEN {html_text('html')} ELSE html END AS raw
+  FROM (SELECT *, {is_html('html')} AS ih FROM pages))"""
+
+ORACLE["page_gate"] = f"""
+WITH s AS ({url_screen_sql('pages', 'page_id', 'url')}),
+g AS (SELECT p.page_id, p.url, p.html, s.reason AS ureason FROM pages p JOIN s ON s.id = p.page_id),
+h AS (SELECT *, CASE WHEN ureason IS NOT NULL THEN ureason
+    WHEN strlen(html) > 1000000 THEN 'URL content exceeds 1000000 bytes'
+    WHEN html IS NULL OR length(html) = 0 THEN 'Fetched URL returned empty content' END AS pre FROM g),
+r AS (SELECT *, CASE WHEN pre IS NULL THEN {is_html('html')} END AS ih FROM h),
+x AS (SELECT *, CASE WHEN ih THEN {html_text('html')} WHEN pre IS NULL THEN html END AS raw FROM r),
+y AS (SELECT *, {bound('raw')} AS bounded FROM x),
+z AS (SELECT *, coalesce(pre, CASE WHEN length({js_trim('bounded')}) = 0
+    THEN 'Fetched URL returned empty content after extraction' END) AS reason FROM y)
+SELECT page_id, url AS source, reason IS NULL AS ok, reason,
+  CASE WHEN reason IS NULL THEN ih END AS is_html,
+  CASE WHEN reason IS NULL THEN {cut('raw')} END AS was_cut,
+  CASE WHEN reason IS NULL THEN bounded END AS content
+FROM z"""
+
+ORACLE["bound_text"] = f"""
+SELECT doc_id, {utf16_len('t')} AS n_units, {cut('t')} AS was_cut, {bound('t')} AS content
+FROM (SELECT doc_id, {js_trim('text')} AS t FROM documents)"""
+
+ORACLE["url_screen"] = f"""
+SELECT id AS page_id, url, scheme, host, reason IS NULL AS ok, reason
+FROM ({url_screen_sql(HOSTILE_URLS, 'page_id', 'url')})"""
+
+ORACLE["url_reject_counts"] = f"""
+SELECT reason, count(*) AS n FROM ({url_screen_sql(HOSTILE_URLS, 'page_id', 'url')}) GROUP BY reason"""
+
+MIXED_DOCS = """(SELECT doc_id, lang, source, CASE doc_id % 5
+    WHEN 0 THEN 'From: a@b.c' || chr(10) || text WHEN 1 THEN text || ' Unsubscribe'
+    WHEN 2 THEN text || ' Issue #12' WHEN 3 THEN 'Dear ' || text ELSE text END AS text FROM documents)"""
+
+ORACLE["content_category"] = f"""
+SELECT doc_id, lang, source, {category('c')} AS category
+FROM (SELECT doc_id, lang, source, {bound(js_trim('text'))} AS c FROM {MIXED_DOCS})"""
+
+ORACLE["category_counts"] = f"""
+SELECT lang, source, category, count(*) AS n FROM ({ORACLE['content_category']}) GROUP BY ALL"""
+
+RESOLVED = f"""
+(WITH req AS (
+   SELECT 'p' || page_id AS request_id, [url] AS args, NULL::VARCHAR AS piped FROM pages
+   UNION ALL
+   SELECT 'd' || doc_id, CASE WHEN doc_id % 4 = 0 THEN ['-'] ELSE [text] END,
+          CASE WHEN doc_id % 4 = 0 THEN text END FROM documents),
+ snap AS ({ORACLE['page_gate']}),
+ k AS (SELECT r.*, r.args[1] AS first, len(r.args) AS n, s.url AS first_url,
+         CASE WHEN len(r.args) = 0 THEN 'stdin' WHEN r.args[1] = '' THEN 'empty' WHEN r.args[1] = '-' THEN 'stdin'
+              WHEN s.reason IS NULL OR s.reason = 'URL points to a private, local, or metadata address' THEN 'url'
+              ELSE 'argument' END AS kind
+       FROM req r LEFT JOIN ({url_screen_sql('(SELECT DISTINCT args[1] AS u FROM req)', 'u', 'u')}) s
+         ON s.url = r.args[1]),
+ j AS (SELECT k.*, g.source AS gsource, g.content AS gcontent, g.reason AS greason
+       FROM k LEFT JOIN snap g ON k.kind = 'url' AND g.source = k.first),
+ t AS (SELECT *, {js_trim("coalesce(piped, '')")} AS pt, {js_trim("array_to_string(args, ' ')")} AS jt FROM j),
+ v AS (SELECT *, CASE WHEN kind = 'empty' THEN 'No input provided'
+         WHEN kind = 'stdin' AND n > 0 AND length(pt) = 0 THEN 'No input provided via stdin'
+         WHEN kind = 'stdin' AND length(pt) = 0 THEN 'No input provided'
+         WHEN kind = 'url' THEN CASE WHEN gsource IS NULL THEN 'Failed to fetch URL: no snapshot' ELSE greason END
+         WHEN kind = 'argument' AND length(jt) = 0 THEN 'No input provided' END AS reason FROM t)
+ SELECT request_id, kind,
+   CASE WHEN reason IS NULL THEN CASE WHEN kind = 'stdin' THEN 'stdin' WHEN kind = 'url' THEN first ELSE 'argument' END END AS source,
+   reason IS NULL AS ok, reason,
+   CASE WHEN reason IS NULL THEN CASE WHEN kind = 'stdin' THEN {bound('pt')} WHEN kind = 'url' THEN gcontent
+        ELSE {bound('jt')} END END AS content
+ FROM v)"""
+
+ORACLE["resolve_inputs"] = f"SELECT * FROM {RESOLVED}"
+
+ORACLE["outcome_report"] = f"SELECT kind, reason, count(*) AS n FROM {RESOLVED} GROUP BY ROLLUP (kind, reason)"

@@ -1,0 +1,90 @@
+"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame over
+the whole generated tables (or rows Spark derives from them)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions.text import (bound_text, content_category, html_to_text, is_html, js_trim, utf16_length,
+                                     was_cut)
+from textloom.functions.url import with_url_screen
+from textloom.plans import derive
+from textloom.session import read_table
+from textloom.sources.inputs import resolve_inputs
+from textloom.sources.pages import page_snapshots
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(name: str):
+    def deco(fn):
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+# --- Step 2: pages, bounds, URL screen, categories, input resolution --------
+
+@query("page_text")
+def q_page_text(spark, sf):
+    """C2 -> C1 -> C3 on every page: sniff HTML, extract text, bound it."""
+    p = read_table(spark, sf, "pages")
+    raw = (p.withColumn("is_html", is_html(F.col("html")))
+           .withColumn("_raw", F.when(F.col("is_html"), html_to_text("html")).otherwise(F.col("html"))))
+    return raw.select("page_id", "is_html", was_cut("_raw").alias("was_cut"), bound_text("_raw").alias("text"))
+
+
+@query("page_gate")
+def q_page_gate(spark, sf):
+    p = read_table(spark, sf, "pages")
+    return page_snapshots(p).select("page_id", "source", "ok", "reason", "is_html", "was_cut", "content")
+
+
+@query("bound_text")
+def q_bound_text(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    t = js_trim("text")
+    return d.select("doc_id", utf16_length(t).alias("n_units"), was_cut(t).alias("was_cut"),
+                    bound_text(t).alias("content"))
+
+
+@query("url_screen")
+def q_url_screen(spark, sf):
+    u = with_url_screen(derive.hostile_urls(spark, sf), "url", prefix="")
+    return u.select("page_id", "url", "scheme", "host", "ok", "reason")
+
+
+@query("url_reject_counts")
+def q_url_reject_counts(spark, sf):
+    return (q_url_screen(spark, sf).groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("content_category")
+def q_content_category(spark, sf):
+    d = derive.mixed_documents(spark, sf)
+    return d.select("doc_id", "lang", "source", content_category(bound_text(js_trim("text"))).alias("category"))
+
+
+@query("category_counts")
+def q_category_counts(spark, sf):
+    return (q_content_category(spark, sf).groupBy("lang", "source", "category")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def _resolved(spark, sf) -> DataFrame:
+    snaps = page_snapshots(read_table(spark, sf, "pages"))
+    return resolve_inputs(derive.input_requests(spark, sf), snapshots=snaps)
+
+
+@query("resolve_inputs")
+def q_resolve_inputs(spark, sf):
+    return _resolved(spark, sf).select("request_id", "kind", "source", "ok", "reason", "content")
+
+
+@query("outcome_report")
+def q_outcome_report(spark, sf):
+    r = _resolved(spark, sf)
+    return (r.rollup("kind", "reason").agg(F.count(F.lit(1)).alias("n")))
