@@ -62,3 +62,47 @@ def input_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(pipe, F.array(F.lit("-"))).otherwise(F.array(F.col("text"))).alias("args"),
                     F.when(pipe, F.col("text")).alias("piped"))
     return pages.unionByName(d)
+
+
+def doc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents resolved as argument text: trimmed and bounded (as the
+    reference resolves an argument), with their detected category."""
+    from textloom.functions.text import bound_text, content_category, js_trim
+    d = mixed_documents(spark, sf_dir)
+    return (d.withColumn("content", bound_text(js_trim("text")))
+            .withColumn("category", content_category(F.col("content"))).drop("text"))
+
+
+def summary_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt variables per document: mode by doc_id % 4, an audience for
+    every third, a word limit for every other."""
+    d = doc_content(spark, sf_dir)
+    modes = F.array(*[F.lit(m) for m in MODES])
+    return (d.withColumn("mode", F.element_at(modes, (F.col("doc_id") % 4 + 1).cast("int")))
+            .withColumn("audience", F.when(F.col("doc_id") % 3 == 0, F.lit("engineers")))
+            .withColumn("max_length", F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 50 + 100).cast("int")))
+            .withColumn("source_label", F.lit("argument")))
+
+
+def bad_summary_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables with faults by rule: unknown mode (doc_id % 5 = 4), word
+    limits from -2 to 4, empty audience (doc_id % 11 = 0), empty content
+    (doc_id % 13 = 0)."""
+    d = summary_variables(spark, sf_dir)
+    k = F.col("doc_id")
+    return (d.withColumn("mode", F.when(k % 5 == 4, F.lit("verbose")).otherwise(F.col("mode")))
+            .withColumn("max_length", (k % 7 - 2).cast("int"))
+            .withColumn("audience", F.when(k % 11 == 0, F.lit("")).otherwise(F.col("audience")))
+            .withColumn("content", F.when(k % 13 == 0, F.lit("")).otherwise(F.col("content"))))
+
+
+def patch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches from documents: staged or commit by doc_id % 2; ref by doc_id % 3
+    (HEAD~1, none, main); extra instructions for doc_id % 5 = 0."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id")
+    return d.select(k.alias("patch_id"),
+                    F.when(k % 2 == 0, F.lit("staged")).otherwise(F.lit("commit")).alias("kind"),
+                    F.when(k % 3 == 0, F.lit("HEAD~1")).when(k % 3 == 2, F.lit("main")).alias("ref"),
+                    F.col("text").alias("diff"),
+                    F.when(k % 5 == 0, F.lit("Focus on security vulnerabilities")).alias("custom_prompt"))

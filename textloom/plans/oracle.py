@@ -215,3 +215,111 @@ RESOLVED = f"""
 ORACLE["resolve_inputs"] = f"SELECT * FROM {RESOLVED}"
 
 ORACLE["outcome_report"] = f"SELECT kind, reason, count(*) AS n FROM {RESOLVED} GROUP BY ROLLUP (kind, reason)"
+
+
+# --- Step 3: prompts --------------------------------------------------------
+from textloom.operators import prompts as P  # noqa: E402
+
+DOC_CONTENT = f"""(SELECT doc_id, lang, source, c AS content, {category('c')} AS category
+  FROM (SELECT doc_id, lang, source, {bound(js_trim('text'))} AS c FROM {MIXED_DOCS}))"""
+
+SUMMARY_VARS = f"""(SELECT *, ['tldr', 'actions', 'linkedin', 'technical'][doc_id % 4 + 1] AS mode,
+    CASE WHEN doc_id % 3 = 0 THEN 'engineers' END AS audience,
+    CASE WHEN doc_id % 2 = 0 THEN (doc_id % 50 + 100)::INT END AS max_length,
+    'argument' AS source_label FROM {DOC_CONTENT})"""
+
+BAD_SUMMARY_VARS = f"""(SELECT * REPLACE (
+    CASE WHEN doc_id % 5 = 4 THEN 'verbose' ELSE mode END AS mode,
+    (doc_id % 7 - 2)::INT AS max_length,
+    CASE WHEN doc_id % 11 = 0 THEN '' ELSE audience END AS audience,
+    CASE WHEN doc_id % 13 = 0 THEN '' ELSE content END AS content) FROM {SUMMARY_VARS})"""
+
+
+def _mode_case(m: str) -> str:
+    return "CASE " + " ".join(f"WHEN {m} = {q(k)} THEN {q(k + ': ' + v)}" for k, v in P.MODE_INSTRUCTIONS.items()) + " END"
+
+
+def _enum_issue(col: str, path: str, values: list[str], required: bool) -> str:
+    expected = " | ".join(f"'{v}'" for v in values)
+    bad = f"WHEN {col} NOT IN ({', '.join(q(v) for v in values)}) THEN {q(path + ': Invalid enum value. Expected ' + expected + ', received ' + chr(39))} || {col} || {q(chr(39))}"
+    req = f"WHEN {col} IS NULL THEN {q(path + ': Required')} " if required else ""
+    return f"CASE {req}{bad} END"
+
+
+SUMMARY_ISSUES = f"""list_filter([
+    CASE WHEN content IS NULL THEN 'content: Required' WHEN length(content) < 1 THEN 'content: content is required' END,
+    {_enum_issue('mode', 'mode', P.SUMMARY_MODES, True)},
+    CASE WHEN max_length <= 0 THEN 'maxLength: Number must be greater than 0' END,
+    CASE WHEN length(audience) < 1 THEN 'audience: String must contain at least 1 character(s)' END,
+    {_enum_issue('category', 'category', P.SUMMARY_CATEGORIES, False)},
+    CASE WHEN length(source_label) < 1 THEN 'source: String must contain at least 1 character(s)' END
+  ], lambda x: x IS NOT NULL)"""
+
+
+def _summary_rendered(src: str) -> str:
+    return f"""(SELECT *, CASE WHEN len(issues) > 0 THEN 'Validation failed for prompt "summarize-content": '
+      || array_to_string(issues, ', ') END AS reason FROM (SELECT *, {SUMMARY_ISSUES} AS issues FROM {src}))"""
+
+
+SUMMARY_USER = f"""'Summarize the following ' || CASE WHEN coalesce(category, 'unknown') = 'unknown' THEN 'content'
+    ELSE category END || ' from ' || coalesce(source_label, 'input') || '.' || chr(10) || chr(10)
+  || {q(P.SUMMARY_USER_HEAD)} || '- ' || {_mode_case('mode')}
+  || CASE WHEN len(cons) > 0 THEN chr(10) || '- ' || array_to_string(cons, chr(10) || '- ') ELSE '' END
+  || chr(10) || {q(P.SUMMARY_USER_TAIL)} || content || chr(10) || '---'"""
+
+ORACLE["summary_prompts"] = f"""
+SELECT doc_id, 'summarize-content' AS prompt_id, '1.0.0' AS prompt_version, mode, reason IS NULL AS ok,
+  CASE WHEN reason IS NULL THEN {q(P.SUMMARY_SYSTEM)} END AS system,
+  CASE WHEN reason IS NULL THEN {SUMMARY_USER} END AS user
+FROM (SELECT *, list_filter([CASE WHEN length(audience) > 0 THEN 'Write for ' || audience || '.' END,
+        CASE WHEN max_length <> 0 THEN 'Keep the summary within ' || max_length || ' words.' END],
+        lambda x: x IS NOT NULL) AS cons FROM {_summary_rendered(SUMMARY_VARS)})"""
+
+ORACLE["prompt_rejects"] = f"""
+SELECT doc_id, 'summarize-content' AS prompt_id, reason FROM {_summary_rendered(BAD_SUMMARY_VARS)}
+WHERE reason IS NOT NULL"""
+
+ORACLE["classify_prompts"] = f"""
+SELECT doc_id, 'classify-input' AS prompt_id, reason IS NULL AS ok, reason,
+  CASE WHEN reason IS NULL THEN {q(P.CLASSIFY_SYSTEM)} END AS system,
+  CASE WHEN reason IS NULL THEN 'Classify this content:' || chr(10) || chr(10) || '---' || chr(10) || content
+    || chr(10) || '---' END AS user
+FROM (SELECT *, CASE WHEN content IS NULL THEN 'Validation failed for prompt "classify-input": content: Required'
+        WHEN length(content) < 1 THEN 'Validation failed for prompt "classify-input": content: content is required'
+        END AS reason FROM {DOC_CONTENT})"""
+
+TRANSCRIPTS = f"""(SELECT conv_id, t AS transcript, length(t) > 0 AS ok,
+    CASE WHEN length(t) = 0 THEN 'No meeting notes provided.' END AS reason
+  FROM (SELECT conv_id, {js_trim("string_agg(text, chr(10) ORDER BY turn, text)")} AS t
+        FROM conversations GROUP BY conv_id))"""
+
+ORACLE["transcripts"] = f"SELECT * FROM {TRANSCRIPTS}"
+
+ORACLE["meeting_prompts"] = f"""
+SELECT conv_id, 'extract-meeting' AS prompt_id, reason IS NULL AS ok, reason,
+  CASE WHEN reason IS NULL THEN {q(P.MEETING_INSTRUCTIONS)} END AS system,
+  CASE WHEN reason IS NULL THEN 'Transcript:' || chr(10) || '\"\"\"' || chr(10) || transcript || chr(10) || '\"\"\"' END AS user
+FROM (SELECT conv_id, transcript, CASE WHEN transcript IS NULL
+        THEN 'Validation failed for prompt "extract-meeting": transcript: Required'
+        WHEN length(transcript) < 1 THEN 'Validation failed for prompt "extract-meeting": transcript: transcript is required'
+        END AS reason FROM {TRANSCRIPTS})"""
+
+PATCHES = f"""(SELECT doc_id AS patch_id, CASE WHEN doc_id % 2 = 0 THEN 'staged' ELSE 'commit' END AS kind,
+    CASE doc_id % 3 WHEN 0 THEN 'HEAD~1' WHEN 2 THEN 'main' END AS ref, text AS diff,
+    CASE WHEN doc_id % 5 = 0 THEN 'Focus on security vulnerabilities' END AS custom_prompt FROM documents)"""
+
+ORACLE["diff_prompts"] = f"""
+SELECT patch_id, kind, CASE WHEN reason IS NOT NULL THEN 'reject' WHEN strlen(d) > 8388608 THEN 'warn' ELSE 'ok' END AS status,
+  reason,
+  CASE WHEN reason IS NULL THEN 'Please analyze the following git diff (' ||
+    CASE WHEN kind = 'commit' AND length(ref) > 0 THEN ref ELSE 'staged changes' END || '):' || chr(10) || chr(10)
+    || d || chr(10) || chr(10) || {q(P.DIFF_REQUESTS)}
+    || CASE WHEN length(custom_prompt) > 0 THEN chr(10) || chr(10) || 'Additional instructions:' || chr(10) || custom_prompt
+       ELSE '' END END AS prompt
+FROM (SELECT *, CASE WHEN kind <> 'staged' AND coalesce(ref, '') = '' THEN 'Missing required ref for commit diff'
+        WHEN strlen(diff) > 10485760 THEN 'Diff too large (exceeds 10MB limit). Consider analyzing specific files or commits separately.'
+        WHEN length(d) = 0 THEN 'No changes found in diff' END AS reason
+      FROM (SELECT *, {js_trim("coalesce(diff, '')")} AS d FROM {PATCHES}))"""
+
+ORACLE["mode_prompts"] = f"""
+SELECT doc_id, mode, {_mode_case('mode')} AS instruction FROM {SUMMARY_VARS}"""

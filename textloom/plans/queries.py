@@ -13,7 +13,8 @@ from textloom.functions.text import (bound_text, content_category, html_to_text,
 from textloom.functions.url import with_url_screen
 from textloom.plans import derive
 from textloom.session import read_table
-from textloom.sources.inputs import resolve_inputs
+from textloom.operators.prompts import CLASSIFY, EXTRACT_MEETING, SUMMARIZE, diff_prompt, modes_table
+from textloom.sources.inputs import patches, resolve_inputs, transcripts
 from textloom.sources.pages import page_snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,58 @@ def q_resolve_inputs(spark, sf):
 def q_outcome_report(spark, sf):
     r = _resolved(spark, sf)
     return (r.rollup("kind", "reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- Step 3: prompts -------------------------------------------------------
+
+def _summary_render(df: DataFrame) -> DataFrame:
+    return SUMMARIZE.render(df, content="content", mode="mode", maxLength="max_length", audience="audience",
+                            category="category", source="source_label")
+
+
+@query("summary_prompts")
+def q_summary_prompts(spark, sf):
+    v = derive.summary_variables(spark, sf)
+    return _summary_render(v).select("doc_id", "prompt_id", "prompt_version", "mode", "ok", "system", "user")
+
+
+@query("prompt_rejects")
+def q_prompt_rejects(spark, sf):
+    v = derive.bad_summary_variables(spark, sf)
+    return _summary_render(v).where(~F.col("ok")).select("doc_id", "prompt_id", "reason")
+
+
+@query("classify_prompts")
+def q_classify_prompts(spark, sf):
+    d = derive.doc_content(spark, sf)
+    return CLASSIFY.render(d, content="content").select("doc_id", "prompt_id", "ok", "reason", "system", "user")
+
+
+@query("transcripts")
+def q_transcripts(spark, sf):
+    c = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return transcripts(c).select("conv_id", "transcript", "ok", "reason")
+
+
+@query("meeting_prompts")
+def q_meeting_prompts(spark, sf):
+    t = q_transcripts(spark, sf)
+    return EXTRACT_MEETING.render(t, transcript="transcript").select("conv_id", "prompt_id", "ok", "reason",
+                                                                     "system", "user")
+
+
+@query("diff_prompts")
+def q_diff_prompts(spark, sf):
+    p = patches(derive.patch_table(spark, sf))
+    ref = F.when(F.col("kind") == "commit", F.col("ref"))
+    return p.select("patch_id", "kind", "status", "reason",
+                    F.when(F.col("reason").isNull(), diff_prompt(F.col("patch"), ref, F.col("custom_prompt")))
+                    .alias("prompt"))
+
+
+@query("mode_prompts")
+def q_mode_prompts(spark, sf):
+    """Each document's mode joined to the 4-row mode table (broadcast:
+    the dimension is fixed at 4 rows)."""
+    v = derive.summary_variables(spark, sf).select("doc_id", "mode")
+    return v.join(F.broadcast(modes_table(spark)), "mode", "left").select("doc_id", "mode", "instruction")
