@@ -106,3 +106,49 @@ def patch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(k % 3 == 0, F.lit("HEAD~1")).when(k % 3 == 2, F.lit("main")).alias("ref"),
                     F.col("text").alias("diff"),
                     F.when(k % 5 == 0, F.lit("Focus on security vulnerabilities")).alias("custom_prompt"))
+
+
+def provider_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing requests from customers: explicit provider by c_custkey % 9
+    (six known names, an upper-case name, an unknown name, none); environment
+    default, key presence, hosts, base URLs and models by further key rules."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    names = F.array(*[F.lit(x) for x in ["openai", "anthropic", "ollama", "openrouter", "opencode", "mock",
+                                         "OpenAI", "bogus"]])
+    return c.select(
+        k.alias("request_id"),
+        F.try_element_at(names, (k % 9 + 1).cast("int")).alias("provider"),
+        F.when(n % 5 == 0, F.lit("anthropic")).alias("default_provider"),
+        (k % 11 == 0).alias("has_api_key"),
+        (F.col("c_mktsegment") == "BUILDING").alias("has_generic_key"),
+        (F.col("c_acctbal") > 5000).alias("has_openai_key"),
+        (n % 2 == 0).alias("has_anthropic_key"),
+        F.when(n % 3 == 0, F.lit("http://gpu-box:11434/")).alias("ollama_host"),
+        (k % 4 == 0).alias("has_openrouter_key"),
+        F.when(k % 10 == 0, F.lit("https://proxy.example.com/v1/")).alias("base_url"),
+        F.when(k % 6 == 0, F.lit("custom-model")).alias("model"),
+        F.when(k % 7 == 0, F.lit("env-model")).alias("env_model"),
+        F.when(n % 4 == 0, F.lit("qwen2")).alias("ollama_model"))
+
+
+TEMPERATURE_TEXTS = ["0", "2", "0.5", "hot", "Infinity", "0.5junk", "-1", "3", "", "--json", " 1.5 ", "0x1",
+                     "1e0", "NaN", ".5"]
+
+
+def meeting_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meeting requests from conversations (one per conversation): OpenRouter
+    flag, base URL, key presence, model and temperature text by conv_id rules."""
+    c = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    k = F.col("conv_id")
+    temps = F.array(*[F.lit(t) for t in TEMPERATURE_TEXTS])
+    return c.select(
+        k.alias("request_id"),
+        (k % 4 == 1).alias("openrouter"),
+        F.when(k % 5 == 2, F.lit("https://openrouter.ai/api/v1")).when(k % 5 == 3, F.lit("https://llm.example.com/v1"))
+        .alias("base_url"),
+        (k % 3 != 0).alias("has_openai_key"),
+        (k % 2 == 0).alias("has_openrouter_key"),
+        F.when(k % 6 == 0, F.lit("gpt-4.1")).alias("model"),
+        F.when(k % 17 == 0, F.lit(None)).otherwise(F.element_at(temps, (k % len(TEMPERATURE_TEXTS) + 1).cast("int")))
+        .alias("temperature"))

@@ -323,3 +323,95 @@ FROM (SELECT *, CASE WHEN kind <> 'staged' AND coalesce(ref, '') = '' THEN 'Miss
 
 ORACLE["mode_prompts"] = f"""
 SELECT doc_id, mode, {_mode_case('mode')} AS instruction FROM {SUMMARY_VARS}"""
+
+
+# --- Step 4: routing ----------------------------------------------------------
+from textloom.operators import routing as R  # noqa: E402
+from textloom.plans.derive import TEMPERATURE_TEXTS  # noqa: E402
+
+PROVIDERS_SQL = "(VALUES " + ", ".join(
+    "(" + ", ".join("NULL" if x is None else q(x) for x in row) + ")" for row in R.PROVIDERS
+) + ") pv(p, default_model, default_base_url, path, key_message)"
+
+PROVIDER_REQ = """(SELECT c_custkey AS request_id,
+    ['openai', 'anthropic', 'ollama', 'openrouter', 'opencode', 'mock', 'OpenAI', 'bogus'][c_custkey % 9 + 1] AS provider,
+    CASE WHEN c_nationkey % 5 = 0 THEN 'anthropic' END AS default_provider,
+    c_custkey % 11 = 0 AS has_api_key, c_mktsegment = 'BUILDING' AS has_generic_key, c_acctbal > 5000 AS has_openai_key,
+    c_nationkey % 2 = 0 AS has_anthropic_key, CASE WHEN c_nationkey % 3 = 0 THEN 'http://gpu-box:11434/' END AS ollama_host,
+    c_custkey % 4 = 0 AS has_openrouter_key,
+    CASE WHEN c_custkey % 10 = 0 THEN 'https://proxy.example.com/v1/' END AS base_url,
+    CASE WHEN c_custkey % 6 = 0 THEN 'custom-model' END AS model,
+    CASE WHEN c_custkey % 7 = 0 THEN 'env-model' END AS env_model,
+    CASE WHEN c_nationkey % 4 = 0 THEN 'qwen2' END AS ollama_model FROM customer)"""
+
+ORACLE["route_requests"] = f"""
+WITH r AS (SELECT *, lower(coalesce(nullif(provider, ''), nullif(default_provider, ''),
+    CASE WHEN has_api_key OR has_generic_key OR has_openai_key THEN 'openai' END,
+    CASE WHEN has_anthropic_key THEN 'anthropic' END, CASE WHEN length(ollama_host) > 0 THEN 'ollama' END,
+    CASE WHEN has_openrouter_key THEN 'openrouter' END)) AS route FROM {PROVIDER_REQ}),
+j AS (SELECT * FROM r LEFT JOIN {PROVIDERS_SQL} ON r.route = pv.p),
+k AS (SELECT *, CASE WHEN route IS NULL THEN {q(R.NO_PROVIDER)} WHEN p IS NULL THEN 'Unknown provider: ' || route
+    WHEN route IN ('openai', 'anthropic', 'openrouter') AND NOT (has_api_key OR has_generic_key OR
+      CASE route WHEN 'openai' THEN has_openai_key WHEN 'anthropic' THEN has_anthropic_key ELSE has_openrouter_key END)
+    THEN key_message END AS reason,
+  regexp_replace(coalesce(base_url, CASE WHEN route = 'ollama' THEN ollama_host END, default_base_url), '/$', '') AS base
+  FROM j)
+SELECT request_id, route AS provider, reason IS NULL AS ok, reason,
+  CASE WHEN reason IS NULL THEN CASE WHEN route = 'ollama' THEN coalesce(model, ollama_model, default_model)
+    WHEN route = 'mock' THEN NULL ELSE coalesce(model, env_model, default_model) END END AS model,
+  CASE WHEN reason IS NULL AND path IS NOT NULL THEN base END AS base_url,
+  CASE WHEN reason IS NULL AND path IS NOT NULL THEN base || path END AS endpoint
+FROM k"""
+
+ORACLE["request_payloads"] = f"""
+WITH v AS (SELECT *, ['openai', 'anthropic', 'ollama', 'openrouter', 'opencode'][doc_id % 5 + 1] AS provider
+           FROM ({ORACLE['summary_prompts']}) WHERE ok),
+j AS (SELECT v.*, pv.default_model AS m FROM v LEFT JOIN {PROVIDERS_SQL} ON v.provider = pv.p)
+SELECT doc_id, provider, CASE
+  WHEN provider IN ('openai', 'openrouter') THEN to_json({{'model': m, 'messages': [{{'role': 'system', 'content': system}},
+      {{'role': 'user', 'content': "user"}}], 'temperature': 0.1::DOUBLE, 'stream': true,
+      'response_format': {{'type': 'json_object'}}}})::VARCHAR
+  WHEN provider = 'anthropic' THEN to_json({{'model': m, 'system': system, 'messages': [{{'role': 'user', 'content': "user"}}],
+      'temperature': 0.1::DOUBLE, 'max_tokens': 2048, 'stream': true}})::VARCHAR
+  WHEN provider = 'ollama' THEN to_json({{'model': m, 'messages': [{{'role': 'system', 'content': system}},
+      {{'role': 'user', 'content': "user"}}], 'stream': true, 'format': 'json', 'options': {{'temperature': 0.1::DOUBLE}}}})::VARCHAR
+  WHEN provider = 'opencode' THEN system || chr(10) || chr(10) || "user" END::VARCHAR AS body
+FROM j"""
+
+_TEMPS = "[" + ", ".join(q(t) for t in TEMPERATURE_TEXTS) + "]"
+_WS_T = js_trim("temperature")
+
+ORACLE["meeting_route"] = f"""
+WITH req AS (SELECT DISTINCT conv_id AS request_id, conv_id % 4 = 1 AS openrouter,
+    CASE WHEN conv_id % 5 = 2 THEN 'https://openrouter.ai/api/v1' WHEN conv_id % 5 = 3 THEN 'https://llm.example.com/v1' END AS base_url,
+    conv_id % 3 <> 0 AS has_openai_key, conv_id % 2 = 0 AS has_openrouter_key,
+    CASE WHEN conv_id % 6 = 0 THEN 'gpt-4.1' END AS model,
+    CASE WHEN conv_id % 17 = 0 THEN NULL ELSE {_TEMPS}[conv_id % {len(TEMPERATURE_TEXTS)} + 1] END AS temperature
+  FROM conversations),
+n AS (SELECT *, {_WS_T} AS t FROM req),
+v AS (SELECT *, CASE WHEN t = '' THEN 0.0::DOUBLE
+    WHEN regexp_matches(t, '^[+]?Infinity$') THEN 'inf'::DOUBLE WHEN t = '-Infinity' THEN '-inf'::DOUBLE
+    WHEN regexp_matches(t, {q(R.JS_DECIMAL)}) THEN TRY_CAST(t AS DOUBLE)
+    WHEN regexp_matches(t, '^0[xX][0-9a-fA-F]{{1,15}}$') THEN ('0x' || substr(t, 3))::BIGINT::DOUBLE
+    ELSE 'nan'::DOUBLE END AS num FROM n),
+w AS (SELECT *, coalesce(openrouter, false) OR coalesce(contains(base_url, 'openrouter.ai'), false) AS use_or,
+    coalesce(contains(base_url, 'openrouter.ai'), false) AS is_or_base FROM v),
+x AS (SELECT *, coalesce(
+    CASE WHEN temperature IS NULL THEN NULL WHEN temperature = '' OR starts_with(temperature, '--') THEN '--temperature requires a value'
+      WHEN isnan(num) OR isinf(num) THEN '--temperature must be a finite number'
+      WHEN num < 0 OR num > 2 THEN '--temperature must be between 0 and 2' END,
+    CASE WHEN (CASE WHEN openrouter THEN has_openrouter_key WHEN is_or_base THEN has_openrouter_key OR has_openai_key
+                    ELSE has_openai_key END) THEN NULL
+      WHEN openrouter THEN 'OPENROUTER_API_KEY is not set.'
+      WHEN is_or_base THEN 'OPENAI_API_KEY or OPENROUTER_API_KEY is not set.'
+      ELSE 'OPENAI_API_KEY is not set.' END) AS reason FROM w)
+SELECT request_id, reason IS NULL AS ok, reason, use_or AS use_openrouter,
+  CASE WHEN reason IS NULL THEN coalesce(base_url, CASE WHEN use_or THEN 'https://openrouter.ai/api/v1' END) END AS base_url,
+  CASE WHEN reason IS NULL THEN coalesce(model, CASE WHEN use_or THEN 'openrouter/free' END, 'gpt-4o-2024-08-06') END AS model,
+  CASE WHEN reason IS NULL THEN CASE WHEN temperature IS NULL THEN 0.1 ELSE num END END AS temperature
+FROM x"""
+
+ORACLE["mock_responses"] = f"""
+SELECT doc_id AS response_id, (i - 1)::INT AS seq, pieces[i] AS delta
+FROM documents, (SELECT regexp_extract_all({q(R.MOCK_RESPONSE)}, '.{{1,20}}') AS pieces) m,
+  range(1, len(m.pieces) + 1) AS r(i)"""

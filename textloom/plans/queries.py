@@ -14,6 +14,7 @@ from textloom.functions.url import with_url_screen
 from textloom.plans import derive
 from textloom.session import read_table
 from textloom.operators.prompts import CLASSIFY, EXTRACT_MEETING, SUMMARIZE, diff_prompt, modes_table
+from textloom.operators.routing import meeting_route, mock_responses, providers_table, request_body, route_requests
 from textloom.sources.inputs import patches, resolve_inputs, transcripts
 from textloom.sources.pages import page_snapshots
 
@@ -144,3 +145,41 @@ def q_mode_prompts(spark, sf):
     the dimension is fixed at 4 rows)."""
     v = derive.summary_variables(spark, sf).select("doc_id", "mode")
     return v.join(F.broadcast(modes_table(spark)), "mode", "left").select("doc_id", "mode", "instruction")
+
+
+# --- Step 4: routing, request bodies, mock responder ------------------------
+
+def _routed(spark, sf) -> DataFrame:
+    return route_requests(derive.provider_requests(spark, sf), providers_table(spark))
+
+
+@query("route_requests")
+def q_route_requests(spark, sf):
+    return _routed(spark, sf).select("request_id", F.col("route").alias("provider"), "ok", "reason",
+                                     F.col("resolved_model").alias("model"),
+                                     F.col("resolved_base_url").alias("base_url"), "endpoint")
+
+
+@query("request_payloads")
+def q_request_payloads(spark, sf):
+    """Every valid summary prompt, sent to a provider chosen by doc_id % 5."""
+    v = _summary_render(derive.summary_variables(spark, sf)).where(F.col("ok"))
+    names = F.array(*[F.lit(x) for x in ["openai", "anthropic", "ollama", "openrouter", "opencode"]])
+    v = v.withColumn("provider", F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")))
+    p = F.broadcast(providers_table(spark).select(F.col("provider").alias("_p"), "default_model"))
+    v = v.join(p, F.col("provider") == F.col("_p"), "left")
+    return v.select("doc_id", "provider", request_body(F.col("provider"), F.col("default_model"), F.col("system"),
+                                                       F.col("user")).alias("body"))
+
+
+@query("meeting_route")
+def q_meeting_route(spark, sf):
+    r = meeting_route(derive.meeting_requests(spark, sf))
+    return r.select("request_id", "ok", "reason", "use_openrouter", F.col("resolved_base_url").alias("base_url"),
+                    F.col("resolved_model").alias("model"), F.col("resolved_temperature").alias("temperature"))
+
+
+@query("mock_responses")
+def q_mock_responses(spark, sf):
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("response_id"))
+    return mock_responses(d, "response_id")
