@@ -152,3 +152,64 @@ def meeting_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 6 == 0, F.lit("gpt-4.1")).alias("model"),
         F.when(k % 17 == 0, F.lit(None)).otherwise(F.element_at(temps, (k % len(TEMPERATURE_TEXTS) + 1).cast("int")))
         .alias("temperature"))
+
+
+WIRE_PROVIDERS = ["openai", "anthropic", "ollama"]
+CHUNK_BYTES = 17
+
+
+def conversation_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation turn as a streamed answer: pieces of at most 20 code
+    points (newlines included), provider by conv_id % 3."""
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    names = F.array(*[F.lit(x) for x in WIRE_PROVIDERS])
+    return (c.withColumn("provider", F.element_at(names, (F.col("conv_id") % 3 + 1).cast("int")))
+            .withColumn("pieces", F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")),
+                                                       F.lit("(?s).{1,20}"), 0)))
+
+
+def wire_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per wire line: (conv_id, turn, provider, seq, line, is_tail);
+    every answer ends with its provider's end marker, which is the tail."""
+    from textloom.operators.responses import END_MARKERS, to_wire_lines
+    p = conversation_pieces(spark, sf_dir)
+    body = (p.select("conv_id", "turn", "provider", F.posexplode("pieces").alias("seq", "delta"))
+            .withColumn("line", to_wire_lines(None, F.col("provider")))
+            .withColumn("is_tail", F.lit(False)).drop("delta"))
+    marker = F.when(F.col("provider") == "openai", F.lit(END_MARKERS["openai"])) \
+        .when(F.col("provider") == "anthropic", F.lit(END_MARKERS["anthropic"])) \
+        .otherwise(F.lit(END_MARKERS["ollama"]))
+    ends = p.select("conv_id", "turn", "provider", F.size("pieces").alias("seq"), marker.alias("line"),
+                    F.lit(True).alias("is_tail"))
+    return body.unionByName(ends)
+
+
+def byte_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer's wire text (Anthropic lines preceded by SSE event lines),
+    as UTF-8 bytes cut every 17 bytes, so lines and characters straddle
+    chunks: (conv_id, turn, provider, chunk_no, bytes)."""
+    from textloom.operators.responses import END_MARKERS, SSE_PREFIX
+    p = conversation_pieces(spark, sf_dir)
+
+    def wire(x):
+        openai = F.concat(F.lit(SSE_PREFIX), F.to_json(F.struct(F.array(F.struct(
+            F.struct(x.alias("content")).alias("delta"))).alias("choices"))))
+        anthropic = F.concat(F.lit("event: content_block_delta\n" + SSE_PREFIX),
+                             F.to_json(F.struct(F.lit("content_block_delta").alias("type"),
+                                                F.struct(F.lit("text_delta").alias("type"),
+                                                         x.alias("text")).alias("delta"))))
+        ollama = F.to_json(F.struct(F.struct(F.lit("assistant").alias("role"), x.alias("content")).alias("message"),
+                                    F.lit(False).alias("done")))
+        return (F.when(F.col("provider") == "openai", openai).when(F.col("provider") == "anthropic", anthropic)
+                .otherwise(ollama))
+    marker = F.when(F.col("provider") == "openai", F.lit(END_MARKERS["openai"])) \
+        .when(F.col("provider") == "anthropic", F.lit(END_MARKERS["anthropic"])) \
+        .otherwise(F.lit(END_MARKERS["ollama"]))
+    full = F.concat(F.array_join(F.transform("pieces", wire), "\n"),
+                    F.when(F.size("pieces") > 0, F.lit("\n")).otherwise(F.lit("")), marker)
+    b = p.select("conv_id", "turn", "provider", F.encode(full, "UTF-8").alias("_b"))
+    n = F.ceil(F.octet_length("_b") / CHUNK_BYTES).cast("int")
+    return (b.select("conv_id", "turn", "provider", "_b",
+                     F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("chunk_no"))
+            .select("conv_id", "turn", "provider", "chunk_no",
+                    F.substring("_b", F.col("chunk_no") * CHUNK_BYTES + 1, CHUNK_BYTES).alias("bytes")))

@@ -415,3 +415,9 @@ ORACLE["mock_responses"] = f"""
 SELECT doc_id AS response_id, (i - 1)::INT AS seq, pieces[i] AS delta
 FROM documents, (SELECT regexp_extract_all({q(R.MOCK_RESPONSE)}, '.{{1,20}}') AS pieces) m,
   range(1, len(m.pieces) + 1) AS r(i)"""
+
+
+# --- Step 5: stream round trips: the expected text is the source text --------
+for _name, _k in [("openai_text", 0), ("anthropic_text", 1), ("ollama_text", 2)]:
+    ORACLE[_name] = f"SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE conv_id % 3 = {_k}"
+ORACLE["reframed_text"] = "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations"

@@ -14,6 +14,7 @@ from textloom.functions.url import with_url_screen
 from textloom.plans import derive
 from textloom.session import read_table
 from textloom.operators.prompts import CLASSIFY, EXTRACT_MEETING, SUMMARIZE, diff_prompt, modes_table
+from textloom.operators.responses import assemble, json_conf, reframe, wire_deltas
 from textloom.operators.routing import meeting_route, mock_responses, providers_table, request_body, route_requests
 from textloom.sources.inputs import patches, resolve_inputs, transcripts
 from textloom.sources.pages import page_snapshots
@@ -183,3 +184,34 @@ def q_meeting_route(spark, sf):
 def q_mock_responses(spark, sf):
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("response_id"))
     return mock_responses(d, "response_id")
+
+
+# --- Step 5: stream formats, re-framing, assembly ---------------------------
+
+def _provider_text(spark, sf, provider: str) -> DataFrame:
+    json_conf(spark)
+    lines = derive.wire_lines(spark, sf).where(F.col("provider") == provider)
+    return assemble(wire_deltas(lines), ["conv_id", "turn"])
+
+
+@query("openai_text")
+def q_openai_text(spark, sf):
+    return _provider_text(spark, sf, "openai")
+
+
+@query("anthropic_text")
+def q_anthropic_text(spark, sf):
+    return _provider_text(spark, sf, "anthropic")
+
+
+@query("ollama_text")
+def q_ollama_text(spark, sf):
+    return _provider_text(spark, sf, "ollama")
+
+
+@query("reframed_text")
+def q_reframed_text(spark, sf):
+    """T1 -> T2..T4 -> A1 from 17-byte chunks back to each turn's text."""
+    json_conf(spark)
+    lines = reframe(derive.byte_chunks(spark, sf), ["conv_id", "turn", "provider"])
+    return assemble(wire_deltas(lines), ["conv_id", "turn"])
