@@ -213,3 +213,79 @@ def byte_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("chunk_no"))
             .select("conv_id", "turn", "provider", "chunk_no",
                     F.substring("_b", F.col("chunk_no") * CHUNK_BYTES + 1, CHUNK_BYTES).alias("bytes")))
+
+
+def _wrap_answer(json_text, k):
+    """An answer around a JSON text by k = id % 6: plain, fenced, in prose,
+    prose with braces first, truncated, none."""
+    return (F.when(k == 0, json_text)
+            .when(k == 1, F.concat(F.lit("```json\n"), json_text, F.lit("\n```")))
+            .when(k == 2, F.concat(F.lit("Here is the summary: "), json_text, F.lit(" Hope this helps.")))
+            .when(k == 3, F.concat(F.lit("Use {braces} carefully. "), json_text))
+            .when(k == 4, json_text.substr(F.lit(1), F.length(json_text) - 5))
+            .otherwise(F.lit("I cannot summarize this.")))
+
+
+def summary_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Summary answer per document, built from the document and its label
+    (importance from quality; an action item when toxic), wrapped by
+    doc_id % 6. Some carry faults by rule: no title (doc_id % 4 = 0), empty
+    summary (doc_id % 17 = 0), unknown category (doc_id % 7 = 0)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    k = F.col("doc_id")
+    cats = F.array(*[F.lit(x) for x in ["article", "email", "newsletter", "unknown"]])
+    obj = F.struct(
+        F.when(k % 4 != 0, F.concat(F.lit("Doc "), k.cast("string"))).alias("title"),
+        F.when(k % 17 == 0, F.lit("")).otherwise(F.substring("text", 1, 60)).alias("summary"),
+        F.array(F.col("lang"), F.col("source")).alias("key_points"),
+        F.when(F.col("toxic") == 1, F.array(F.lit("Review flagged content"))).otherwise(F.array().cast("array<string>"))
+        .alias("action_items"),
+        F.when(k % 7 == 0, F.lit("memo")).otherwise(F.element_at(cats, (k % 4 + 1).cast("int"))).alias("category"),
+        F.when(F.col("quality") == 1, F.lit("high")).when(F.col("quality") == 0, F.lit("low"))
+        .otherwise(F.lit("medium")).alias("importance"))
+    j = d.join(lab, "doc_id", "left").select(k.alias("doc_id"), F.to_json(obj).alias("_j"))
+    return j.select("doc_id", _wrap_answer(F.col("_j"), k % 6).alias("raw"))
+
+
+def class_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classification answer per document: class by doc_id % 6, confidence
+    (doc_id % 12) / 10 (so some exceed 1), fenced when doc_id is even."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    k = F.col("doc_id")
+    cats = F.array(*[F.lit(x) for x in ["article", "meeting", "git-diff", "email", "code", "unknown"]])
+    obj = F.to_json(F.struct(F.element_at(cats, (k % 6 + 1).cast("int")).alias("category"),
+                             ((k % 12) / 10.0).cast("double").alias("confidence"),
+                             F.concat(F.lit("lang "), F.col("lang")).alias("reason")))
+    raw = F.when(k % 2 == 0, F.concat(F.lit("```json\n"), obj, F.lit("\n```"))).otherwise(obj)
+    return d.select("doc_id", raw.alias("raw"))
+
+
+def meeting_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A meeting answer per conversation: action items from assistant turns
+    (owner = role, task = first 30 characters, due = "turn <n>"), a risk for
+    even ids. Refusal for conv_id % 7 = 3, parsed output for conv_id % 3 = 0,
+    otherwise content; content cut short for conv_id % 5 = 4, absent for
+    conv_id % 11 = 5, a numeric risk for conv_id % 13 = 6."""
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    items = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct(
+        F.col("turn").alias("turn"), F.col("role").alias("owner"), F.substring("text", 1, 30).alias("task"),
+        F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("due")))))
+    first = F.array_sort(F.collect_list(F.struct(F.col("turn"), F.col("text"))))
+    g = c.groupBy("conv_id").agg(items.alias("_items"), first.alias("_turns"))
+    k = F.col("conv_id")
+    obj = F.to_json(F.struct(
+        F.substring(F.element_at(F.col("_turns"), 1)["text"], 1, 80).alias("summary"),
+        F.transform("_items", lambda s: F.struct(s["owner"].alias("owner"), s["task"].alias("task"),
+                                                 s["due"].alias("due"))).alias("action_items"),
+        F.when(k % 13 == 6, F.array(F.lit("1")))
+        .when(k % 2 == 0, F.array(F.lit("Scope creep"))).otherwise(F.array().cast("array<string>")).alias("risks")))
+    obj = F.when(k % 13 == 6, F.regexp_replace(obj, r'"risks":\["1"\]', '"risks":[1]')).otherwise(obj)
+    c2 = g.select(k.alias("conv_id"), obj.alias("_c"))
+    body = F.col("_c")
+    return c2.select(
+        "conv_id",
+        F.when(k % 7 == 3, F.lit("I cannot help with that.")).alias("refusal"),
+        F.when((k % 7 != 3) & (k % 3 == 0), body).alias("parsed"),
+        F.when((k % 7 == 3) | (k % 3 == 0) | (k % 11 == 5), F.lit(None).cast("string"))
+        .when(k % 5 == 4, body.substr(F.lit(1), F.length(body) - 3)).otherwise(body).alias("content"))

@@ -421,3 +421,186 @@ FROM documents, (SELECT regexp_extract_all({q(R.MOCK_RESPONSE)}, '.{{1,20}}') AS
 for _name, _k in [("openai_text", 0), ("anthropic_text", 1), ("ollama_text", 2)]:
     ORACLE[_name] = f"SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE conv_id % 3 = {_k}"
 ORACLE["reframed_text"] = "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations"
+
+
+# --- Step 6: JSON recovery and typed answers ----------------------------------
+# Recovery restated in SQL: whole text, first fenced block, then the first
+# balanced brace group that is valid JSON. The brace groups come from a
+# string-aware regex nested to depth 3 (RE2 has no recursion); DuckDB's
+# json_valid also admits NaN and trailing commas. Neither occurs in the
+# generated answers.
+_STR = r'"(?:[^"\\]|\\.)*"'
+_L0 = r'\{(?:[^{}"]|' + _STR + r')*\}'
+_L1 = r'\{(?:[^{}"]|' + _STR + '|' + _L0 + r')*\}'
+_L2 = r'\{(?:[^{}"]|' + _STR + '|' + _L1 + r')*\}'
+BALANCED = "(?s)" + _L2
+FENCE_SQL = "(?is)```(?:json)?" + JS_WS + "*(.*?)```"
+
+
+def recover_sql(raw: str) -> str:
+    t = js_trim(raw)
+    f = f"regexp_extract({t}, {q(FENCE_SQL)}, 1)"
+    return (f"coalesce(CASE WHEN starts_with({t}, '{{') AND ends_with({t}, '}}') AND json_valid({t}) THEN {t} END, "
+            f"CASE WHEN {f} <> '' AND json_valid({js_trim(f)}) THEN {js_trim(f)} END, "
+            f"list_filter(regexp_extract_all({t}, {q(BALANCED)}), lambda c: json_valid(c))[1])")
+
+
+def ztype(expr: str) -> str:
+    return (f"(CASE WHEN {expr} IS NULL THEN NULL WHEN {expr} = 'VARCHAR' THEN 'string' WHEN {expr} = 'NULL' THEN 'null' "
+            f"WHEN {expr} = 'ARRAY' THEN 'array' WHEN {expr} = 'OBJECT' THEN 'object' WHEN {expr} = 'BOOLEAN' THEN 'boolean' "
+            f"ELSE 'number' END)")
+
+
+def jt(j: str, key: str) -> str:
+    return ztype(f"json_type({j}, '$.{key}')")
+
+
+def string_issue(j: str, key: str, required: bool = True, min_message: str | None = None) -> str:
+    t = jt(j, key)
+    req = f"'{key}: Required'" if required else "NULL"
+    m = (f" WHEN length(json_extract_string({j}, '$.{key}')) < 1 THEN {q(key + ': ' + min_message)}"
+         if min_message else "")
+    return f"CASE WHEN {t} IS NULL THEN {req} WHEN {t} <> 'string' THEN '{key}: Expected string, received ' || {t}{m} END"
+
+
+def enum_issue(j: str, key: str, values: list[str]) -> str:
+    t = jt(j, key)
+    exp = " | ".join(f"'{v}'" for v in values)
+    v = f"json_extract_string({j}, '$.{key}')"
+    return (f"CASE WHEN {t} IS NULL THEN '{key}: Required' WHEN {t} <> 'string' THEN {q(key + ': Expected ' + exp + ', received ')} || {t} "
+            f"WHEN {v} NOT IN ({', '.join(q(x) for x in values)}) THEN {q(key + ': Invalid enum value. Expected ' + exp + ', received ' + chr(39))} || {v} || {q(chr(39))} END")
+
+
+def string_array_issues(j: str, key: str) -> str:
+    t = jt(j, key)
+    et = ztype("json_type(e)")
+    return (f"CASE WHEN {t} IS NULL THEN ['{key}: Required'] WHEN {t} <> 'array' THEN ['{key}: Expected array, received ' || {t}] "
+            f"ELSE list_filter(list_transform(json_extract({j}, '$.{key}[*]'), lambda e, i: CASE WHEN {et} <> 'string' "
+            f"THEN '{key}.' || (i - 1) || ': Expected string, received ' || {et} END), lambda x: x IS NOT NULL) END")
+
+
+SUMMARY_ANSWERS = """(WITH d AS (SELECT d.doc_id, d.text, d.lang, d.source, l.quality, l.toxic
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+  s AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE substr(text, 1, 60) END AS summary, [lang, source] AS kp,
+    CASE WHEN toxic = 1 THEN ['Review flagged content'] ELSE []::VARCHAR[] END AS ai,
+    CASE WHEN doc_id % 7 = 0 THEN 'memo' ELSE ['article', 'email', 'newsletter', 'unknown'][doc_id % 4 + 1] END AS cat,
+    CASE WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' ELSE 'medium' END AS imp FROM d),
+  j AS (SELECT doc_id, (CASE WHEN doc_id % 4 <> 0
+      THEN to_json({'title': 'Doc ' || doc_id, 'summary': summary, 'key_points': kp, 'action_items': ai, 'category': cat, 'importance': imp})
+      ELSE to_json({'summary': summary, 'key_points': kp, 'action_items': ai, 'category': cat, 'importance': imp}) END)::VARCHAR AS j FROM s)
+  SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN j WHEN 1 THEN '```json' || chr(10) || j || chr(10) || '```'
+    WHEN 2 THEN 'Here is the summary: ' || j || ' Hope this helps.' WHEN 3 THEN 'Use {braces} carefully. ' || j
+    WHEN 4 THEN substr(j, 1, length(j) - 5) ELSE 'I cannot summarize this.' END AS raw FROM j)"""
+
+_SUMMARY_ISSUES = ("list_filter(flatten([[" + string_issue("j", "title", required=False) + "], ["
+                   + string_issue("j", "summary", min_message="Summary cannot be empty") + "], "
+                   + string_array_issues("j", "key_points") + ", " + string_array_issues("j", "action_items")
+                   + ", [" + enum_issue("j", "category", P.SUMMARY_CATEGORIES) + "], ["
+                   + enum_issue("j", "importance", ["low", "medium", "high"]) + "]]), lambda x: x IS NOT NULL)")
+
+TYPED_SUMMARIES = f"""(WITH r AS (SELECT doc_id, {recover_sql('raw')} AS j FROM {SUMMARY_ANSWERS}),
+  v AS (SELECT doc_id, j, CASE WHEN j IS NULL THEN 'No valid JSON object found in response'
+      WHEN {ztype('json_type(j)')} <> 'object' THEN 'Expected object, received ' || {ztype('json_type(j)')}
+      ELSE (SELECT CASE WHEN len(x) > 0 THEN array_to_string(x, '; ') END FROM (SELECT {_SUMMARY_ISSUES} AS x)) END AS reason
+    FROM r)
+  SELECT doc_id, reason IS NULL AS ok, reason,
+    CASE WHEN reason IS NULL THEN json_extract_string(j, '$.title') END AS title,
+    CASE WHEN reason IS NULL THEN json_extract_string(j, '$.summary') END AS summary,
+    CASE WHEN reason IS NULL THEN json_extract_string(j, '$.key_points[*]') END AS key_points,
+    CASE WHEN reason IS NULL THEN json_extract_string(j, '$.action_items[*]') END AS action_items,
+    CASE WHEN reason IS NULL THEN json_extract_string(j, '$.category') END AS category,
+    CASE WHEN reason IS NULL THEN json_extract_string(j, '$.importance') END AS importance
+  FROM v)"""
+
+ORACLE["typed_summaries"] = f"SELECT * FROM {TYPED_SUMMARIES}"
+
+ORACLE["summary_markdown"] = f"""
+SELECT doc_id, {js_trim("'# ' || CASE WHEN length(title) > 0 THEN title ELSE 'Untitled' END || chr(10) || chr(10) || summary || chr(10) || chr(10) || CASE WHEN len(key_points) > 0 THEN '## Key Points' || chr(10) || array_to_string(list_transform(key_points, lambda p: '- ' || p), chr(10)) || chr(10) || chr(10) ELSE '' END || CASE WHEN len(action_items) > 0 THEN '## Action Items' || chr(10) || array_to_string(list_transform(action_items, lambda p: '- [ ] ' || p), chr(10)) || chr(10) || chr(10) ELSE '' END || '_Category: ' || category || ' | Importance: ' || importance || '_'")} AS markdown
+FROM {TYPED_SUMMARIES} WHERE ok"""
+
+ORACLE["summary_json"] = f"""
+SELECT doc_id, (CASE WHEN title IS NULL THEN to_json({{'summary': summary, 'key_points': key_points, 'action_items': action_items, 'category': category, 'importance': importance}})
+  ELSE to_json({{'title': title, 'summary': summary, 'key_points': key_points, 'action_items': action_items, 'category': category, 'importance': importance}}) END)::VARCHAR AS json
+FROM {TYPED_SUMMARIES} WHERE ok"""
+
+_CONF = "json_extract(j, '$.confidence')::DOUBLE"
+_CONF_T = jt("j", "confidence")
+ORACLE["typed_classes"] = f"""
+WITH a AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '```json' || chr(10) || o || chr(10) || '```' ELSE o END AS raw
+    FROM (SELECT doc_id, to_json({{'category': ['article', 'meeting', 'git-diff', 'email', 'code', 'unknown'][doc_id % 6 + 1],
+      'confidence': ((doc_id % 12) / 10.0)::DOUBLE, 'reason': 'lang ' || lang}})::VARCHAR AS o FROM documents)),
+r AS (SELECT doc_id, {recover_sql('raw')} AS j FROM a),
+v AS (SELECT doc_id, j, CASE WHEN j IS NULL THEN 'No valid JSON object found in response'
+    WHEN {ztype('json_type(j)')} <> 'object' THEN 'Expected object, received ' || {ztype('json_type(j)')}
+    ELSE (SELECT CASE WHEN len(x) > 0 THEN array_to_string(x, '; ') END FROM (SELECT list_filter([
+      {enum_issue('j', 'category', P.INPUT_CATEGORIES)},
+      CASE WHEN {_CONF_T} IS NULL THEN 'confidence: Required' WHEN {_CONF_T} <> 'number' THEN 'confidence: Expected number, received ' || {_CONF_T}
+        WHEN {_CONF} < 0 THEN 'confidence: Number must be greater than or equal to 0'
+        WHEN {_CONF} > 1 THEN 'confidence: Number must be less than or equal to 1' END,
+      {string_issue('j', 'reason')}], lambda x: x IS NOT NULL) AS x)) END AS reason FROM r)
+SELECT doc_id, reason IS NULL AS ok, reason,
+  CASE WHEN reason IS NULL THEN json_extract_string(j, '$.category') END AS category,
+  CASE WHEN reason IS NULL THEN {_CONF} END AS confidence,
+  CASE WHEN reason IS NULL THEN json_extract_string(j, '$.reason') END AS explanation
+FROM v"""
+
+MEETING_ANSWERS = """(WITH g AS (SELECT conv_id, arg_min(text, turn) AS first_text,
+      coalesce(list({'owner': role, 'task': substr(text, 1, 30), 'due': 'turn ' || turn} ORDER BY turn) FILTER (WHERE role = 'assistant'),
+               []) AS items FROM conversations GROUP BY conv_id),
+  o AS (SELECT conv_id, to_json({'summary': substr(first_text, 1, 80), 'action_items': items,
+      'risks': CASE WHEN conv_id % 13 = 6 THEN ['1'] WHEN conv_id % 2 = 0 THEN ['Scope creep'] ELSE []::VARCHAR[] END})::VARCHAR AS o0
+    FROM g),
+  c AS (SELECT conv_id, CASE WHEN conv_id % 13 = 6 THEN replace(o0, '"risks":["1"]', '"risks":[1]') ELSE o0 END AS body FROM o)
+  SELECT conv_id, CASE WHEN conv_id % 7 = 3 THEN 'I cannot help with that.' END AS refusal,
+    CASE WHEN conv_id % 7 <> 3 AND conv_id % 3 = 0 THEN body END AS parsed,
+    CASE WHEN conv_id % 7 = 3 OR conv_id % 3 = 0 OR conv_id % 11 = 5 THEN NULL
+      WHEN conv_id % 5 = 4 THEN substr(body, 1, length(body) - 3) ELSE body END AS content FROM c)"""
+
+_ITEM_T = ztype("json_type(e)")
+
+
+def _field_issue(f: str) -> str:
+    t = ztype(f"json_type(e, '$.{f}')")
+    return (f"CASE WHEN {t} IS NULL THEN 'action_items.' || (i - 1) || '.{f}: Required' WHEN {t} <> 'string' "
+            f"THEN 'action_items.' || (i - 1) || '.{f}: Expected string, received ' || {t} END")
+
+
+_ITEM_ISSUES = (f"CASE WHEN {jt('j', 'action_items')} IS NULL THEN ['action_items: Required'] "
+                f"WHEN {jt('j', 'action_items')} <> 'array' THEN ['action_items: Expected array, received ' || {jt('j', 'action_items')}] "
+                f"ELSE list_filter(flatten(list_transform(json_extract(j, '$.action_items[*]'), lambda e, i: "
+                f"CASE WHEN {_ITEM_T} <> 'object' THEN ['action_items.' || (i - 1) || ': Expected object, received ' || {_ITEM_T}] "
+                f"ELSE [{_field_issue('owner')}, {_field_issue('task')}, {_field_issue('due')}] END)), lambda x: x IS NOT NULL) END")
+
+TYPED_MEETINGS = f"""(WITH a AS (SELECT *, CASE WHEN parsed IS NOT NULL THEN parsed WHEN length(content) > 0 THEN content END AS src
+    FROM {MEETING_ANSWERS}),
+  b AS (SELECT *, CASE WHEN json_valid(src) THEN src END AS j FROM a),
+  v AS (SELECT conv_id, j, CASE WHEN length(refusal) > 0 THEN 'Model refused: ' || refusal
+      WHEN src IS NULL THEN 'No parsed output received from the model'
+      WHEN j IS NULL THEN 'Invalid JSON in model output'
+      WHEN {ztype('json_type(j)')} <> 'object' THEN 'Expected object, received ' || {ztype('json_type(j)')}
+      ELSE (SELECT CASE WHEN len(x) > 0 THEN array_to_string(x, '; ') END FROM (SELECT list_filter(flatten([[{string_issue('j', 'summary')}],
+        {_ITEM_ISSUES}, {string_array_issues('j', 'risks')}]), lambda x: x IS NOT NULL) AS x)) END AS reason FROM b)
+  SELECT conv_id, reason IS NULL AS ok, reason,
+    CASE WHEN reason IS NULL THEN json_extract_string(j, '$.summary') END AS summary,
+    CASE WHEN reason IS NULL THEN json_extract_string(j, '$.risks[*]') END AS risks,
+    CASE WHEN reason IS NULL THEN list_transform(json_extract(j, '$.action_items[*]'), lambda e:
+      {{'owner': json_extract_string(e, '$.owner'), 'task': json_extract_string(e, '$.task'), 'due': json_extract_string(e, '$.due')}}) END AS items
+  FROM v)"""
+
+ORACLE["typed_meetings"] = f"""
+SELECT conv_id, ok, reason, summary, risks, to_json(items)::VARCHAR AS action_items FROM {TYPED_MEETINGS}"""
+
+ORACLE["action_items"] = f"""
+SELECT conv_id, (i - 1)::INT AS pos, items[i].owner AS owner, items[i].task AS task, items[i].due AS due
+FROM {TYPED_MEETINGS} m, range(1, len(m.items) + 1) r(i) WHERE ok
+UNION ALL SELECT conv_id, NULL, NULL, NULL, NULL FROM {TYPED_MEETINGS} WHERE ok AND len(items) = 0"""
+
+ORACLE["action_item_counts"] = f"""
+SELECT owner, count(*) AS n FROM ({ORACLE['action_items']}) WHERE owner IS NOT NULL GROUP BY owner"""
+
+ORACLE["meeting_report"] = f"""
+SELECT conv_id, 'Summary' || chr(10) || summary || chr(10) || chr(10) || 'Action items' || chr(10)
+  || CASE WHEN len(items) = 0 THEN '  None' ELSE array_to_string(list_transform(items, lambda a: '- ' || a.task || ' — ' || a.owner || ' (due ' || a.due || ')'), chr(10)) END
+  || chr(10) || chr(10) || 'Risks' || chr(10)
+  || CASE WHEN len(risks) = 0 THEN '  None' ELSE array_to_string(list_transform(risks, lambda r: '- ' || r), chr(10)) END AS report
+FROM {TYPED_MEETINGS} WHERE ok"""

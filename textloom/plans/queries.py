@@ -13,6 +13,8 @@ from textloom.functions.text import (bound_text, content_category, html_to_text,
 from textloom.functions.url import with_url_screen
 from textloom.plans import derive
 from textloom.session import read_table
+from textloom.operators.answers import (meeting_report, recover_json, summary_markdown, typed_classes,
+                                       typed_meetings, typed_summaries)
 from textloom.operators.prompts import CLASSIFY, EXTRACT_MEETING, SUMMARIZE, diff_prompt, modes_table
 from textloom.operators.responses import assemble, json_conf, reframe, wire_deltas
 from textloom.operators.routing import meeting_route, mock_responses, providers_table, request_body, route_requests
@@ -215,3 +217,83 @@ def q_reframed_text(spark, sf):
     json_conf(spark)
     lines = reframe(derive.byte_chunks(spark, sf), ["conv_id", "turn", "provider"])
     return assemble(wire_deltas(lines), ["conv_id", "turn"])
+
+
+# --- Step 6: JSON recovery and typed answers ---------------------------------
+
+@query("recover_json")
+def q_recover_json(spark, sf):
+    return recover_json(derive.summary_answers(spark, sf)).select("doc_id", "json", "route", "reason")
+
+
+@query("recover_rates")
+def q_recover_rates(spark, sf):
+    """Success rate by route (no oracle: depends on X1)."""
+    r = recover_json(derive.summary_answers(spark, sf))
+    return r.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _typed_summaries(spark, sf) -> DataFrame:
+    json_conf(spark)
+    return typed_summaries(recover_json(derive.summary_answers(spark, sf)))
+
+
+@query("typed_summaries")
+def q_typed_summaries(spark, sf):
+    return _typed_summaries(spark, sf).select("doc_id", "ok", "reason", "title", "summary", "key_points",
+                                              "action_items", "category", "importance")
+
+
+@query("summary_markdown")
+def q_summary_markdown(spark, sf):
+    t = _typed_summaries(spark, sf).where(F.col("ok"))
+    return t.select("doc_id", summary_markdown(F.col("title"), F.col("summary"), F.col("key_points"),
+                                               F.col("action_items"), F.col("category"),
+                                               F.col("importance")).alias("markdown"))
+
+
+@query("summary_json")
+def q_summary_json(spark, sf):
+    """Each valid summary as JSON text (typed fields, title omitted when absent)."""
+    t = _typed_summaries(spark, sf).where(F.col("ok"))
+    return t.select("doc_id", F.to_json(F.struct("title", "summary", "key_points", "action_items", "category",
+                                                 "importance")).alias("json"))
+
+
+@query("typed_classes")
+def q_typed_classes(spark, sf):
+    json_conf(spark)
+    r = typed_classes(recover_json(derive.class_answers(spark, sf)))
+    return r.select("doc_id", "ok", "reason", "category", "confidence", "explanation")
+
+
+def _typed_meetings(spark, sf) -> DataFrame:
+    json_conf(spark)
+    return typed_meetings(derive.meeting_answers(spark, sf))
+
+
+@query("typed_meetings")
+def q_typed_meetings(spark, sf):
+    return _typed_meetings(spark, sf).select("conv_id", "ok", "reason", "summary", "risks",
+                                             F.to_json("action_items").alias("action_items"))
+
+
+@query("action_items")
+def q_action_items(spark, sf):
+    """One row per action item of each valid meeting (none -> one row of NULLs)."""
+    t = _typed_meetings(spark, sf).where(F.col("ok"))
+    e = t.select("conv_id", F.posexplode_outer("action_items").alias("pos", "item"))
+    return e.select("conv_id", "pos", F.col("item.owner").alias("owner"), F.col("item.task").alias("task"),
+                    F.col("item.due").alias("due"))
+
+
+@query("action_item_counts")
+def q_action_item_counts(spark, sf):
+    return (q_action_items(spark, sf).where(F.col("owner").isNotNull())
+            .groupBy("owner").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("meeting_report")
+def q_meeting_report(spark, sf):
+    t = _typed_meetings(spark, sf).where(F.col("ok"))
+    return t.select("conv_id", meeting_report(F.col("summary"), F.col("action_items"), F.col("risks")).alias("report"))
