@@ -289,3 +289,94 @@ def meeting_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((k % 7 != 3) & (k % 3 == 0), body).alias("parsed"),
         F.when((k % 7 == 3) | (k % 3 == 0) | (k % 11 == 5), F.lit(None).cast("string"))
         .when(k % 5 == 4, body.substr(F.lit(1), F.length(body) - 3)).otherwise(body).alias("content"))
+
+
+def tool_catalogues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Configured and detected tools per configuration (one per nation):
+    configured = suppliers with even keys; detected = all suppliers, names
+    upper-cased (or replaced for keys divisible by 3), commands in upper case
+    rounded down to a multiple of 4 so some match only by command."""
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    k = F.col("s_suppkey")
+    configured = s.where(k % 2 == 0).select(F.col("s_nationkey").alias("config_id"), k.alias("ord"),
+                                            F.col("s_name").alias("name"),
+                                            F.concat(F.lit("run "), k.cast("string")).alias("command"))
+    detected = s.select(F.col("s_nationkey").alias("config_id"), k.alias("ord"),
+                        F.when(k % 3 == 0, F.concat(F.lit("det-"), k.cast("string"))).otherwise(F.upper("s_name"))
+                        .alias("name"),
+                        F.concat(F.lit("RUN "), (k - k % 4).cast("string")).alias("command"))
+    return configured, detected
+
+
+def template_catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Existing templates per configuration (p_partkey / 20): summary, meeting
+    and review entries by p_partkey % 6 (old command words for some), the
+    rest named after the part."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    k = F.col("p_partkey")
+    name = (F.when(k % 6 == 0, F.lit("summary")).when(k % 6 == 1, F.lit("meeting"))
+            .when(k % 6 == 2, F.lit("review")).otherwise(F.col("p_name")))
+    command = (F.when(k % 6 == 0, F.when(k % 12 == 0, F.lit("  ai-summary --mode tldr $@"))
+                      .otherwise(F.lit("ai summary --mode tldr $@")))
+               .when(k % 6 == 1, F.when(k % 4 == 1, F.lit("ai-meeting notes.md")).otherwise(F.lit("ai-meetingx notes.md")))
+               .otherwise(F.concat(F.lit("echo "), F.col("p_name"))))
+    return p.select((k / 20).cast("bigint").alias("config_id"), k.alias("ord"), name.alias("name"),
+                    command.alias("command"), F.col("p_type").alias("description"),
+                    F.array(F.col("p_brand")).alias("aliases"))
+
+
+def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One configuration JSON document per nation: tools from its suppliers,
+    templates from parts (p_partkey % 25), with faults by key rules (blank
+    names and commands, unsafe commands, placeholders, a numeric description,
+    a numeric alias)."""
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    k = F.col("s_suppkey")
+    tool = F.to_json(F.struct(
+        F.when(k % 10 == 3, F.lit("")).otherwise(F.col("s_name")).alias("name"),
+        F.when(k % 5 == 0, F.lit("tool;rm")).when(k % 5 == 1, F.lit("  "))
+        .otherwise(F.concat(F.lit("run-"), k.cast("string"))).alias("command"),
+        F.when(k % 7 == 0, F.lit("__NUM__")).otherwise(F.lit("supplier")).alias("description"),
+        F.array(F.when(k % 11 == 0, F.lit("__NUM__")).otherwise(F.concat(F.lit("s"), k.cast("string"))))
+        .alias("aliases")))
+    tool = F.replace(tool, F.lit('"__NUM__"'), F.lit("7"))
+    tools = (s.groupBy(F.col("s_nationkey").cast("bigint").alias("config_id"))
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, tool.alias("j")))),
+                                           lambda x: x["j"]), ",").alias("tools")))
+    q = F.col("p_partkey")
+    temp = F.to_json(F.struct(
+        F.col("p_name").alias("name"),
+        F.when(q % 6 == 0, F.lit("$@ run")).when(q % 6 == 1, F.lit("a $@ b $@")).when(q % 6 == 2, F.lit("rm -rf /"))
+        .when(q % 6 == 3, F.lit("")).otherwise(F.concat(F.lit("echo "), F.col("p_name"), F.lit(" $@"))).alias("command"),
+        F.when(q % 9 == 0, F.lit("")).otherwise(F.col("p_type")).alias("description"),
+        F.array(F.col("p_brand")).alias("aliases")))
+    temps = (p.groupBy((q % 25).alias("config_id"))
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(q, temp.alias("j")))),
+                                           lambda x: x["j"]), ",").alias("templates")))
+    both = tools.join(temps, "config_id", "full")
+    return both.select("config_id",
+                       F.concat(F.lit('{"tools":['), F.coalesce("tools", F.lit("")), F.lit('],"templates":['),
+                                F.coalesce("templates", F.lit("")), F.lit("]}")).alias("config_json"),
+                       F.concat(F.lit("configs/"), F.col("config_id").cast("string"), F.lit(".json")).alias("source"))
+
+
+def status_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CCS status table per nation from its suppliers: box tables, box
+    tables with colour codes, or pipe tables by nation % 3; a profile is [OK]
+    unless its key is divisible by 3."""
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    n = F.col("s_nationkey") % 3
+    name = F.lower(F.col("s_name"))
+    status = F.when(F.col("s_suppkey") % 3 == 0, F.lit("[!]")).otherwise(F.lit("[OK]"))
+    bar = F.when(n == 1, F.lit("\x1b[90m│\x1b[39m")).when(n == 0, F.lit("│")).otherwise(F.lit("|"))
+    row = F.concat(bar, F.lit(" "), name, F.lit(" "), bar, F.lit(" ~/.ccs/"), name, F.lit(".settings "), bar,
+                   F.lit(" "), status, F.lit(" "), bar)
+    g = s.groupBy(F.col("s_nationkey").cast("bigint").alias("log_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("r")))),
+                                 lambda x: x["r"]), "\n").alias("rows"),
+        F.first(n).alias("style"))
+    b = F.when(F.col("style") == 1, F.lit("\x1b[90m│\x1b[39m")).when(F.col("style") == 0, F.lit("│")).otherwise(F.lit("|"))
+    header = F.concat(b, F.lit(" API "), b, F.lit(" Config "), b, F.lit(" Status "), b)
+    return g.select("log_id", F.concat(F.lit("CCS API Profiles\n\n"), header, F.lit("\n"), F.col("rows"),
+                                       F.lit("\n\nTotal: profiles\n")).alias("text"))

@@ -604,3 +604,163 @@ SELECT conv_id, 'Summary' || chr(10) || summary || chr(10) || chr(10) || 'Action
   || chr(10) || chr(10) || 'Risks' || chr(10)
   || CASE WHEN len(risks) = 0 THEN '  None' ELSE array_to_string(list_transform(risks, lambda r: '- ' || r), chr(10)) END AS report
 FROM {TYPED_MEETINGS} WHERE ok"""
+
+
+# --- Step 7: catalogues ---------------------------------------------------------
+from textloom.functions import screens as S  # noqa: E402
+from textloom.operators import catalogue as CT  # noqa: E402
+
+TOOLS_C = """(SELECT s_nationkey AS config_id, s_suppkey AS ord, s_name AS name, 'run ' || s_suppkey AS command
+  FROM supplier WHERE s_suppkey % 2 = 0)"""
+TOOLS_D = """(SELECT s_nationkey AS config_id, s_suppkey AS ord,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'det-' || s_suppkey ELSE upper(s_name) END AS name,
+  'RUN ' || (s_suppkey - s_suppkey % 4) AS command FROM supplier)"""
+
+MERGED = f"""(SELECT config_id, 'config' AS origin, ord, name, command FROM {TOOLS_C} c
+UNION ALL SELECT config_id, 'detected', ord, name, command FROM {TOOLS_D} d
+WHERE NOT EXISTS (SELECT 1 FROM {TOOLS_C} c WHERE c.config_id = d.config_id AND lower(c.name) = lower(d.name))
+  AND NOT EXISTS (SELECT 1 FROM {TOOLS_C} c WHERE c.config_id = d.config_id AND lower(c.command) = lower(d.command)))"""
+
+ORACLE["catalogue_merge"] = f"SELECT * FROM {MERGED}"
+
+_DEFAULTS_SQL = "(VALUES " + ", ".join(
+    f"({i}, {q(n)}, {q(c)}, {q(d)}, [{', '.join(q(a) for a in al)}])" for i, (n, c, d, al) in enumerate(CT.DEFAULT_TEMPLATES)
+) + ") dv(default_idx, name, command, description, aliases)"
+_WS = JS_WS
+_SUM_OLD = "^" + _WS + "*ai-summary(" + _WS + "|$)"
+_MEET_OLD = "^" + _WS + "*ai-meeting(" + _WS + "|$)"
+
+TEMPLATES_E = """(SELECT (p_partkey // 20)::BIGINT AS config_id, p_partkey AS ord,
+  CASE p_partkey % 6 WHEN 0 THEN 'summary' WHEN 1 THEN 'meeting' WHEN 2 THEN 'review' ELSE p_name END AS name,
+  CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_partkey % 12 = 0 THEN '  ai-summary --mode tldr $@' ELSE 'ai summary --mode tldr $@' END
+    WHEN 1 THEN CASE WHEN p_partkey % 4 = 1 THEN 'ai-meeting notes.md' ELSE 'ai-meetingx notes.md' END
+    ELSE 'echo ' || p_name END AS command, p_type AS description, [p_brand] AS aliases FROM part)"""
+
+TEMPLATE_DEFAULTS = f"""(WITH e AS {TEMPLATES_E},
+  dd AS (SELECT config_id, name, min(ord) AS pos, arg_max(command, ord) AS command, arg_max(description, ord) AS description,
+           arg_max(aliases, ord) AS aliases, false AS added FROM e GROUP BY config_id, name),
+  miss AS (SELECT c.config_id, dv.name, (1::BIGINT << 40) + dv.default_idx AS pos, dv.command, dv.description, dv.aliases, true AS added
+           FROM (SELECT DISTINCT config_id FROM e) c, {_DEFAULTS_SQL}
+           WHERE NOT EXISTS (SELECT 1 FROM dd WHERE dd.config_id = c.config_id AND dd.name = dv.name)),
+  m AS (SELECT * FROM dd UNION ALL SELECT config_id, name, pos, command, description, aliases, added FROM miss),
+  r AS (SELECT *, CASE WHEN name = 'summary' AND regexp_matches({js_trim('command')}, {q(_SUM_OLD)})
+                        THEN regexp_replace(command, {q(_SUM_OLD)}, 'ai summary\\1')
+                       WHEN name = 'meeting' AND regexp_matches(command, {q(_MEET_OLD)})
+                        THEN regexp_replace(command, {q(_MEET_OLD)}, 'ai meeting\\1') ELSE command END AS new_command FROM m),
+  f AS (SELECT config_id, bool_or(added OR new_command <> command) AS changed FROM r GROUP BY config_id)
+  SELECT r.config_id, pos, name, new_command AS command, description, aliases, true AS changed
+    FROM r JOIN f ON f.config_id = r.config_id WHERE f.changed
+  UNION ALL SELECT e.config_id, ord AS pos, name, command, description, aliases, false
+    FROM e JOIN f ON f.config_id = e.config_id WHERE NOT f.changed)"""
+
+ORACLE["template_defaults"] = f"SELECT config_id, pos, name, command, description, changed FROM {TEMPLATE_DEFAULTS}"
+
+CONFIG_DOCS = """(WITH t AS (SELECT s_nationkey::BIGINT AS config_id, string_agg(replace(to_json({
+      'name': CASE WHEN s_suppkey % 10 = 3 THEN '' ELSE s_name END,
+      'command': CASE s_suppkey % 5 WHEN 0 THEN 'tool;rm' WHEN 1 THEN '  ' ELSE 'run-' || s_suppkey END,
+      'description': CASE WHEN s_suppkey % 7 = 0 THEN '__NUM__' ELSE 'supplier' END,
+      'aliases': [CASE WHEN s_suppkey % 11 = 0 THEN '__NUM__' ELSE 's' || s_suppkey END]})::VARCHAR, '"__NUM__"', '7'), ',' ORDER BY s_suppkey) AS tools
+    FROM supplier GROUP BY s_nationkey),
+  m AS (SELECT p_partkey % 25 AS config_id, string_agg(to_json({'name': p_name,
+      'command': CASE p_partkey % 6 WHEN 0 THEN '$@ run' WHEN 1 THEN 'a $@ b $@' WHEN 2 THEN 'rm -rf /' WHEN 3 THEN ''
+                 ELSE 'echo ' || p_name || ' $@' END,
+      'description': CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_type END, 'aliases': [p_brand]})::VARCHAR, ',' ORDER BY p_partkey) AS templates
+    FROM part GROUP BY p_partkey % 25)
+  SELECT coalesce(t.config_id, m.config_id) AS config_id,
+    '{"tools":[' || coalesce(tools, '') || '],"templates":[' || coalesce(templates, '') || ']}' AS config_json,
+    'configs/' || coalesce(t.config_id, m.config_id) || '.json' AS source
+  FROM t FULL JOIN m ON t.config_id = m.config_id)"""
+
+
+def _nonblank(e: str, k: str) -> str:
+    return f"(coalesce(json_type({e}, '$.{k}') = 'VARCHAR', false) AND length({js_trim(f'json_extract_string({e}, {q(chr(36) + chr(46) + k)})')}) > 0)"
+
+
+def _alias_msg(e: str) -> str:
+    t = f"json_type({e}, '$.aliases')"
+    return (f"CASE WHEN {t} IS NULL THEN NULL WHEN {t} <> 'ARRAY' THEN {q(CT.MSG['aliases_array'])} "
+            f"WHEN len(list_filter(json_extract({e}, '$.aliases[*]'), lambda a: json_type(a) <> 'VARCHAR')) > 0 "
+            f"THEN {q(CT.MSG['aliases_strings'])} END")
+
+
+_B0 = "(^|[^A-Za-z0-9_])"
+_B1 = "([^A-Za-z0-9_]|$)"
+DANGER_SQL = ["&&", r"\|\|", ";", r"\$\(", "`[a-zA-Z0-9_]+`", _B0 + "sudo" + _B1, _B0 + "rm" + JS_WS + "+-rf" + _B1,
+              ">" + JS_WS + "*/"]
+
+
+def safe_command_sql(x: str) -> str:
+    t = js_trim(x)
+    return (f"(length({t}) > 0 AND {utf16_len(t)} <= 500 AND regexp_matches({t}, {q(S.SAFE_COMMAND)}) AND NOT ("
+            + " OR ".join(f"regexp_matches({t}, {q(p)})" for p in DANGER_SQL) + "))")
+
+
+def _tool_issue_list(e: str, i: str) -> str:
+    p = f"'tools[' || {i} || ']'"
+    cmd = f"json_extract_string({e}, '$.command')"
+    dt = f"json_type({e}, '$.description')"
+    return f"""[CASE WHEN NOT {_nonblank(e, 'name')} THEN {{'path': {p} || '.name', 'message': {q(CT.MSG['tool_name'])}}} END,
+      CASE WHEN NOT {_nonblank(e, 'command')} THEN {{'path': {p} || '.command', 'message': {q(CT.MSG['tool_command'])}}}
+           WHEN NOT regexp_matches({js_trim(cmd)}, {q(S.SAFE_TOOL_COMMAND)}) THEN {{'path': {p} || '.command', 'message': {q(CT.MSG['tool_unsafe'])}}} END,
+      CASE WHEN {dt} IS NOT NULL AND {dt} <> 'VARCHAR' THEN {{'path': {p} || '.description', 'message': {q(CT.MSG['tool_description'])}}} END,
+      CASE WHEN {_alias_msg(e)} IS NOT NULL THEN {{'path': {p} || '.aliases', 'message': {_alias_msg(e)}}} END]"""
+
+
+def _template_issue_list(e: str, i: str) -> str:
+    p = f"'templates[' || {i} || ']'"
+    cmd = f"json_extract_string({e}, '$.command')"
+    n = f"len(regexp_extract_all({cmd}, '\\$@'))"
+    ok = f"({_nonblank(e, 'command')} AND {safe_command_sql(cmd)})"
+    return f"""[CASE WHEN NOT {_nonblank(e, 'name')} THEN {{'path': {p} || '.name', 'message': {q(CT.MSG['template_name'])}}} END,
+      CASE WHEN NOT {_nonblank(e, 'command')} THEN {{'path': {p} || '.command', 'message': {q(CT.MSG['template_command'])}}}
+           WHEN NOT {safe_command_sql(cmd)} THEN {{'path': {p} || '.command', 'message': {q(CT.MSG['template_unsafe'])}}} END,
+      CASE WHEN {ok} AND {n} > 1 THEN {{'path': {p} || '.command', 'message': {q(CT.MSG['template_many'])}}} END,
+      CASE WHEN {ok} AND {n} = 1 AND starts_with({js_trim(cmd)}, '$@') THEN {{'path': {p} || '.command', 'message': {q(CT.MSG['template_leading'])}}} END,
+      CASE WHEN NOT {_nonblank(e, 'description')} THEN {{'path': {p} || '.description', 'message': {q(CT.MSG['template_description'])}}} END,
+      CASE WHEN {_alias_msg(e)} IS NOT NULL THEN {{'path': {p} || '.aliases', 'message': {_alias_msg(e)}}} END]"""
+
+
+LINT = f"""(WITH d AS {CONFIG_DOCS},
+  x AS (SELECT config_id, json_extract(config_json, '$.tools[*]') AS tools, json_extract(config_json, '$.templates[*]') AS temps FROM d),
+  ti AS (SELECT config_id, 0 AS part, i, k, iss FROM (
+      SELECT config_id, i, unnest({_tool_issue_list('e', 'i')}) AS iss, unnest(range(4)) AS k
+      FROM (SELECT config_id, unnest(tools) AS e, unnest(range(len(tools))) AS i FROM x)) WHERE iss IS NOT NULL),
+  mi AS (SELECT config_id, 1 AS part, i, k, iss FROM (
+      SELECT config_id, i, unnest({_template_issue_list('e', 'i')}) AS iss, unnest(range(6)) AS k
+      FROM (SELECT config_id, unnest(temps) AS e, unnest(range(len(temps))) AS i FROM x)) WHERE iss IS NOT NULL),
+  a AS (SELECT * FROM ti UNION ALL SELECT * FROM mi)
+  SELECT config_id, (row_number() OVER (PARTITION BY config_id ORDER BY part, i, k) - 1)::INT AS seq,
+    iss.path AS path, iss.message AS message FROM a)"""
+
+ORACLE["lint_catalogue"] = f"SELECT * FROM {LINT}"
+ORACLE["lint_counts"] = f"SELECT message, count(*) AS n FROM {LINT} GROUP BY message"
+ORACLE["lint_report"] = f"""
+SELECT l.config_id, 'Config validation failed:' || chr(10) || chr(10)
+  || string_agg('  ' || path || ': ' || message, chr(10) ORDER BY seq) || chr(10) || chr(10) || 'Config file: '
+  || coalesce(any_value(d.source), '') AS report
+FROM {LINT} l LEFT JOIN {CONFIG_DOCS} d ON d.config_id = l.config_id GROUP BY l.config_id"""
+
+ORACLE["selectable_items"] = f"""
+SELECT config_id, CASE WHEN origin = 'config' THEN ord ELSE ord + (1::BIGINT << 30) END AS pos, name, command, '' AS description,
+  false AS is_template, []::VARCHAR[] AS aliases FROM {MERGED}
+UNION ALL SELECT config_id, (1::BIGINT << 40) + pos, name, command, description, true, coalesce(aliases, []::VARCHAR[])
+FROM {TEMPLATE_DEFAULTS}"""
+
+STATUS_LOGS = """(WITH s AS (SELECT s_nationkey::BIGINT AS log_id, s_suppkey, s_nationkey % 3 AS style, lower(s_name) AS nm,
+    CASE WHEN s_suppkey % 3 = 0 THEN '[!]' ELSE '[OK]' END AS st FROM supplier),
+  b AS (SELECT *, CASE style WHEN 1 THEN chr(27) || '[90m│' || chr(27) || '[39m' WHEN 0 THEN '│' ELSE '|' END AS bar FROM s),
+  g AS (SELECT log_id, any_value(bar) AS bar, string_agg(bar || ' ' || nm || ' ' || bar || ' ~/.ccs/' || nm || '.settings ' || bar
+      || ' ' || st || ' ' || bar, chr(10) ORDER BY s_suppkey) AS rows FROM b GROUP BY log_id)
+  SELECT log_id, 'CCS API Profiles' || chr(10) || chr(10) || bar || ' API ' || bar || ' Config ' || bar || ' Status ' || bar
+    || chr(10) || rows || chr(10) || chr(10) || 'Total: profiles' || chr(10) AS text FROM g)"""
+
+STATUS_ROWS = f"""(SELECT log_id, line_no, profile FROM (
+  SELECT log_id, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS line FROM (
+    SELECT log_id, string_split(regexp_replace(text, {q(CT.ANSI_RE)}, '', 'g'), chr(10)) AS ls FROM {STATUS_LOGS}))
+  , LATERAL (SELECT regexp_extract(line, {q(CT.STATUS_ROW_RE)}, 1) AS profile)
+  WHERE profile <> '' AND profile <> 'API')"""
+
+ORACLE["status_rows"] = f"SELECT * FROM {STATUS_ROWS}"
+ORACLE["profile_rows"] = f"""
+SELECT log_id, line_no, 'ccs:' || profile AS name, 'ccs ' || profile AS command, 'CCS profile: ' || profile AS description,
+  'api_key' AS auth_type, 'ccs ' || profile || ' --permission-mode plan -p' AS prompt_command FROM {STATUS_ROWS}"""

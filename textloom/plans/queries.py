@@ -15,6 +15,8 @@ from textloom.plans import derive
 from textloom.session import read_table
 from textloom.operators.answers import (meeting_report, recover_json, summary_markdown, typed_classes,
                                        typed_meetings, typed_summaries)
+from textloom.operators.catalogue import (catalogue_merge, lint_configs, lint_report, profile_rows, selectable_items,
+                                         status_rows, template_defaults)
 from textloom.operators.prompts import CLASSIFY, EXTRACT_MEETING, SUMMARIZE, diff_prompt, modes_table
 from textloom.operators.responses import assemble, json_conf, reframe, wire_deltas
 from textloom.operators.routing import meeting_route, mock_responses, providers_table, request_body, route_requests
@@ -297,3 +299,61 @@ def q_action_item_counts(spark, sf):
 def q_meeting_report(spark, sf):
     t = _typed_meetings(spark, sf).where(F.col("ok"))
     return t.select("conv_id", meeting_report(F.col("summary"), F.col("action_items"), F.col("risks")).alias("report"))
+
+
+# --- Step 7: catalogues --------------------------------------------------------
+
+@query("catalogue_merge")
+def q_catalogue_merge(spark, sf):
+    configured, detected = derive.tool_catalogues(spark, sf)
+    return catalogue_merge(configured, detected).select("config_id", "origin", "ord", "name", "command")
+
+
+@query("template_defaults")
+def q_template_defaults(spark, sf):
+    t = template_defaults(derive.template_catalogues(spark, sf))
+    return t.select("config_id", "pos", "name", "command", "description", "changed")
+
+
+@query("lint_catalogue")
+def q_lint_catalogue(spark, sf):
+    json_conf(spark)
+    return lint_configs(derive.config_documents(spark, sf))
+
+
+@query("lint_counts")
+def q_lint_counts(spark, sf):
+    return q_lint_catalogue(spark, sf).groupBy("message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("lint_report")
+def q_lint_report(spark, sf):
+    json_conf(spark)
+    docs = derive.config_documents(spark, sf)
+    return lint_report(lint_configs(docs), docs)
+
+
+@query("selectable_items")
+def q_selectable_items(spark, sf):
+    configured, detected = derive.tool_catalogues(spark, sf)
+    tools = (catalogue_merge(configured, detected)
+             .withColumn("description", F.lit(None).cast("string"))
+             .withColumn("aliases", F.lit(None).cast("array<string>"))
+             .withColumn("promptCommand", F.lit(None).cast("string"))
+             .withColumn("promptUseStdin", F.lit(None).cast("boolean"))
+             .withColumn("ord", F.when(F.col("origin") == "config", F.col("ord"))
+                         .otherwise(F.col("ord") + F.lit(1 << 30))))
+    temps = template_defaults(derive.template_catalogues(spark, sf)).withColumnRenamed("pos", "ord")
+    return selectable_items(tools, temps).select("config_id", "pos", "name", "command", "description",
+                                                 "is_template", "aliases")
+
+
+@query("status_rows")
+def q_status_rows(spark, sf):
+    return status_rows(derive.status_logs(spark, sf))
+
+
+@query("profile_rows")
+def q_profile_rows(spark, sf):
+    return profile_rows(status_rows(derive.status_logs(spark, sf))).select(
+        "log_id", "line_no", "name", "command", "description", "auth_type", "prompt_command")
