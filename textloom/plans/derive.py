@@ -380,3 +380,36 @@ def status_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.concat(b, F.lit(" API "), b, F.lit(" Config "), b, F.lit(" Status "), b)
     return g.select("log_id", F.concat(F.lit("CCS API Profiles\n\n"), header, F.lit("\n"), F.col("rows"),
                                        F.lit("\n\nTotal: profiles\n")).alias("text"))
+
+
+def part_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue items: the distinct part names, in order of first part key,
+    with the first part's type as description and the word initials as alias."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    g = p.groupBy("p_name").agg(F.min("p_partkey").alias("ord"), F.min_by("p_type", "p_partkey").alias("description"))
+    initials = F.array_join(F.transform(F.split("p_name", " "), lambda w: w.substr(1, 1)), "")
+    return g.select("ord", F.col("p_name").alias("name"), "description", F.array(initials).alias("aliases"),
+                    F.concat(F.lit("run-"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("command"),
+                    F.lit(None).cast("string").alias("prompt_command"),
+                    F.lit(None).cast("boolean").alias("prompt_use_stdin"))
+
+
+def misspelt_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per part by p_partkey % 7: exact, upper case, last four
+    characters, a letter dropped, two neighbours swapped, an inner substring,
+    the initials (or an unrelated word when p_partkey % 14 = 6)."""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    q = F.expr("""CASE p_partkey % 7
+        WHEN 0 THEN p_name
+        WHEN 1 THEN upper(p_name)
+        WHEN 2 THEN substring(p_name, length(p_name) - 3)
+        WHEN 3 THEN concat(substring(p_name, 1, CAST(p_partkey % length(p_name) AS INT)),
+                           substring(p_name, CAST(p_partkey % length(p_name) AS INT) + 2))
+        WHEN 4 THEN concat(substring(p_name, 1, CAST(p_partkey % (length(p_name) - 1) AS INT)),
+                           substring(p_name, CAST(p_partkey % (length(p_name) - 1) AS INT) + 2, 1),
+                           substring(p_name, CAST(p_partkey % (length(p_name) - 1) AS INT) + 1, 1),
+                           substring(p_name, CAST(p_partkey % (length(p_name) - 1) AS INT) + 3))
+        WHEN 5 THEN substring(p_name, 2, 5)
+        ELSE CASE WHEN p_partkey % 14 = 6 THEN 'xyzzy'
+             ELSE array_join(transform(split(p_name, ' '), w -> substring(w, 1, 1)), '') END END""")
+    return p.select(F.col("p_partkey").alias("query_id"), q.alias("query"))

@@ -764,3 +764,86 @@ ORACLE["status_rows"] = f"SELECT * FROM {STATUS_ROWS}"
 ORACLE["profile_rows"] = f"""
 SELECT log_id, line_no, 'ccs:' || profile AS name, 'ccs ' || profile AS command, 'CCS profile: ' || profile AS description,
   'api_key' AS auth_type, 'ccs ' || profile || ' --permission-mode plan -p' AS prompt_command FROM {STATUS_ROWS}"""
+
+
+# --- Step 7: lookup (brute force over every query x item pair) ---------------------
+LOOKUP_ITEMS = """(SELECT min(p_partkey) AS ord, p_name AS name, arg_min(p_type, p_partkey) AS description,
+    [array_to_string(list_transform(string_split(p_name, ' '), lambda w: substr(w, 1, 1)), '')] AS aliases,
+    'run-' || replace(p_name, ' ', '-') AS command FROM part GROUP BY p_name)"""
+
+LOOKUP_QUERIES = """(SELECT p_partkey AS query_id, CASE p_partkey % 7
+    WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN substring(p_name, length(p_name) - 3)
+    WHEN 3 THEN substring(p_name, 1, (p_partkey % length(p_name))::INT) || substring(p_name, (p_partkey % length(p_name))::INT + 2)
+    WHEN 4 THEN substring(p_name, 1, (p_partkey % (length(p_name) - 1))::INT)
+      || substring(p_name, (p_partkey % (length(p_name) - 1))::INT + 2, 1)
+      || substring(p_name, (p_partkey % (length(p_name) - 1))::INT + 1, 1)
+      || substring(p_name, (p_partkey % (length(p_name) - 1))::INT + 3)
+    WHEN 5 THEN substring(p_name, 2, 5)
+    ELSE CASE WHEN p_partkey % 14 = 6 THEN 'xyzzy'
+      ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: substr(w, 1, 1)), '') END END AS query
+  FROM part)"""
+
+
+def _fuzzy_pairs(qsrc: str, vsrc: str) -> str:
+    """(query_id, ord, score) for values within the threshold; brute force."""
+    return f"""(SELECT query_id, ord, min(d) / any_value(m) AS score FROM (
+      SELECT q.query_id, v.ord, q.m, levenshtein(substr(v.value, s, l), q.ql) AS d
+      FROM {qsrc} q, {vsrc} v,
+        range(greatest(1, q.m - floor(0.4 * q.m)::INT), least(length(v.value), q.m + floor(0.4 * q.m)::INT) + 1) r1(l),
+        range(1, length(v.value) - l + 2) r2(s)
+      WHERE q.m > 0)
+    GROUP BY query_id, ord HAVING min(d) <= floor(0.4 * any_value(m)))"""
+
+
+LOOKUP = f"""(WITH items AS {LOOKUP_ITEMS},
+  q AS (SELECT query_id, query, lower(query) AS ql, coalesce(length(query), 0) AS m FROM {LOOKUP_QUERIES}),
+  t AS (
+    SELECT query_id, 0 AS tier_no, min(ord) AS ord FROM q JOIN items i ON lower(i.name) = q.ql WHERE m > 0 GROUP BY query_id
+    UNION ALL
+    SELECT query_id, 1, min(ord) FROM q JOIN (SELECT ord, lower(unnest(aliases)) AS al FROM items) a ON a.al = q.ql
+      WHERE m > 0 GROUP BY query_id
+    UNION ALL
+    SELECT query_id, 2, min(ord) FROM q JOIN items i ON ends_with(lower(i.name), q.ql) WHERE m > 0
+      GROUP BY query_id HAVING count(*) = 1
+    UNION ALL
+    SELECT query_id, 3, min(ord) FROM q JOIN items i ON contains(lower(i.name), q.ql) WHERE m > 0
+      GROUP BY query_id HAVING count(*) = 1),
+  best AS (SELECT query_id, min(tier_no) AS tier_no, arg_min(ord, tier_no) AS ord FROM t GROUP BY query_id),
+  rest AS (SELECT * FROM q WHERE m > 0 AND query_id NOT IN (SELECT query_id FROM best)),
+  fz AS {_fuzzy_pairs('rest', '(SELECT ord, lower(name) AS value FROM items)')},
+  rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, ord) AS rn,
+           min(score) OVER (PARTITION BY query_id) AS top FROM fz),
+  pq AS (SELECT query_id, count(*) AS n, min(score) AS s1, max(CASE WHEN rn = 2 THEN score END) AS s2,
+           max(CASE WHEN rn = 1 THEN ord END) AS ord1 FROM rk GROUP BY query_id),
+  amb AS (SELECT query_id, n >= 2 AND abs(s1 - s2) < 0.05 AS ambiguous, s1, ord1 FROM pq),
+  cand AS (SELECT rk.query_id, string_agg('  • ' || i.name || CASE WHEN len(i.aliases) > 0
+             THEN ' (' || array_to_string(i.aliases, ', ') || ')' ELSE '' END, chr(10) ORDER BY rk.score, rk.ord) AS candidates
+           FROM rk JOIN items i ON i.ord = rk.ord WHERE abs(rk.score - rk.top) < 0.05 GROUP BY rk.query_id),
+  res AS (SELECT q.query_id, q.query, q.m, coalesce(b.tier_no, CASE WHEN a.query_id IS NOT NULL THEN 4 END) AS tier_no,
+           CASE WHEN b.query_id IS NOT NULL THEN b.ord WHEN NOT a.ambiguous THEN a.ord1 END AS ord,
+           CASE WHEN b.query_id IS NULL THEN a.s1 END AS score, coalesce(a.ambiguous, false) AS ambiguous, c.candidates
+         FROM q LEFT JOIN best b ON b.query_id = q.query_id LEFT JOIN amb a ON a.query_id = q.query_id
+           LEFT JOIN cand c ON c.query_id = q.query_id),
+  fin AS (SELECT r.*, i.name, i.command, CASE WHEN m = 0 THEN 'No query provided'
+            WHEN ambiguous THEN 'Ambiguous match for ''' || query || '''' || chr(10) || 'Did you mean:' || chr(10) || candidates
+            WHEN r.ord IS NULL THEN 'No tool or template found matching ''' || query || '''' END AS error
+          FROM res r LEFT JOIN items i ON i.ord = r.ord)
+  SELECT query_id, query, error IS NULL AS ok,
+    CASE WHEN error IS NULL THEN ['exact', 'alias', 'suffix', 'substring', 'fuzzy'][tier_no + 1] END AS tier,
+    CASE WHEN error IS NULL THEN ord END AS ord, CASE WHEN error IS NULL THEN name END AS name,
+    CASE WHEN error IS NULL THEN score END AS score, error,
+    CASE WHEN error IS NULL THEN command END AS command_for_prompt,
+    CASE WHEN error IS NULL THEN false END AS pipe_input
+  FROM fin)"""
+
+ORACLE["lookup_cascade"] = f"SELECT * FROM {LOOKUP}"
+ORACLE["lookup_tiers"] = f"SELECT tier, ok, count(*) AS n FROM {LOOKUP} GROUP BY tier, ok"
+
+ORACLE["search_topk"] = f"""
+WITH items AS {LOOKUP_ITEMS},
+  q AS (SELECT query_id, lower(query) AS ql, coalesce(length(query), 0) AS m FROM {LOOKUP_QUERIES}),
+  v AS (SELECT DISTINCT ord, lower(value) AS value FROM (SELECT ord, unnest([name, description] || aliases) AS value FROM items)
+        WHERE length(value) > 0),
+  h AS {_fuzzy_pairs('q', 'v')},
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, ord) AS rank FROM h)
+SELECT query_id, rank::INT AS rank, r.ord, i.name, score FROM r JOIN items i ON i.ord = r.ord WHERE rank <= 10"""

@@ -17,6 +17,7 @@ from textloom.operators.answers import (meeting_report, recover_json, summary_ma
                                        typed_meetings, typed_summaries)
 from textloom.operators.catalogue import (catalogue_merge, lint_configs, lint_report, profile_rows, selectable_items,
                                          status_rows, template_defaults)
+from textloom.operators.lookup import lookup_cascade, search_topk
 from textloom.operators.prompts import CLASSIFY, EXTRACT_MEETING, SUMMARIZE, diff_prompt, modes_table
 from textloom.operators.responses import assemble, json_conf, reframe, wire_deltas
 from textloom.operators.routing import meeting_route, mock_responses, providers_table, request_body, route_requests
@@ -357,3 +358,18 @@ def q_status_rows(spark, sf):
 def q_profile_rows(spark, sf):
     return profile_rows(status_rows(derive.status_logs(spark, sf))).select(
         "log_id", "line_no", "name", "command", "description", "auth_type", "prompt_command")
+
+
+@query("lookup_cascade")
+def q_lookup_cascade(spark, sf):
+    return lookup_cascade(derive.misspelt_names(spark, sf), derive.part_catalogue(spark, sf))
+
+
+@query("lookup_tiers")
+def q_lookup_tiers(spark, sf):
+    return q_lookup_cascade(spark, sf).groupBy("tier", "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("search_topk")
+def q_search_topk(spark, sf):
+    return search_topk(derive.misspelt_names(spark, sf), derive.part_catalogue(spark, sf), k=10)
