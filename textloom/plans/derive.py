@@ -4,7 +4,7 @@ columns (mostly a key modulo n), and the oracle SQL derives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.session import read_table
@@ -413,3 +413,105 @@ def misspelt_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         ELSE CASE WHEN p_partkey % 14 = 6 THEN 'xyzzy'
              ELSE array_join(transform(split(p_name, ' '), w -> substring(w, 1, 1)), '') END END""")
     return p.select(F.col("p_partkey").alias("query_id"), q.alias("query"))
+
+
+UNSAFE_MARKS = [" && ls", " || true", "; rm x", " $(whoami)", " `whoami`", " sudo ls", " rm -rf /tmp", " > /dev/null", ""]
+
+
+def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands from documents: the first 40 characters, ASCII letters and
+    spaces only, with an unsafe mark chosen by doc_id % 9 (none for 8)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = F.array(*[F.lit(m) for m in UNSAFE_MARKS])
+    base = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
+    return d.select("doc_id", F.concat(base, F.element_at(marks, (F.col("doc_id") % 9 + 1).cast("int"))).alias("command"))
+
+
+def _first_word(col: str = "text") -> Column:
+    return F.regexp_extract(F.col(col), "[A-Za-z]+", 0)
+
+
+def argument_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Argument lists: the words of the first 60 characters plus one more by
+    doc_id % 5 (';', 'a|b', 201 x's, 'ok-arg', none)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.filter(F.split(F.substring("text", 1, 60), " "), lambda w: w != "")
+    k = F.col("doc_id") % 5
+    extra = (F.when(k == 0, F.array(F.lit(";"))).when(k == 1, F.array(F.lit("a|b")))
+             .when(k == 2, F.array(F.lit("x" * 201))).when(k == 3, F.array(F.lit("ok-arg")))
+             .otherwise(F.array().cast("array<string>")))
+    return d.select("doc_id", F.concat(words, extra).alias("args"))
+
+
+def path_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output paths by doc_id % 10 around the document's first ASCII word."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    w = _first_word()
+    k = F.col("doc_id") % 10
+    path = (F.when(k == 0, F.concat(F.lit("out/"), w, F.lit(".md"))).when(k == 1, F.concat(F.lit("./"), w, F.lit(".md")))
+            .when(k == 2, F.concat(F.lit("/tmp/"), w)).when(k == 3, F.concat(F.lit("C:/"), w))
+            .when(k == 4, F.concat(F.lit("docs/."), w)).when(k == 5, F.concat(F.lit("../"), w))
+            .when(k == 6, F.concat(F.lit("etc/"), w)).when(k == 7, F.concat(F.lit("con."), w))
+            .when(k == 8, F.concat(F.lit("a\\..\\"), w)).otherwise(F.lit("   ")))
+    return d.select("doc_id", path.alias("path"))
+
+
+def ref_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    w = _first_word()
+    k = F.col("doc_id") % 6
+    ref = (F.when(k == 0, F.concat(F.lit("HEAD~"), (F.col("doc_id") % 5).cast("string")))
+           .when(k == 1, F.concat(F.lit("origin/"), w)).when(k == 2, F.lit("main;rm"))
+           .when(k == 3, F.lit("-rf")).when(k == 4, F.lit("a..b")).otherwise(F.concat(w, F.lit("@{1}"))))
+    return d.select("doc_id", ref.alias("ref"))
+
+
+def quoted_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template-like commands with quoted prompts from documents' ASCII words."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z ]", "")
+    k = F.col("doc_id") % 4
+    prompt = (F.when(k == 0, F.concat(F.lit("'"), words, F.lit("'")))
+              .when(k == 1, F.concat(F.lit('"'), words, F.lit(' $@"')))
+              .when(k == 2, F.concat(F.lit("'"), words)).otherwise(words))
+    return d.select("doc_id", F.concat(F.lit("tool"), (F.col("doc_id") % 3).cast("string"), F.lit(" -p "), prompt)
+                    .alias("command"))
+
+
+# Template commands for the expansion job (the nine defaults'
+# commands are taken from the default catalogue; these add the reference's
+# test shapes).
+EXTRA_TEMPLATES = ["fake-ai --mode plan", "fake-ai -x 'Review: $@'", 'amp -x "Explain: $@"', "$@",
+                   "claude -p 'Review $@ and $@'"]
+
+
+def template_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Launch requests from documents: template by doc_id % 14; arguments are
+    the ASCII words of the first 30 characters unless doc_id % 3 = 0; piped
+    text (first 40 characters) when doc_id is even."""
+    from textloom.operators.catalogue import DEFAULT_TEMPLATES
+    commands = [c for _, c, _, _ in DEFAULT_TEMPLATES] + EXTRA_TEMPLATES
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id")
+    words = F.filter(F.split(F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z ]", ""), " "), lambda w: w != "")
+    arr = F.array(*[F.lit(c) for c in commands])
+    return d.select("doc_id", (k % len(commands)).cast("int").alias("template_idx"),
+                    F.element_at(arr, (k % len(commands) + 1).cast("int")).alias("command"),
+                    F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(words).alias("args"),
+                    F.when(k % 2 == 0, F.substring("text", 1, 40)).alias("piped"))
+
+
+def crawl_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl log from pages: each page redirects (302) to the next page while
+    page_id % 8 <> 0; every 50th points to a private address; for
+    page_id % 5 = 4 the target is scheme-relative."""
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
+    j = p.join(nxt, "page_id", "left")
+    k = F.col("page_id")
+    redirect = (k % 8 != 0)
+    location = (F.when(k % 50 == 49, F.lit("http://10.0.0.1/"))
+                .when(k % 5 == 4, F.regexp_replace(F.col("next_url"), "^[A-Za-z]+:", ""))
+                .otherwise(F.col("next_url")))
+    return j.select("page_id", "url", F.when(redirect, F.lit(302)).otherwise(F.lit(200)).alias("status"),
+                    F.when(redirect, location).alias("location"))

@@ -847,3 +847,143 @@ WITH items AS {LOOKUP_ITEMS},
   h AS {_fuzzy_pairs('q', 'v')},
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, ord) AS rank FROM h)
 SELECT query_id, rank::INT AS rank, r.ord, i.name, score FROM r JOIN items i ON i.ord = r.ord WHERE rank <= 10"""
+
+
+# --- Step 8: audits, tokens, expansion, redirects -----------------------------------
+from textloom.operators import audit as AU  # noqa: E402
+from textloom.plans import derive as DV  # noqa: E402
+
+_RULE_NAMES = [n for n, _ in S.DANGEROUS]
+
+
+def command_rules_sql(x: str) -> str:
+    t = js_trim(x)
+    parts = [f"CASE WHEN length({t}) = 0 THEN 'empty' END",
+             f"CASE WHEN {utf16_len(t)} > 500 THEN 'too_long' END",
+             f"CASE WHEN length({t}) > 0 AND NOT regexp_matches({t}, {q(S.SAFE_COMMAND)}) THEN 'characters' END"]
+    parts += [f"CASE WHEN regexp_matches({t}, {q(p)}) THEN {q(n)} END" for n, p in zip(_RULE_NAMES, DANGER_SQL)]
+    return "list_filter([" + ", ".join(parts) + "], lambda r: r IS NOT NULL)"
+
+
+_MARKS = "[" + ", ".join(q(m) for m in DV.UNSAFE_MARKS) + "]"
+COMMAND_LOG = f"""(SELECT doc_id, regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g') || {_MARKS}[doc_id % 9 + 1] AS command
+  FROM documents)"""
+
+ORACLE["command_screen"] = f"""
+SELECT doc_id, command, len(b) = 0 AS ok, array_to_string(b, ',') AS broken
+FROM (SELECT doc_id, command, {command_rules_sql('command')} AS b FROM {COMMAND_LOG})"""
+
+ORACLE["command_rule_counts"] = f"""
+SELECT rule, count(*) AS n FROM (SELECT unnest({command_rules_sql('command')}) AS rule FROM {COMMAND_LOG}) GROUP BY rule"""
+
+ORACLE["command_name_screen"] = f"""
+SELECT doc_id, name, len(b) = 0 AS ok, array_to_string(b, ',') AS broken FROM (
+  SELECT doc_id, name, list_filter([CASE WHEN NOT regexp_matches(name, {q(S.SAFE_COMMAND_NAME)}) THEN 'characters' END,
+    CASE WHEN length(name) > 100 THEN 'too_long' END], lambda r: r IS NOT NULL) AS b
+  FROM (SELECT doc_id, string_split(command, ' ')[1] AS name FROM {COMMAND_LOG}))"""
+
+ORACLE["argument_screen"] = f"""
+SELECT doc_id, to_json(args)::VARCHAR AS args, len(b) = 0 AS ok, array_to_string(b, ',') AS broken FROM (
+  SELECT doc_id, args, list_filter([
+    CASE WHEN len(list_filter(args, lambda x: NOT regexp_matches(x, {q(S.SAFE_ARGUMENT)}))) > 0 THEN 'characters' END,
+    CASE WHEN len(list_filter(args, lambda x: {utf16_len('x')} > 200)) > 0 THEN 'too_long' END], lambda r: r IS NOT NULL) AS b
+  FROM (SELECT doc_id, list_filter(string_split(substr(text, 1, 60), ' '), lambda w: w <> '') || CASE doc_id % 5
+      WHEN 0 THEN [';'] WHEN 1 THEN ['a|b'] WHEN 2 THEN [repeat('x', 201)] WHEN 3 THEN ['ok-arg'] ELSE []::VARCHAR[] END AS args
+    FROM documents))"""
+
+_W = "regexp_extract(text, '[A-Za-z]+', 0)"
+PATH_LOG = f"""(SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'out/' || {_W} || '.md' WHEN 1 THEN './' || {_W} || '.md'
+    WHEN 2 THEN '/tmp/' || {_W} WHEN 3 THEN 'C:/' || {_W} WHEN 4 THEN 'docs/.' || {_W} WHEN 5 THEN '../' || {_W}
+    WHEN 6 THEN 'etc/' || {_W} WHEN 7 THEN 'con.' || {_W} WHEN 8 THEN 'a\\..\\' || {_W} ELSE '   ' END AS path FROM documents)"""
+_DEV = ", ".join(q(d) for d in S.DEVICE_NAMES)
+_PROT = ", ".join(q(d) for d in S.PROTECTED_ROOTS)
+ORACLE["path_screen"] = f"""
+SELECT doc_id, path, reason IS NULL AS ok, reason FROM (
+  SELECT doc_id, path, CASE WHEN path IS NULL OR length({js_trim('path')}) = 0 THEN 'escape'
+    WHEN n = '' OR n = '.' THEN 'escape'
+    WHEN starts_with(n, '/') OR regexp_matches(path, '^[A-Za-z]:[/\\\\]') OR starts_with(path, '\\') OR regexp_matches(n, '^[A-Za-z]:') THEN 'absolute'
+    WHEN list_filter(sr, lambda x: x IS NOT NULL)[1] IS NOT NULL THEN list_filter(sr, lambda x: x IS NOT NULL)[1]
+    WHEN lower(segs[1]) IN ({_PROT}) THEN 'protected' END AS reason
+  FROM (SELECT *, list_transform(segs, lambda s: CASE WHEN s = '..' THEN 'escape' WHEN starts_with(s, '.') THEN 'hidden'
+          WHEN lower(string_split(s, '.')[1]) IN ({_DEV}) THEN 'protected' END) AS sr
+        FROM (SELECT *, list_filter(string_split(n, '/'), lambda s: length(s) > 0) AS segs
+              FROM (SELECT *, regexp_replace(replace(path, '\\', '/'), '^(\\./)+', '') AS n FROM {PATH_LOG}))))"""
+
+ORACLE["ref_screen"] = f"""
+SELECT doc_id, ref, len(b) = 0 AS ok, array_to_string(b, ',') AS broken FROM (
+  SELECT doc_id, ref, list_filter([CASE WHEN NOT regexp_matches(ref, {q(S.SAFE_REF)}) THEN 'characters' END,
+    CASE WHEN starts_with(ref, '-') THEN 'leading_dash' END, CASE WHEN contains(ref, '..') THEN 'dotdot' END,
+    CASE WHEN regexp_matches(ref, {q(S.REF_SHELL_MARKS)}) THEN 'shell_marks' END], lambda r: r IS NOT NULL) AS b
+  FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'HEAD~' || (doc_id % 5) WHEN 1 THEN 'origin/' || {_W}
+      WHEN 2 THEN 'main;rm' WHEN 3 THEN '-rf' WHEN 4 THEN 'a..b' ELSE {_W} || '@{{1}}' END AS ref FROM documents))"""
+
+QUOTED = """(SELECT doc_id, 'tool' || (doc_id % 3) || ' -p ' || CASE doc_id % 4
+    WHEN 0 THEN '''' || w || '''' WHEN 1 THEN '"' || w || ' $@"' WHEN 2 THEN '''' || w ELSE w END AS command
+  FROM (SELECT doc_id, regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g') AS w FROM documents))"""
+
+ORACLE["placeholder_counts"] = f"SELECT doc_id, len(regexp_extract_all(command, '\\$@')) AS placeholders FROM {QUOTED}"
+ORACLE["command_tokens"] = f"""
+SELECT doc_id, t[1] AS cmd, len(t) AS n_tokens, to_json(t)::VARCHAR AS tokens
+FROM (SELECT doc_id, regexp_extract_all(command, {q(S.TOKEN_RE)}, 1) AS t FROM {QUOTED})"""
+
+
+def _strip(t: str) -> str:
+    return (f"CASE WHEN length({t}) >= 2 AND ((left({t}, 1) = '''' AND right({t}, 1) = '''') OR (left({t}, 1) = '\"' "
+            f"AND right({t}, 1) = '\"')) THEN substr({t}, 2, length({t}) - 2) ELSE {t} END")
+
+
+_TEMPLATES = [c for _, c, _, _ in CT.DEFAULT_TEMPLATES] + DV.EXTRA_TEMPLATES
+_TLIST = "[" + ", ".join(q(c) for c in _TEMPLATES) + "]"
+ORACLE["expand_templates"] = f"""
+WITH r AS (SELECT doc_id, (doc_id % {len(_TEMPLATES)})::INT AS template_idx, {_TLIST}[doc_id % {len(_TEMPLATES)} + 1] AS command,
+    CASE WHEN doc_id % 3 = 0 THEN []::VARCHAR[] ELSE list_filter(string_split(regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g'), ' '), lambda w: w <> '') END AS args,
+    CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 40) END AS piped FROM documents),
+s AS (SELECT *, len(regexp_extract_all(command, '\\$@')) AS n, regexp_extract_all(command, {q(S.TOKEN_RE)}, 1) AS tok,
+    len(args) > 0 AS has_args, coalesce(length(piped) > 0, false) AS has_stdin FROM r),
+v AS (SELECT *, CASE WHEN len({command_rules_sql('command')}) > 0 THEN 'Invalid command format'
+      WHEN len(list_filter(args, lambda x: NOT regexp_matches(x, {q(S.SAFE_ARGUMENT)}) OR {utf16_len('x')} > 200)) > 0 THEN 'Invalid argument format'
+      WHEN contains(command, '$@') AND NOT has_args AND NOT has_stdin THEN 'This template requires input.'
+      WHEN n > 1 THEN {q(AU.MANY_PLACEHOLDERS)} WHEN len(tok) = 0 THEN 'Empty command' END AS reason,
+    CASE WHEN has_args THEN array_to_string(args, ' ') WHEN has_stdin THEN piped ELSE '' END AS inp FROM s)
+SELECT doc_id, template_idx, reason IS NULL AS ok, reason,
+  CASE WHEN reason IS NULL THEN CASE WHEN n = 1 AND contains(tok[1], '$@') THEN {_strip("replace(tok[1], '$@', inp)")} ELSE tok[1] END END AS cmd,
+  CASE WHEN reason IS NULL THEN to_json(CASE WHEN n = 1 THEN list_transform(tok[2:], lambda t: CASE WHEN contains(t, '$@')
+      THEN {_strip("replace(t, '$@', inp)")} ELSE {_strip('t')} END)
+    ELSE list_transform(tok[2:], lambda t: {_strip('t')}) || CASE WHEN length(inp) > 0 THEN [inp] ELSE []::VARCHAR[] END END)::VARCHAR END AS argv
+FROM v"""
+
+
+def _resolve_sql(base: str, loc: str) -> str:
+    return (f"CASE WHEN regexp_matches({loc}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN {loc} "
+            f"WHEN starts_with({loc}, '//') THEN regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*:)', 1) || {loc} "
+            f"WHEN starts_with({loc}, '/') THEN regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || {loc} "
+            f"ELSE CASE WHEN regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^?#]*/)', 1) = '' "
+            f"THEN regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || '/' "
+            f"ELSE regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^?#]*/)', 1) END || {loc} END")
+
+
+CRAWL = """(SELECT p.page_id, p.url, CASE WHEN p.page_id % 8 <> 0 THEN 302 ELSE 200 END AS status,
+    CASE WHEN p.page_id % 8 <> 0 THEN CASE WHEN p.page_id % 50 = 49 THEN 'http://10.0.0.1/'
+      WHEN p.page_id % 5 = 4 THEN regexp_replace(n.url, '^[A-Za-z]+:', '') ELSE n.url END END AS location
+  FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1)"""
+
+ORACLE["redirect_chains"] = f"""
+WITH RECURSIVE h AS (SELECT *, CASE WHEN status BETWEEN 300 AND 399 AND length(location) > 0 THEN {_resolve_sql('url', 'location')} END AS next_url
+    FROM {CRAWL}),
+ns AS ({url_screen_sql('(SELECT DISTINCT next_url FROM h WHERE next_url IS NOT NULL)', 'next_url', 'next_url')}),
+hs AS (SELECT h.*, ns.reason AS next_reason FROM h LEFT JOIN ns ON ns.url = h.next_url),
+ss AS ({url_screen_sql('pages', 'page_id', 'url')}),
+walk(start_id, source, cur, redirects, step, reason, done) AS (
+  SELECT id, url, url, 0, 0, reason, reason IS NOT NULL FROM ss
+  UNION ALL
+  SELECT start_id, source, CASE WHEN stop THEN cur ELSE next_url END, CASE WHEN stop THEN redirects ELSE redirects + 1 END,
+    step + 1, r, stop
+  FROM (SELECT w.start_id, w.source, w.cur, w.redirects, w.step, hs.next_url,
+      CASE WHEN hs.url IS NULL THEN 'Failed to fetch URL: no snapshot'
+        WHEN hs.status BETWEEN 300 AND 399 AND coalesce(length(hs.location), 0) = 0 THEN {q(AU.NO_LOCATION)}
+        WHEN hs.status BETWEEN 300 AND 399 AND hs.next_reason IS NOT NULL THEN hs.next_reason
+        WHEN hs.status BETWEEN 300 AND 399 AND w.step = 5 THEN 'Too many redirects'
+        WHEN NOT hs.status BETWEEN 200 AND 299 AND NOT hs.status BETWEEN 300 AND 399 THEN 'URL returned ' || hs.status || ': ' END AS r,
+      (CASE WHEN hs.url IS NULL THEN true ELSE NOT hs.status BETWEEN 300 AND 399 END) AS nr
+    FROM walk w LEFT JOIN hs ON hs.url = w.cur WHERE NOT w.done) x, LATERAL (SELECT r IS NOT NULL OR nr AS stop) y)
+SELECT start_id, source, cur AS final_url, redirects, reason IS NULL AS ok, reason FROM walk WHERE done"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import (bound_text, content_category, html_to_text, is_html, js_trim, utf16_length,
@@ -13,6 +13,8 @@ from textloom.functions.text import (bound_text, content_category, html_to_text,
 from textloom.functions.url import with_url_screen
 from textloom.plans import derive
 from textloom.session import read_table
+from textloom.functions import screens as S
+from textloom.operators.audit import audit_log, expand_templates, redirect_chains, rule_counts
 from textloom.operators.answers import (meeting_report, recover_json, summary_markdown, typed_classes,
                                        typed_meetings, typed_summaries)
 from textloom.operators.catalogue import (catalogue_merge, lint_configs, lint_report, profile_rows, selectable_items,
@@ -373,3 +375,71 @@ def q_lookup_tiers(spark, sf):
 @query("search_topk")
 def q_search_topk(spark, sf):
     return search_topk(derive.misspelt_names(spark, sf), derive.part_catalogue(spark, sf), k=10)
+
+
+# --- Step 8: audits, tokens, template expansion, redirects ---------------------
+
+def _joined(c: str) -> Column:
+    return F.array_join(F.col(c), ",")
+
+
+@query("command_screen")
+def q_command_screen(spark, sf):
+    a = audit_log(derive.command_log(spark, sf), S.command_rules("command"))
+    return a.select("doc_id", "command", "ok", _joined("broken").alias("broken"))
+
+
+@query("command_rule_counts")
+def q_command_rule_counts(spark, sf):
+    return rule_counts(audit_log(derive.command_log(spark, sf), S.command_rules("command")))
+
+
+@query("command_name_screen")
+def q_command_name_screen(spark, sf):
+    c = derive.command_log(spark, sf).withColumn("name", F.split("command", " ").getItem(0))
+    a = audit_log(c, S.command_name_rules("name"))
+    return a.select("doc_id", "name", "ok", _joined("broken").alias("broken"))
+
+
+@query("argument_screen")
+def q_argument_screen(spark, sf):
+    a = audit_log(derive.argument_log(spark, sf), S.argument_rules("args"))
+    return a.select("doc_id", F.to_json("args").alias("args"), "ok", _joined("broken").alias("broken"))
+
+
+@query("path_screen")
+def q_path_screen(spark, sf):
+    p = derive.path_log(spark, sf).withColumn("reason", S.path_reason("path"))
+    return p.select("doc_id", "path", F.col("reason").isNull().alias("ok"), "reason")
+
+
+@query("ref_screen")
+def q_ref_screen(spark, sf):
+    a = audit_log(derive.ref_log(spark, sf), S.ref_rules("ref"))
+    return a.select("doc_id", "ref", "ok", _joined("broken").alias("broken"))
+
+
+@query("placeholder_counts")
+def q_placeholder_counts(spark, sf):
+    c = derive.quoted_commands(spark, sf)
+    return c.select("doc_id", S.placeholder_count("command").alias("placeholders"))
+
+
+@query("command_tokens")
+def q_command_tokens(spark, sf):
+    c = derive.quoted_commands(spark, sf).withColumn("tokens", S.command_tokens("command"))
+    return c.select("doc_id", F.element_at("tokens", 1).alias("cmd"), F.size("tokens").alias("n_tokens"),
+                    F.to_json("tokens").alias("tokens"))
+
+
+@query("expand_templates")
+def q_expand_templates(spark, sf):
+    e = expand_templates(derive.template_requests(spark, sf))
+    return e.select("doc_id", "template_idx", "ok", "reason", "cmd", F.to_json("argv").alias("argv"))
+
+
+@query("redirect_chains")
+def q_redirect_chains(spark, sf):
+    hops = derive.crawl_hops(spark, sf)
+    starts = read_table(spark, sf, "pages").select(F.col("page_id").alias("start_id"), "url")
+    return redirect_chains(starts, hops).select("start_id", "source", "final_url", "redirects", "ok", "reason")
