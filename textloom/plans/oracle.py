@@ -512,7 +512,8 @@ TYPED_SUMMARIES = f"""(WITH r AS (SELECT doc_id, {recover_sql('raw')} AS j FROM
     CASE WHEN reason IS NULL THEN json_extract_string(j, '$.importance') END AS importance
   FROM v)"""
 
-ORACLE["typed_summaries"] = f"SELECT * FROM {TYPED_SUMMARIES}"
+ORACLE["typed_summaries"] = f"""SELECT * REPLACE (to_json(key_points)::VARCHAR AS key_points,
+  to_json(action_items)::VARCHAR AS action_items) FROM {TYPED_SUMMARIES}"""
 
 ORACLE["summary_markdown"] = f"""
 SELECT doc_id, {js_trim("'# ' || CASE WHEN length(title) > 0 THEN title ELSE 'Untitled' END || chr(10) || chr(10) || summary || chr(10) || chr(10) || CASE WHEN len(key_points) > 0 THEN '## Key Points' || chr(10) || array_to_string(list_transform(key_points, lambda p: '- ' || p), chr(10)) || chr(10) || chr(10) ELSE '' END || CASE WHEN len(action_items) > 0 THEN '## Action Items' || chr(10) || array_to_string(list_transform(action_items, lambda p: '- [ ] ' || p), chr(10)) || chr(10) || chr(10) ELSE '' END || '_Category: ' || category || ' | Importance: ' || importance || '_'")} AS markdown
@@ -588,7 +589,8 @@ TYPED_MEETINGS = f"""(WITH a AS (SELECT *, CASE WHEN parsed IS NOT NULL THEN par
   FROM v)"""
 
 ORACLE["typed_meetings"] = f"""
-SELECT conv_id, ok, reason, summary, risks, to_json(items)::VARCHAR AS action_items FROM {TYPED_MEETINGS}"""
+SELECT conv_id, ok, reason, summary, to_json(risks)::VARCHAR AS risks, to_json(items)::VARCHAR AS action_items
+FROM {TYPED_MEETINGS}"""
 
 ORACLE["action_items"] = f"""
 SELECT conv_id, (i - 1)::INT AS pos, items[i].owner AS owner, items[i].task AS task, items[i].due AS due
@@ -741,10 +743,10 @@ SELECT l.config_id, 'Config validation failed:' || chr(10) || chr(10)
 FROM {LINT} l LEFT JOIN {CONFIG_DOCS} d ON d.config_id = l.config_id GROUP BY l.config_id"""
 
 ORACLE["selectable_items"] = f"""
-SELECT config_id, CASE WHEN origin = 'config' THEN ord ELSE ord + (1::BIGINT << 30) END AS pos, name, command, '' AS description,
+SELECT * REPLACE (to_json(aliases)::VARCHAR AS aliases) FROM (SELECT config_id, CASE WHEN origin = 'config' THEN ord ELSE ord + (1::BIGINT << 30) END AS pos, name, command, '' AS description,
   false AS is_template, []::VARCHAR[] AS aliases FROM {MERGED}
 UNION ALL SELECT config_id, (1::BIGINT << 40) + pos, name, command, description, true, coalesce(aliases, []::VARCHAR[])
-FROM {TEMPLATE_DEFAULTS}"""
+FROM {TEMPLATE_DEFAULTS})"""
 
 STATUS_LOGS = """(WITH s AS (SELECT s_nationkey::BIGINT AS log_id, s_suppkey, s_nationkey % 3 AS style, lower(s_name) AS nm,
     CASE WHEN s_suppkey % 3 = 0 THEN '[!]' ELSE '[OK]' END AS st FROM supplier),

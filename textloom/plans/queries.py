@@ -245,8 +245,9 @@ def _typed_summaries(spark, sf) -> DataFrame:
 
 @query("typed_summaries")
 def q_typed_summaries(spark, sf):
-    return _typed_summaries(spark, sf).select("doc_id", "ok", "reason", "title", "summary", "key_points",
-                                              "action_items", "category", "importance")
+    return _typed_summaries(spark, sf).select("doc_id", "ok", "reason", "title", "summary",
+                                              F.to_json("key_points").alias("key_points"),
+                                              F.to_json("action_items").alias("action_items"), "category", "importance")
 
 
 @query("summary_markdown")
@@ -279,7 +280,7 @@ def _typed_meetings(spark, sf) -> DataFrame:
 
 @query("typed_meetings")
 def q_typed_meetings(spark, sf):
-    return _typed_meetings(spark, sf).select("conv_id", "ok", "reason", "summary", "risks",
+    return _typed_meetings(spark, sf).select("conv_id", "ok", "reason", "summary", F.to_json("risks").alias("risks"),
                                              F.to_json("action_items").alias("action_items"))
 
 
@@ -348,7 +349,7 @@ def q_selectable_items(spark, sf):
                          .otherwise(F.col("ord") + F.lit(1 << 30))))
     temps = template_defaults(derive.template_catalogues(spark, sf)).withColumnRenamed("pos", "ord")
     return selectable_items(tools, temps).select("config_id", "pos", "name", "command", "description",
-                                                 "is_template", "aliases")
+                                                 "is_template", F.to_json("aliases").alias("aliases"))
 
 
 @query("status_rows")
