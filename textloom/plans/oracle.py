@@ -989,3 +989,11 @@ walk(start_id, source, cur, redirects, step, reason, done) AS (
       (CASE WHEN hs.url IS NULL THEN true ELSE NOT hs.status BETWEEN 300 AND 399 END) AS nr
     FROM walk w LEFT JOIN hs ON hs.url = w.cur WHERE NOT w.done) x, LATERAL (SELECT r IS NOT NULL OR nr AS stop) y)
 SELECT start_id, source, cur AS final_url, redirects, reason IS NULL AS ok, reason FROM walk WHERE done"""
+
+
+# --- Step 9: streaming round trips ------------------------------------------------
+ORACLE["assemble_stream"] = "SELECT conv_id, turn, coalesce(text, '') AS text, true AS complete FROM conversations"
+ORACLE["progress_chunks"] = """
+SELECT conv_id, turn, (i - 1)::INT AS seq, p[i] AS delta
+FROM (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '(?s).{1,20}') AS p FROM conversations) c,
+  range(1, len(c.p) + 1) r(i)"""

@@ -12,6 +12,7 @@ from textloom.functions.text import (bound_text, content_category, html_to_text,
                                      was_cut)
 from textloom.functions.url import with_url_screen
 from textloom.plans import derive
+from textloom.streaming.assemble import assemble_stream, progress_chunks, replay_wire_lines, run_to_table
 from textloom.session import read_table
 from textloom.functions import screens as S
 from textloom.operators.audit import audit_log, expand_templates, redirect_chains, rule_counts
@@ -444,3 +445,27 @@ def q_redirect_chains(spark, sf):
     hops = derive.crawl_hops(spark, sf)
     starts = read_table(spark, sf, "pages").select(F.col("page_id").alias("start_id"), "url")
     return redirect_chains(starts, hops).select("start_id", "source", "final_url", "redirects", "ok", "reason")
+
+
+# --- Step 9: Structured Streaming ---------------------------------------------
+
+def _timed_wire_lines(spark, sf) -> DataFrame:
+    """Wire lines with an event time: one second per line within a turn."""
+    w = derive.wire_lines(spark, sf)
+    return w.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 100 + F.col("turn") * 10
+                                                  + F.col("seq")))
+
+
+@query("assemble_stream")
+def q_assemble_stream(spark, sf):
+    """T5: the streamed answers assembled with keyed state equal the texts."""
+    src = replay_wire_lines(spark, _timed_wire_lines(spark, sf), files=4)
+    return run_to_table(spark, assemble_stream(src, watermark="1 day"), "assemble").select(
+        "conv_id", "turn", "text", "complete")
+
+
+@query("progress_chunks")
+def q_progress_chunks(spark, sf):
+    """Deltas in append mode, as they arrive."""
+    src = replay_wire_lines(spark, _timed_wire_lines(spark, sf), files=4)
+    return run_to_table(spark, progress_chunks(src), "progress")
