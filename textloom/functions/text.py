@@ -28,17 +28,23 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The same set as characters, for the built-in trim functions: they scan the
+# two ends only, where a regex would scan the whole text.
+JS_WS_CHARS = ("\t\n\x0b\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000\ufeff")
+
+
 def js_trim(col) -> Column:
-    """String.prototype.trim (\\A and \\z, not ^/$, so a final U+0085 is not a line end)."""
-    return F.regexp_replace(_c(col), rf"\A{JS_WS}+|{JS_WS}+\z", "")
+    """String.prototype.trim."""
+    return F.trim(_c(col), F.lit(JS_WS_CHARS))
 
 
 def js_trim_end(col) -> Column:
-    return F.regexp_replace(_c(col), rf"{JS_WS}+\z", "")
+    return F.rtrim(_c(col), F.lit(JS_WS_CHARS))
 
 
 def js_trim_start(col) -> Column:
-    return F.regexp_replace(_c(col), rf"\A{JS_WS}+", "")
+    return F.ltrim(_c(col), F.lit(JS_WS_CHARS))
 
 
 def collapse_ws(col) -> Column:

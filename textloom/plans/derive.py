@@ -69,8 +69,10 @@ def doc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference resolves an argument), with their detected category."""
     from textloom.functions.text import bound_text, content_category, js_trim
     d = mixed_documents(spark, sf_dir)
-    return (d.withColumn("content", bound_text(js_trim("text")))
-            .withColumn("category", content_category(F.col("content"))).drop("text"))
+    # Each stage is its own column, so the trimmed text is computed once and
+    # referenced, not re-evaluated inside every branch of the bound.
+    return (d.withColumn("_t", js_trim("text")).withColumn("content", bound_text("_t"))
+            .withColumn("category", content_category(F.col("content"))).drop("text", "_t"))
 
 
 def summary_variables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,10 +56,9 @@ def q_page_gate(spark, sf):
 
 @query("bound_text")
 def q_bound_text(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
-    t = js_trim("text")
-    return d.select("doc_id", utf16_length(t).alias("n_units"), was_cut(t).alias("was_cut"),
-                    bound_text(t).alias("content"))
+    d = read_table(spark, sf, "documents").select("doc_id", "text").withColumn("_t", js_trim("text"))
+    return d.select("doc_id", utf16_length("_t").alias("n_units"), was_cut("_t").alias("was_cut"),
+                    bound_text("_t").alias("content"))
 
 
 @query("url_screen")
@@ -75,8 +74,8 @@ def q_url_reject_counts(spark, sf):
 
 @query("content_category")
 def q_content_category(spark, sf):
-    d = derive.mixed_documents(spark, sf)
-    return d.select("doc_id", "lang", "source", content_category(bound_text(js_trim("text"))).alias("category"))
+    d = derive.mixed_documents(spark, sf).withColumn("_t", js_trim("text")).withColumn("_c", bound_text("_t"))
+    return d.select("doc_id", "lang", "source", content_category("_c").alias("category"))
 
 
 @query("category_counts")

@@ -54,14 +54,16 @@ def resolve_inputs(requests: DataFrame, snapshots: DataFrame | None = None, file
     a = F.col(args)
     first = F.element_at(a, 1)
     n = F.coalesce(F.size(a), F.lit(0))
-    piped_text = js_trim(F.coalesce(F.col(piped), F.lit("")))
-    joined = js_trim(F.array_join(a, " "))
+    piped_text = F.col("_piped_t")
+    joined = F.col("_joined_t")
     looks_url = F.coalesce(F.col("_f_ok") | (F.col("_f_reason") == REASON_PRIVATE), F.lit(False))
     kind = (F.when(n <= 0, F.lit("stdin"))
             .when(first == "", F.lit("empty"))
             .when(first == "-", F.lit("stdin"))
             .when(looks_url, F.lit("url")))
     df = (requests.withColumn("_first", first)
+          .withColumn("_piped_t", js_trim(F.coalesce(F.col(piped), F.lit(""))))
+          .withColumn("_joined_t", js_trim(F.array_join(a, " ")))
           .transform(lambda d: with_url_screen(d, "_first", prefix="_f_"))
           .withColumn("kind", kind).withColumn("_key", F.when(F.col("kind") == "url", first))
           .drop("_first", "_f_scheme", "_f_host", "_f_ok", "_f_reason"))
@@ -100,7 +102,7 @@ def resolve_inputs(requests: DataFrame, snapshots: DataFrame | None = None, file
             .withColumn("content", F.when(F.col("ok"), content))
             .withColumn("source", F.when(F.col("ok"), source))
             .drop("_key", "_ukey", "_ucontent", "_uok", "_ureason", "_fkey", "_fpath", "_fcontent", "_fok",
-                  "_freason"))
+                  "_freason", "_piped_t", "_joined_t"))
 
 
 def transcripts(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
@@ -118,12 +120,14 @@ def transcripts(turns: DataFrame, key: str = "conv_id", order: str = "turn", tex
 
 def patches(df: DataFrame, kind: str = "kind", ref: str = "ref", diff: str = "diff") -> DataFrame:
     """Trim, reject empty, warn above 8 MiB, reject above 10 MiB, commit needs a ref."""
-    d = js_trim(F.coalesce(F.col(diff), F.lit("")))
+    df = df.withColumn("_d", js_trim(F.coalesce(F.col(diff), F.lit(""))))
+    d = F.col("_d")
     size = F.octet_length(F.col(diff))
     reason = (F.when((F.col(kind) != "staged") & (F.coalesce(F.col(ref), F.lit("")) == ""), F.lit(MISSING_REF))
               .when(size > MAX_DIFF_BYTES,
                     F.lit("Diff too large (exceeds 10MB limit). Consider analyzing specific files or commits separately."))
               .when(F.length(d) == 0, F.lit(NO_CHANGES)))
     status = F.when(reason.isNotNull(), "reject").when(F.octet_length(d) > WARN_DIFF_BYTES, "warn").otherwise("ok")
-    return (df.withColumn("patch", F.when(reason.isNull(), d))
-            .withColumn("status", status).withColumn("reason", reason))
+    return (df.withColumn("reason", reason).withColumn("patch", F.when(F.col("reason").isNull(), d))
+            .withColumn("status", F.when(F.col("reason").isNotNull(), "reject")
+                        .when(F.octet_length(d) > WARN_DIFF_BYTES, "warn").otherwise("ok")).drop("_d"))
