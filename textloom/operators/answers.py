@@ -139,6 +139,14 @@ def zod_type(x: Column) -> Column:
             .otherwise(F.lit("number")))
 
 
+def parse_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add ``name`` = expr, produced by a one-element explode. A filter on a
+    column derived from it (such as ``ok``) can then not be pushed below the
+    generator, which would inline the parse into every reference of the
+    filter and parse each answer many times."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def _get(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
@@ -197,7 +205,7 @@ def typed_summaries(df: DataFrame, json_col: str = "json") -> DataFrame:
     reason = (F.when(v.isNull(), F.coalesce(F.col("reason"), F.lit(NO_JSON)))
               .when(top != "object", F.format_string("Expected object, received %s", top))
               .otherwise(F.when(F.size(F.array_compact(issues)) > 0, F.array_join(F.array_compact(issues), "; "))))
-    out = (df.withColumn("_v", F.try_parse_json(F.col(json_col)))
+    out = (parse_once(df, "_v", F.try_parse_json(F.col(json_col)))
            .withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()))
     ok = F.col("ok")
     return (out.withColumn("title", F.when(ok, _get(v, "$.title").cast("string")))
@@ -250,8 +258,7 @@ def typed_meetings(df: DataFrame, refusal: str = "refusal", parsed: str = "parse
               .when(v.isNull(), F.lit("Invalid JSON in model output"))
               .when(top != "object", F.format_string("Expected object, received %s", top))
               .otherwise(F.when(F.size(F.array_compact(issues)) > 0, F.array_join(F.array_compact(issues), "; "))))
-    out = (df.withColumn("_src", src)
-           .withColumn("_v", F.try_parse_json(F.col("_src")))
+    out = (parse_once(df.withColumn("_src", src), "_v", F.try_parse_json(F.col("_src")))
            .withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()))
     ok = F.col("ok")
     items = F.transform(F.try_variant_get(v, "$.action_items", "array<variant>"),
@@ -279,7 +286,7 @@ def typed_classes(df: DataFrame, json_col: str = "json") -> DataFrame:
     why = (F.when(v.isNull(), F.coalesce(F.col("reason"), F.lit(NO_JSON)))
            .when(top != "object", F.format_string("Expected object, received %s", top))
            .otherwise(F.when(F.size(issues) > 0, F.array_join(issues, "; "))))
-    out = df.withColumn("_v", F.try_parse_json(F.col(json_col))).withColumn("reason", why) \
+    out = parse_once(df, "_v", F.try_parse_json(F.col(json_col))).withColumn("reason", why) \
         .withColumn("ok", F.col("reason").isNull())
     ok = F.col("ok")
     return (out.withColumn("category", F.when(ok, _get(v, "$.category").cast("string")))
