@@ -71,13 +71,19 @@ def fuzzy_matches(queries: DataFrame, values: DataFrame) -> DataFrame:
     """(query_id, ord, score) for every item value within the threshold; an
     item with several values keeps its best score. ``queries`` has
     query_id, ql (lower-cased query), m (its length > 0); ``values`` has ord,
-    value (lower-cased)."""
-    qp = queries.select("query_id", "ql", "m", F.explode(F.array_distinct(pieces(F.col("ql"), F.col("m")))).alias("g"))
-    cand = (qp.join(_item_grams(values), "g").select("query_id", "ql", "m", "ord", "value").distinct())
+    value (lower-cased).
+
+    Scores depend only on the query text, so they are computed once per
+    distinct text and joined back to the query ids: repeated queries (and a
+    hot query holding a large share of the rows) cost one scoring."""
+    texts = queries.select("ql", "m").distinct()
+    qp = texts.select("ql", "m", F.explode(F.array_distinct(pieces(F.col("ql"), F.col("m")))).alias("g"))
+    cand = qp.join(_item_grams(values), "g").select("ql", "m", "ord", "value").distinct()
     scored = cand.withColumn("d", substring_distance(F.col("value"), F.col("ql"), F.col("m")))
     k = F.floor(F.col("m") * THRESHOLD)
-    return (scored.where(F.col("d") <= k)
-            .groupBy("query_id", "ord").agg((F.min("d") / F.first("m")).alias("score")))
+    per_text = (scored.where(F.col("d") <= k)
+                .groupBy("ql", "ord").agg((F.min("d") / F.first("m")).alias("score")))
+    return queries.select("query_id", "ql").join(per_text, "ql").select("query_id", "ord", "score")
 
 
 def lookup_cascade(queries: DataFrame, items: DataFrame) -> DataFrame:
@@ -85,8 +91,17 @@ def lookup_cascade(queries: DataFrame, items: DataFrame) -> DataFrame:
     (array<string>), command, prompt_command, prompt_use_stdin.
 
     Returns one row per query: query_id, query, ok, tier, ord, name, score,
-    error, command_for_prompt, pipe_input."""
+    error, command_for_prompt, pipe_input.
+
+    The queries, the catalogue and each tier's result are checkpointed to the
+    shared checkpoint folder: every later tier reads them again, and without
+    the cuts each branch would re-derive its inputs from the sources (no
+    exchange reuse across differently optimised copies)."""
+    from textloom.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(queries.sparkSession)
     q = (queries.withColumn("ql", F.lower("query")).withColumn("m", F.coalesce(F.length("query"), F.lit(0))))
+    q = q.checkpoint(eager=True)
+    items = items.checkpoint(eager=True)
     live = q.where(F.col("m") > 0)
     names = items.select("ord", F.lower("name").alias("nl"))
 
@@ -98,7 +113,7 @@ def lookup_cascade(queries: DataFrame, items: DataFrame) -> DataFrame:
     first = exact.unionByName(alias)
     # Lowest tier, then first in list order
     first = first.groupBy("query_id").agg(F.min(F.struct("tier_no", "ord")).alias("b")).select(
-        "query_id", F.col("b.tier_no").alias("tier_no"), F.col("b.ord").alias("ord"))
+        "query_id", F.col("b.tier_no").alias("tier_no"), F.col("b.ord").alias("ord")).checkpoint(eager=True)
 
     rest = live.join(first.select("query_id"), "query_id", "left_anti")
     # Candidates containing the query: join on the query's first <=3 characters.
@@ -113,14 +128,15 @@ def lookup_cascade(queries: DataFrame, items: DataFrame) -> DataFrame:
     substr = (cand.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("ord").alias("ord"))
               .where(F.col("c") == 1).select("query_id", "ord", F.lit(3).alias("tier_no")))
     second = suffix.unionByName(substr).groupBy("query_id").agg(F.min(F.struct("tier_no", "ord")).alias("b")).select(
-        "query_id", F.col("b.tier_no").alias("tier_no"), F.col("b.ord").alias("ord"))
+        "query_id", F.col("b.tier_no").alias("tier_no"), F.col("b.ord").alias("ord")).checkpoint(eager=True)
 
     rest2 = rest.join(second.select("query_id"), "query_id", "left_anti")
     fz = fuzzy_matches(rest2.select("query_id", "ql", "m"), names.select("ord", F.col("nl").alias("value")))
     # Rank by (score, ord); ambiguity from the gap between the top two.
     w = Window.partitionBy("query_id").orderBy("score", "ord")
     ranked = (fz.withColumn("rn", F.row_number().over(w))
-              .withColumn("top", F.first("score").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+              .withColumn("top", F.first("score").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+              .checkpoint(eager=True))
     per_q = ranked.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("score").alias("s1"),
         F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("s2"),
