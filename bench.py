@@ -20,6 +20,7 @@ HEADLINE = [
     "meeting_prompts", "diff_prompts", "route_requests", "request_payloads", "openai_text", "reframed_text",
     "recover_json", "typed_summaries", "typed_meetings", "catalogue_merge", "template_defaults", "lint_catalogue",
     "lookup_cascade", "search_topk", "command_screen", "expand_templates", "redirect_chains", "assemble_stream",
+    "summary_pipeline",
 ]
 
 

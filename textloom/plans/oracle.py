@@ -997,3 +997,12 @@ ORACLE["progress_chunks"] = """
 SELECT conv_id, turn, (i - 1)::INT AS seq, p[i] AS delta
 FROM (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '(?s).{1,20}') AS p FROM conversations) c,
   range(1, len(c.p) + 1) r(i)"""
+
+
+# --- Flagship pipeline: every valid prompt gets the mock answer ------------------
+_MOCK_MD = ("# Mock Summary\n\nThis is a mock summary generated because AI_SUMMARY_PROVIDER is set to mock.\n\n"
+            "## Key Points\n- Mock key point one\n- Mock key point two\n\n## Action Items\n- [ ] Mock action item one"
+            "\n\n_Category: article | Importance: low_")
+ORACLE["summary_pipeline"] = f"""
+SELECT doc_id, category AS detected_category, true AS ok, {q(_MOCK_MD)} AS markdown
+FROM {SUMMARY_VARS} WHERE len({SUMMARY_ISSUES}) = 0"""

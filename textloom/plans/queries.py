@@ -468,3 +468,21 @@ def q_progress_chunks(spark, sf):
     """Deltas in append mode, as they arrive."""
     src = replay_wire_lines(spark, _timed_wire_lines(spark, sf), files=4)
     return run_to_table(spark, progress_chunks(src), "progress")
+
+
+# --- The batch pipeline end to end (the flagship) -----------------------------
+
+@query("summary_pipeline")
+def q_summary_pipeline(spark, sf):
+    """Documents -> bounded text -> category -> summary prompt (rejects kept
+    out) -> mock responder (T7) -> assembly (A1) -> JSON recovery (X1) ->
+    typed summary (X2) -> Markdown (X6)."""
+    json_conf(spark)
+    prompts = _summary_render(derive.summary_variables(spark, sf)).where(F.col("ok"))
+    pieces = mock_responses(prompts.select(F.col("doc_id"), "category"), "doc_id")
+    answers = assemble(pieces, ["doc_id"], delta="delta", out="raw")
+    typed = typed_summaries(recover_json(answers).drop("route"))
+    md = summary_markdown(F.col("title"), F.col("summary"), F.col("key_points"), F.col("action_items"),
+                          F.col("category"), F.col("importance"))
+    return (typed.join(prompts.select("doc_id", F.col("category").alias("detected_category")), "doc_id")
+            .select("doc_id", "detected_category", "ok", md.alias("markdown")))
