@@ -181,11 +181,11 @@ def meeting_route(requests: DataFrame) -> DataFrame:
             .withColumn("resolved_temperature", F.when(ok, temp)))
 
 
-def mock_responses(requests: DataFrame, key: str) -> DataFrame:
+def mock_responses(requests: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
     """The fixed mock answer in pieces of at most 20 characters, one row
-    per piece: (key, seq, delta)."""
+    per piece: (key, [keep...], seq, delta)."""
     pieces = F.regexp_extract_all(F.lit(MOCK_RESPONSE), F.lit(".{1,%d}" % MOCK_PIECE), 0)
-    return requests.select(F.col(key), F.posexplode(pieces).alias("seq", "delta"))
+    return requests.select(F.col(key), *(keep or []), F.posexplode(pieces).alias("seq", "delta"))
 
 
 __all__ = ["route_requests", "request_body", "meeting_route", "temperature_check", "mock_responses",

@@ -479,10 +479,12 @@ def q_summary_pipeline(spark, sf):
     typed summary (X2) -> Markdown (X6)."""
     json_conf(spark)
     prompts = _summary_render(derive.summary_variables(spark, sf)).where(F.col("ok"))
-    pieces = mock_responses(prompts.select(F.col("doc_id"), "category"), "doc_id")
-    answers = assemble(pieces, ["doc_id"], delta="delta", out="raw")
+    # The detected category rides along with the pieces (no join back to the
+    # prompts, which would render every document a second time).
+    pieces = mock_responses(prompts.select("doc_id", F.col("category").alias("detected_category")), "doc_id",
+                            keep=["detected_category"])
+    answers = assemble(pieces, ["doc_id", "detected_category"], delta="delta", out="raw")
     typed = typed_summaries(recover_json(answers).drop("route"))
     md = summary_markdown(F.col("title"), F.col("summary"), F.col("key_points"), F.col("action_items"),
                           F.col("category"), F.col("importance"))
-    return (typed.join(prompts.select("doc_id", F.col("category").alias("detected_category")), "doc_id")
-            .select("doc_id", "detected_category", "ok", md.alias("markdown")))
+    return typed.select("doc_id", "detected_category", "ok", md.alias("markdown"))
