@@ -188,33 +188,77 @@ def _string_array(v: Column, key: str) -> Column:
     return F.transform(F.try_variant_get(v, f"$.{key}", "array<variant>"), lambda e: e.cast("string"))
 
 
+def _staged_fields(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Each field's VARIANT value and Zod type name as columns of their own,
+    so the checks reference them instead of re-extracting per branch."""
+    for k in keys:
+        df = df.withColumn(f"_x_{k}", F.try_variant_get(F.col("_v"), f"$.{k}", "variant"))
+        df = df.withColumn(f"_t_{k}", zod_type(F.col(f"_x_{k}")))
+    return df
+
+
+def _s_string(k: str, required: bool = True, min_message: str | None = None) -> Column:
+    x, t = F.col(f"_x_{k}"), F.col(f"_t_{k}")
+    e = (F.when(t.isNull(), F.lit(f"{k}: Required") if required else F.lit(None))
+         .when(t != "string", F.format_string(f"{k}: Expected string, received %s", t)))
+    if min_message:
+        e = e.when(F.length(x.cast("string")) < 1, F.lit(f"{k}: {min_message}"))
+    return e
+
+
+def _s_enum(k: str, values: list[str]) -> Column:
+    x, t = F.col(f"_x_{k}"), F.col(f"_t_{k}")
+    expected = " | ".join(f"'{o}'" for o in values)
+    return (F.when(t.isNull(), F.lit(f"{k}: Required"))
+            .when(t != "string", F.format_string(f"{k}: Expected {expected}, received %s", t))
+            .when(~x.cast("string").isin(*values),
+                  F.format_string(f"{k}: Invalid enum value. Expected {expected}, received '%s'", x.cast("string"))))
+
+
+def _s_string_array(k: str) -> Column:
+    x, t = F.col(f"_x_{k}"), F.col(f"_t_{k}")
+    head = (F.when(t.isNull(), F.lit(f"{k}: Required"))
+            .when(t != "array", F.format_string(f"{k}: Expected array, received %s", t)))
+    elems = F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
+    per = F.transform(F.transform(elems, lambda e: zod_type(e)), lambda et, i: F.when(et != "string", F.format_string(
+        f"{k}.%d: Expected string, received %s", i, et)))
+    return F.when(head.isNotNull(), F.array(head)).otherwise(F.array_compact(per))
+
+
+SUMMARY_FIELDS = ["title", "summary", "key_points", "action_items", "category", "importance"]
+
+
 def typed_summaries(df: DataFrame, json_col: str = "json") -> DataFrame:
     """Validate against the Summary shape (title optional; summary
     non-empty; key_points and action_items string arrays; category and
     importance enums; unknown keys dropped). Adds ok, reason (issues joined
     by "; "), and the typed fields for valid rows."""
     v = F.col("_v")
-    issues = F.flatten(F.array(
-        F.array(_string_issue(v, "title", required=False)),
-        F.array(_string_issue(v, "summary", min_message="Summary cannot be empty")),
-        _string_array_issues(v, "key_points"),
-        _string_array_issues(v, "action_items"),
-        F.array(_enum_issue(v, "category", SUMMARY_CATEGORIES)),
-        F.array(_enum_issue(v, "importance", IMPORTANCE))))
+    issues = F.array_compact(F.flatten(F.array(
+        F.array(_s_string("title", required=False)),
+        F.array(_s_string("summary", min_message="Summary cannot be empty")),
+        _s_string_array("key_points"),
+        _s_string_array("action_items"),
+        F.array(_s_enum("category", SUMMARY_CATEGORIES)),
+        F.array(_s_enum("importance", IMPORTANCE)))))
     top = zod_type(v)
+    out = _staged_fields(parse_once(df, "_v", F.try_parse_json(F.col(json_col))), SUMMARY_FIELDS)
+    out = out.withColumn("_issues", issues).withColumn("_top", top)
     reason = (F.when(v.isNull(), F.coalesce(F.col("reason"), F.lit(NO_JSON)))
-              .when(top != "object", F.format_string("Expected object, received %s", top))
-              .otherwise(F.when(F.size(F.array_compact(issues)) > 0, F.array_join(F.array_compact(issues), "; "))))
-    out = (parse_once(df, "_v", F.try_parse_json(F.col(json_col)))
-           .withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()))
+              .when(F.col("_top") != "object", F.format_string("Expected object, received %s", F.col("_top")))
+              .otherwise(F.when(F.size("_issues") > 0, F.array_join("_issues", "; "))))
+    out = out.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
     ok = F.col("ok")
-    return (out.withColumn("title", F.when(ok, _get(v, "$.title").cast("string")))
-            .withColumn("summary", F.when(ok, _get(v, "$.summary").cast("string")))
-            .withColumn("key_points", F.when(ok, _string_array(v, "key_points")))
-            .withColumn("action_items", F.when(ok, _string_array(v, "action_items")))
-            .withColumn("category", F.when(ok, _get(v, "$.category").cast("string")))
-            .withColumn("importance", F.when(ok, _get(v, "$.importance").cast("string")))
-            .drop("_v"))
+
+    def arr(k):
+        return F.transform(F.try_variant_get(F.col(f"_x_{k}"), "$", "array<variant>"), lambda e: e.cast("string"))
+    out = (out.withColumn("title", F.when(ok, F.col("_x_title").cast("string")))
+           .withColumn("summary", F.when(ok, F.col("_x_summary").cast("string")))
+           .withColumn("key_points", F.when(ok, arr("key_points")))
+           .withColumn("action_items", F.when(ok, arr("action_items")))
+           .withColumn("category", F.when(ok, F.col("_x_category").cast("string")))
+           .withColumn("importance", F.when(ok, F.col("_x_importance").cast("string"))))
+    return out.drop("_v", "_issues", "_top", *[f"_x_{k}" for k in SUMMARY_FIELDS], *[f"_t_{k}" for k in SUMMARY_FIELDS])
 
 
 def _meeting_item_issues(v: Column) -> Column:
