@@ -71,8 +71,10 @@ def doc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixed_documents(spark, sf_dir)
     # Each stage is its own column, so the trimmed text is computed once and
     # referenced, not re-evaluated inside every branch of the bound.
-    return (d.withColumn("_t", js_trim("text")).withColumn("content", bound_text("_t"))
-            .withColumn("category", content_category(F.col("content"))).drop("text", "_t"))
+    from textloom.functions.stage import pin
+    out = (d.withColumn("_t", js_trim("text")).withColumn("content", bound_text("_t"))
+           .withColumn("category", content_category(F.col("content"))).drop("text", "_t"))
+    return pin(out, ["content", "category"])
 
 
 def summary_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
