@@ -56,12 +56,15 @@ def resolve_inputs(requests: DataFrame, snapshots: DataFrame | None = None, file
     n = F.coalesce(F.size(a), F.lit(0))
     piped_text = F.col("_piped_t")
     joined = F.col("_joined_t")
-    looks_url = F.coalesce(F.col("_f_ok") | (F.col("_f_reason") == REASON_PRIVATE), F.lit(False))
+    looks_url = (F.col("_first").isNotNull()
+                 & F.coalesce(F.col("_f_ok") | (F.col("_f_reason") == REASON_PRIVATE), F.lit(False)))
     kind = (F.when(n <= 0, F.lit("stdin"))
             .when(first == "", F.lit("empty"))
             .when(first == "-", F.lit("stdin"))
             .when(looks_url, F.lit("url")))
-    df = (requests.withColumn("_first", first)
+    # Only a value that starts with a scheme can be a URL; the full screen
+    # (several regexes) runs on those alone, not on long argument texts.
+    df = (requests.withColumn("_first", F.when(first.rlike(r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.\-]*:"), first))
           .withColumn("_piped_t", js_trim(F.coalesce(F.col(piped), F.lit(""))))
           .withColumn("_joined_t", js_trim(F.array_join(a, " ")))
           .transform(lambda d: with_url_screen(d, "_first", prefix="_f_"))
