@@ -1006,3 +1006,4 @@ _MOCK_MD = ("# Mock Summary\n\nThis is a mock summary generated because AI_SUMMA
 ORACLE["summary_pipeline"] = f"""
 SELECT doc_id, category AS detected_category, true AS ok, {q(_MOCK_MD)} AS markdown
 FROM {SUMMARY_VARS} WHERE len({SUMMARY_ISSUES}) = 0"""
+ORACLE["reframed_stream_text"] = "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations"

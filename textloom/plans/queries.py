@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import (bound_text, content_category, html_to_text, is_html, js_trim, utf16_length,
                                      was_cut)
 from textloom.functions.url import with_url_screen
 from textloom.plans import derive
-from textloom.streaming.assemble import assemble_stream, progress_chunks, replay_wire_lines, run_to_table
+from textloom.streaming.assemble import (assemble_stream, progress_chunks, reframe_stream, replay_chunks, replay_wire_lines,
+                                         run_to_table)
 from textloom.session import read_table
 from textloom.functions import screens as S
 from textloom.operators.audit import audit_log, expand_templates, redirect_chains, rule_counts
@@ -488,3 +489,17 @@ def q_summary_pipeline(spark, sf):
     md = summary_markdown(F.col("title"), F.col("summary"), F.col("key_points"), F.col("action_items"),
                           F.col("category"), F.col("importance"))
     return typed.select("doc_id", "detected_category", "ok", md.alias("markdown"))
+
+
+@query("reframed_stream_text")
+def q_reframed_stream_text(spark, sf):
+    """T1 in Structured Streaming: 17-byte chunks arriving out of order across
+    micro-batches are re-framed into lines with keyed state; the lines are
+    parsed and assembled (A1) back into each turn's text."""
+    json_conf(spark)
+    chunks = derive.byte_chunks(spark, sf)
+    last = F.max("chunk_no").over(Window.partitionBy("conv_id", "turn"))
+    chunks = (chunks.withColumn("is_last", F.col("chunk_no") == last)
+              .withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 100 + F.col("turn") * 10)))
+    lines = run_to_table(spark, reframe_stream(replay_chunks(spark, chunks), watermark="1 day"), "reframe")
+    return assemble(wire_deltas(lines), ["conv_id", "turn"])
