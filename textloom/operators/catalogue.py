@@ -244,7 +244,7 @@ def lint_report(violations: DataFrame, sources: DataFrame, key: str = "config_id
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Configuration files (one JSON document each) as (source, config_json)."""
-    return (spark.read.option("wholetext", "true").text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.input_file_name().alias("source"), F.col("value").alias("config_json")))
 
 

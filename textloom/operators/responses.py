@@ -104,7 +104,8 @@ def reframe(chunks: DataFrame, keys: list[str], order: str = "chunk_no", data: s
     Chunks are joined through hex text (``array_join`` is linear, where a
     fold over binary concatenation would copy quadratically)."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.hex(F.col(data)).alias("h"))))
-    text = F.decode(F.unhex(F.array_join(F.transform(parts, lambda s: s["h"]), "")), "UTF-8")
+    # Lenient UTF-8 (malformed bytes become U+FFFD) over the joined bytes.
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform(parts, lambda s: s["h"]), "")).cast("string"))
     framed = chunks.groupBy(*keys).agg(F.split(text, "\n", -1).alias("_lines"))
     return (framed.select(*keys, F.posexplode("_lines").alias("seq", "line"), F.size("_lines").alias("_n"))
             .withColumn("is_tail", F.col("seq") == F.col("_n") - 1).drop("_n"))

@@ -190,3 +190,20 @@ def mock_responses(requests: DataFrame, key: str, keep: list[str] | None = None)
 
 __all__ = ["route_requests", "request_body", "meeting_route", "temperature_check", "mock_responses",
            "providers_table", "js_number", "JS_WS"]
+
+
+def respond(requests: DataFrame, fn, schema: str) -> DataFrame:
+    """Answer request rows with a user callable, batch by batch.
+
+    ``fn(pdf) -> pdf`` receives a pandas DataFrame of request rows (with the
+    columns the caller selected, e.g. request id, provider, endpoint, body)
+    and returns answer rows in ``schema`` (e.g. one row per streamed piece:
+    request id, seq, delta). It runs inside the tasks via ``mapInPandas``, so
+    a client can be opened once per partition and requests are spread over
+    the cluster; nothing passes through the driver."""
+    def per_partition(batches):
+        for pdf in batches:
+            out = fn(pdf)
+            if out is not None and len(out):
+                yield out
+    return requests.mapInPandas(per_partition, schema=schema)

@@ -32,7 +32,8 @@ def read_text_corpus(spark: SparkSession, path: str, glob: str = "*", limit: int
     across tasks."""
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
            .option("recursiveFileLookup", "true").load(path))
-    text = F.decode(F.substring(F.col("content"), 1, limit), "UTF-8")
+    # Lenient UTF-8: malformed bytes become U+FFFD (``decode`` would fail).
+    text = F.make_valid_utf8(F.substring(F.col("content"), 1, limit).cast("string"))
     return (raw.select(F.col("path").alias("source"), text.alias("_t"))
             .withColumn("ok", F.length(js_trim("_t")) > 0)
             .withColumn("reason", F.when(~F.col("ok"), F.concat(F.lit("File is empty: "), F.col("source"))))
