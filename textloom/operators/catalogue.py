@@ -305,3 +305,75 @@ def cli_proxy_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(f"ccs:{n}", f"ccs {n}", d, "oauth", f"ccs {n} --permission-mode plan -p") for n, d in CLI_PROXY_PROVIDERS],
         "name string, command string, description string, auth_type string, prompt_command string")
+
+
+# ---------------------------------------------------------------------------
+# The known tools the reference probes for, in its order
+# (name, command, description, aliases, execCommand, promptCommand, promptUseStdin).
+# ---------------------------------------------------------------------------
+KNOWN_TOOLS = [
+    ("claude", "claude", "Anthropic Claude CLI", None, None, "claude --permission-mode plan -p", None),
+    ("cline", "cline", "Cline CLI - AI coding assistant", None, None, "cline -p", None),
+    ("gemini", "gemini", "Google Gemini CLI", None, None, "gemini -p", None),
+    ("agy", "agy", "Google Antigravity CLI", None, None, None, None),
+    ("opencode", "opencode", "OpenCode CLI", None, None, "opencode run --model opencode/big-pickle", True),
+    ("amp", "amp", "Sourcegraph Amp CLI", None, None, "amp -x", True),
+    ("copilot", "copilot", "GitHub Copilot CLI", None, None, "copilot suggest", True),
+    ("codex", "codex", "OpenAI Codex CLI", None, None, "codex exec", None),
+    ("interpreter", "interpreter", "Open Interpreter CLI", ["i"], None, "interpreter exec", None),
+    ("devin", "devin", "Devin CLI", None, None, "devin -p", None),
+    ("kilo", "kilo", "Kilo Code CLI", None, None, None, None),
+    ("pi", "pi", "Pi AI CLI", None, None, None, None),
+    ("droid", "droid", "Factory Droid CLI", None, None, None, None),
+    ("ollama", "ollama", "Ollama CLI", None, "ollama launch --model minimax-m2.5:cloud", None, None),
+    ("cursor-agent", "cursor-agent", "Cursor AI Editor", None, None, None, None),
+    ("cmd", "cmd", "Command Code CLI", None, None, "cmd -p", None),
+    ("freebuff", "freebuff", "Freebuff - Free ad-supported AI coding agent (Codebuff variant)", None, None, None, None),
+    ("grok", "grok", "xAI Grok Build CLI", None, None, "grok --permission-mode plan -p", None),
+    ("mimo", "mimo", "Mi AI (mimocode) CLI", None, None, "mimo run", None),
+    ("kimi", "kimi", "Kimi Code - Moonshot AI CLI", None, None, "kimi -p", None),
+    ("reasonix", "reasonix", "Reasonix — DeepSeek-native terminal coding agent (multi-model)", None, None,
+     "reasonix run --stdin", True),
+    ("omp", "omp", "Oh My Pi CLI", None, None, "omp -p", None),
+    ("fx", "fx", "fx.sh coding agent", None, None, "fx ask", None),
+]
+CCS_TOOL = ("ccs", "ccs", "CCS CLI (Claude Code Switch)")
+WINDOWS_SHADOWED = ["cmd"]
+
+
+def known_tools_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [(i, *row) for i, row in enumerate(KNOWN_TOOLS)],
+        "ord int, name string, command string, description string, aliases array<string>, exec_command string, "
+        "prompt_command string, prompt_use_stdin boolean")
+
+
+def detect_tools(installed: DataFrame, known: DataFrame, key: str = "config_id", command: str = "command_name",
+                 platform: str | None = None) -> DataFrame:
+    """Tools found per configuration from the command names found on its
+    machine. Names failing the command-name screen (C10) are never found;
+    ``cmd`` is skipped on Windows; a tool's ``execCommand`` replaces its
+    command (C16). A ``ccs`` install adds the ccs tool and the seven OAuth
+    proxy tools. ``known`` is the fixed 23-row table, broadcast."""
+    from textloom.functions.screens import command_name_rules
+    found = (installed.where(F.size(command_name_rules(F.col(command))) == 0)
+             .select(key, F.col(command).alias("_cmd"), *([F.col(platform).alias("_platform")] if platform else [])))
+    if platform:
+        found = found.where(~((F.col("_platform") == "win32") & F.col("_cmd").isin(*WINDOWS_SHADOWED)))
+    tools = (found.join(F.broadcast(known), F.col("_cmd") == known["command"])
+             .select(key, "ord", "name", F.coalesce("exec_command", "command").alias("command"), "description",
+                     "aliases", "prompt_command", "prompt_use_stdin"))
+    proxies = F.array(*[F.struct(F.lit(f"ccs:{n}").alias("name"), F.lit(f"ccs {n}").alias("command"),
+                                 F.lit(d).alias("description"),
+                                 F.lit(f"ccs {n} --permission-mode plan -p").alias("prompt_command"))
+                        for n, d in CLI_PROXY_PROVIDERS])
+    ccs = found.where(F.col("_cmd") == "ccs").select(key).distinct()
+    ccs_rows = ccs.select(key, F.lit(len(KNOWN_TOOLS)).alias("ord"), F.lit(CCS_TOOL[0]).alias("name"),
+                          F.lit(CCS_TOOL[1]).alias("command"), F.lit(CCS_TOOL[2]).alias("description"),
+                          F.lit(None).cast("string").alias("prompt_command"))
+    proxy_rows = ccs.select(key, F.posexplode(proxies).alias("_i", "_p")).select(
+        key, (F.lit(len(KNOWN_TOOLS) + 1) + F.col("_i")).alias("ord"), "_p.name", "_p.command", "_p.description",
+        "_p.prompt_command")
+    extra = ccs_rows.unionByName(proxy_rows).withColumn("aliases", F.lit(None).cast("array<string>")) \
+        .withColumn("prompt_use_stdin", F.lit(None).cast("boolean"))
+    return tools.unionByName(extra)

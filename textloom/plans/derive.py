@@ -519,3 +519,14 @@ def crawl_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .otherwise(F.col("next_url")))
     return j.select("page_id", "url", F.when(redirect, F.lit(302)).otherwise(F.lit(200)).alias("status"),
                     F.when(redirect, location).alias("location"))
+
+
+def installed_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Command names found per configuration (nation): a known tool's command
+    by s_suppkey % 25, 'ccs' for 23, an invalid name for 24."""
+    from textloom.operators.catalogue import KNOWN_TOOLS
+    names = [c for _, c, *_ in KNOWN_TOOLS] + ["ccs", "bad;name"]
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    arr = F.array(*[F.lit(n) for n in names])
+    return s.select(F.col("s_nationkey").cast("bigint").alias("config_id"),
+                    F.element_at(arr, (F.col("s_suppkey") % len(names) + 1).cast("int")).alias("command_name"))

@@ -1007,3 +1007,21 @@ ORACLE["summary_pipeline"] = f"""
 SELECT doc_id, category AS detected_category, true AS ok, {q(_MOCK_MD)} AS markdown
 FROM {SUMMARY_VARS} WHERE len({SUMMARY_ISSUES}) = 0"""
 ORACLE["reframed_stream_text"] = "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations"
+
+
+# --- Detected tools -------------------------------------------------------------------
+_KNOWN = "(VALUES " + ", ".join(
+    "(" + ", ".join([str(i)] + ["NULL" if v is None else q(v) for v in (n, c, d, e, pc)]
+                    + ["NULL" if u is None else ("true" if u else "false")]) + ")"
+    for i, (n, c, d, _a, e, pc, u) in enumerate(CT.KNOWN_TOOLS)) + ") k(ord, name, command, description, exec_command, prompt_command, prompt_use_stdin)"
+_NAMES = "[" + ", ".join(q(c) for _, c, *_ in CT.KNOWN_TOOLS) + ", 'ccs', 'bad;name']"
+_PROXIES = "(VALUES " + ", ".join(f"({i}, {q(n)})" for i, (n, _d) in enumerate(CT.CLI_PROXY_PROVIDERS)) + ") px(i, n)"
+ORACLE["detected_tools"] = f"""
+WITH inst AS (SELECT s_nationkey::BIGINT AS config_id, {_NAMES}[s_suppkey % {len(CT.KNOWN_TOOLS) + 2} + 1] AS command_name FROM supplier),
+f AS (SELECT * FROM inst WHERE regexp_matches(command_name, {q(S.SAFE_COMMAND_NAME)}) AND length(command_name) <= 100),
+c AS (SELECT DISTINCT config_id FROM f WHERE command_name = 'ccs')
+SELECT f.config_id, k.ord, k.name, coalesce(k.exec_command, k.command) AS command, k.prompt_command, k.prompt_use_stdin
+FROM f JOIN {_KNOWN} ON k.command = f.command_name
+UNION ALL SELECT config_id, {len(CT.KNOWN_TOOLS)}, 'ccs', 'ccs', NULL, NULL FROM c
+UNION ALL SELECT config_id, {len(CT.KNOWN_TOOLS) + 1} + i, 'ccs:' || n, 'ccs ' || n, 'ccs ' || n || ' --permission-mode plan -p', NULL
+FROM c, {_PROXIES}"""

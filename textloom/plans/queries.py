@@ -19,8 +19,8 @@ from textloom.functions import screens as S
 from textloom.operators.audit import audit_log, expand_templates, redirect_chains, rule_counts
 from textloom.operators.answers import (meeting_report, recover_json, summary_markdown, typed_classes,
                                        typed_meetings, typed_summaries)
-from textloom.operators.catalogue import (catalogue_merge, lint_configs, lint_report, profile_rows, selectable_items,
-                                         status_rows, template_defaults)
+from textloom.operators.catalogue import (catalogue_merge, detect_tools, known_tools_table, lint_configs, lint_report,
+                                         profile_rows, selectable_items, status_rows, template_defaults)
 from textloom.operators.lookup import lookup_cascade, search_topk
 from textloom.operators.prompts import CLASSIFY, EXTRACT_MEETING, SUMMARIZE, diff_prompt, modes_table
 from textloom.operators.responses import assemble, json_conf, reframe, wire_deltas
@@ -503,3 +503,10 @@ def q_reframed_stream_text(spark, sf):
               .withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 100 + F.col("turn") * 10)))
     lines = run_to_table(spark, reframe_stream(replay_chunks(spark, chunks), watermark="1 day"), "reframe")
     return assemble(wire_deltas(lines), ["conv_id", "turn"])
+
+
+@query("detected_tools")
+def q_detected_tools(spark, sf):
+    """Known tools found per configuration (C10 screen, C16 execCommand, ccs proxies)."""
+    t = detect_tools(derive.installed_commands(spark, sf), known_tools_table(spark))
+    return t.select("config_id", "ord", "name", "command", "prompt_command", "prompt_use_stdin")
