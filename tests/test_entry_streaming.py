@@ -8,8 +8,7 @@ from textloom.streaming.assemble import assemble_stream, replay_wire_lines, run_
 
 def test_contract(spark):
     q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == {"recover_json", "recover_rates"}
+    assert set(o) == set(q)
     df = E.entry(spark)
     assert df.columns == ["doc_id", "detected_category", "ok", "markdown"]
     rows = df.collect()

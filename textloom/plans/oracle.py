@@ -1025,3 +1025,22 @@ FROM f JOIN {_KNOWN} ON k.command = f.command_name
 UNION ALL SELECT config_id, {len(CT.KNOWN_TOOLS)}, 'ccs', 'ccs', NULL, NULL FROM c
 UNION ALL SELECT config_id, {len(CT.KNOWN_TOOLS) + 1} + i, 'ccs:' || n, 'ccs ' || n, 'ccs ' || n || ' --permission-mode plan -p', NULL
 FROM c, {_PROXIES}"""
+
+
+# --- JSON recovery itself: route and canonical (minified) JSON ------------------------
+def _recover_parts(raw: str) -> str:
+    t = js_trim(raw)
+    f = f"regexp_extract({t}, {q(FENCE_SQL)}, 1)"
+    whole = f"CASE WHEN starts_with({t}, '{{') AND ends_with({t}, '}}') AND json_valid({t}) THEN {t} END"
+    fenced = f"CASE WHEN {f} <> '' AND json_valid({js_trim(f)}) THEN {js_trim(f)} END"
+    braces = f"list_filter(regexp_extract_all({t}, {q(BALANCED)}), lambda c: json_valid(c))[1]"
+    return whole, fenced, braces
+
+
+_W, _F, _B = _recover_parts("raw")
+RECOVERED = f"""(SELECT doc_id, CASE WHEN w IS NOT NULL THEN 'whole' WHEN f IS NOT NULL THEN 'fenced' WHEN b IS NOT NULL THEN 'braces' END AS route,
+    json(coalesce(w, f, b))::VARCHAR AS json
+  FROM (SELECT doc_id, {_W} AS w, {_F} AS f, {_B} AS b FROM {SUMMARY_ANSWERS}))"""
+ORACLE["recover_json"] = f"""
+SELECT doc_id, json, route, CASE WHEN json IS NULL THEN 'No valid JSON object found in response' END AS reason FROM {RECOVERED}"""
+ORACLE["recover_rates"] = f"SELECT route, count(*) AS n FROM {RECOVERED} GROUP BY route"
