@@ -7,11 +7,11 @@ text at a time, so a task's memory does not grow with its partition.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.session import ensure_checkpoint_dir
@@ -159,3 +159,51 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         seen = now
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prune: Callable | None = None,
+                 name: str = "links") -> DataFrame:
+    """Components of the graph whose links join nodes of one bucket: (node, component).
+
+    ``rows(key, node, info)`` lists the buckets of each node; ``verify`` turns
+    distinct pairs (a, b) into the links among them; ``prune(info_a, info_b)`` is a cheap
+    condition that every link meets. Each bucket is first tested as a star: every node with
+    the bucket's smallest one, then, where a bucket still holds several components, with
+    one other node. What is then left in buckets of several components is tested in full across components, so
+    no link inside a bucket is lost, and a bucket of near copies costs a pair
+    per node instead of all pairs.
+    """
+    ok = prune or (lambda a, b: F.lit(True))
+    w = Window.partitionBy("key").orderBy("node")
+    tagged = (rows.withColumn("lo", F.first("node").over(w)).withColumn("lo_info", F.first("info").over(w))
+              .withColumn("next", F.lead("node").over(w)))
+    hot = cut(tagged.where((F.col("node") != F.col("lo")) | F.col("next").isNotNull()).drop("next"), name)
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    star = hot.where((F.col("node") != F.col("lo")) & ok(F.col("info"), F.col("lo_info"))).select(*pair("node", "lo")).distinct()
+    links, hot = cut(verify(star), name), hot.select("key", "node", "info")
+    for full in (False, True):
+        comp = components(links, name)
+        left = hot.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        mixed = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"),
+                                        F.max_by(F.struct("node", "info", "c"), F.xxhash64("key", "node")).alias("other")).where("c0 <> c1")
+        left = cut(left.join(mixed.drop("c0", "c1"), "key"), name)
+        if full:
+            x, y = left.drop("other").alias("x"), left.drop("other").alias("y")
+            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+                           & ok(F.col("x.info"), F.col("y.info"))).select(*pair("x.node", "y.node"))
+        else:
+            found = left.where((F.col("c") != F.col("other.c")) & ok(F.col("info"), F.col("other.info"))).select(*pair("node", "other.node"))
+        links = cut(links.union(verify(found.distinct())), name)
+    return components(links, name)
+
+
+def split_by_slots(docs: DataFrame, key: str, wanted: DataFrame, slots: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows whose ``key`` may be in ``wanted(key)``, and rows whose key cannot be.
+
+    Only slot numbers are broadcast, at most ``slots`` integers whatever the
+    sizes, so the second part needs no shuffle.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    seen = F.broadcast(wanted.select(slot.alias("_slot")).distinct())
+    cond = slot == F.col("_slot")
+    return docs.join(seen, cond, "left_semi"), docs.join(seen, cond, "left_anti")

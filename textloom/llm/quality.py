@@ -25,7 +25,7 @@ from textloom.llm.common import WS
 
 BUCKETS = 1 << 16
 MAX_TRUSTED = 20_000
-THRESHOLD = -0.35
+THRESHOLD = -0.12
 SCALE = 1_000_000
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from textloom.llm.chat import format_chats, loss_text, read_chats
 from textloom.llm.common import scratch_path
 from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.line_dedup import line_dedup
+from textloom.llm.packing import pack
 from textloom.llm.quality import quality_rules
+from textloom.llm.setsketch import near_dedup
 from textloom.llm.warc import dedup_archives, page_records, read_archives, write_archives
 from textloom.session import ensure_checkpoint_dir, read_table
 
@@ -46,6 +49,23 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM h JOIN b USING (payload_digest, payload_bytes)"""
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file: the installed package's, else below TOKENIZERS."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark, sf):
+    return pack(read_table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
+
+
 @query("op5_chat_format")
 def op5_chat_format(spark, sf):
     """All conversations and conversation -7 (control strings as texts), formatted and read back."""
@@ -89,3 +109,16 @@ FROM n WINDOW w AS (PARTITION BY t)"""
 @query("op8_quality_rules")
 def op8_quality_rules(spark, sf):
     return quality_rules(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark, sf):
+    """Per document what is left of its lines."""
+    docs = line_dedup(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.length("text").cast("long").alias("kept_chars"),
+                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op9_near_dedup")
+def op9_near_dedup(spark, sf):
+    return near_dedup(read_table(spark, sf, "documents"))
