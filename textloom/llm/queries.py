@@ -13,7 +13,9 @@ from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.line_dedup import line_dedup
 from textloom.llm.packing import pack
 from textloom.llm.quality import quality_rules
+from textloom.llm.secrets_crf import digest_columns, find_secrets, fit
 from textloom.llm.setsketch import near_dedup
+from textloom.llm.suffix_dedup import suffix_dedup
 from textloom.llm.warc import dedup_archives, page_records, read_archives, write_archives
 from textloom.session import ensure_checkpoint_dir, read_table
 
@@ -122,3 +124,14 @@ def op7_line_dedup(spark, sf):
 @query("op9_near_dedup")
 def op9_near_dedup(spark, sf):
     return near_dedup(read_table(spark, sf, "documents"))
+
+
+@query("op10_secret_scans")
+def op10_secret_scans(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return digest_columns(find_secrets(docs, fit(docs), with_text=False))
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark, sf):
+    return suffix_dedup(read_table(spark, sf, "documents")).drop("kept")
