@@ -2,13 +2,15 @@
 
 Score of a text: the log-likelihood ratio between two multinomials over hashed
 words and word pairs, one counted over trusted documents and one over the whole
-raw corpus, divided by the number of n-grams. Documents below ``threshold`` go.
+raw corpus, divided by the number of n-grams. Documents below a threshold go.
 Ratios are rounded to whole millionths and summed as integers, so the verdict
 does not depend on partitioning or order.
 
 The raw counts cover every document. The trusted sample is bounded: at most
 ``max_trusted`` identifiers with quality 1 (those with the smallest hashes),
-which is what is broadcast; with no trusted document the ratio is 0 everywhere.
+which is what is broadcast. A fifth of it is held out: the threshold is ``MARGIN`` below the score
+that all but a share ``LOWEST`` of these documents reach, so documents like the trusted ones
+stay at every corpus size. With no trusted document every ratio and threshold is 0.
 
 Words are runs of anything but ASCII white space in whole texts. Null texts have
 no words: all counts are 0, and they fail the base rule. Repeated rows count each
@@ -17,6 +19,8 @@ time. Null identifiers are never trusted. An empty table gives no rows.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +29,8 @@ from textloom.llm.common import WS
 
 BUCKETS = 1 << 16
 MAX_TRUSTED = 20_000
-THRESHOLD = -0.12
+LOWEST, MARGIN = 0.005, 0.05
+HELD_OUT = 5  # one fold in so many
 SCALE = 1_000_000
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
@@ -71,36 +76,45 @@ def _hashed(words: DataFrame) -> DataFrame:
     return pin(d.withColumn("grams", grams), ["grams"])
 
 
-def fit_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               max_trusted: int = MAX_TRUSTED) -> list[int]:
-    """Fixed-point log ratio per bucket: a list of BUCKETS integers, whatever the corpus size."""
+def _scored(grams: DataFrame, ratios: list[int]) -> DataFrame:
+    """Adds score_sum and n_grams."""
+    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")  # folds to one literal
+    return (grams.withColumn("score_sum", F.aggregate("grams", F.lit(0).cast("long"), lambda a, g: a + F.get(table, g)))
+            .withColumn("n_grams", F.size("grams").cast("long")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        max_trusted: int = MAX_TRUSTED) -> tuple[list[int], int]:
+    """Fixed-point log ratio per bucket (BUCKETS integers, whatever the corpus size) and fixed-point threshold."""
+    fold = F.pmod(F.xxhash64("trusted_id", F.lit(HELD_OUT)), F.lit(HELD_OUT))
     trusted = (labels.where("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct()
-               .orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(max_trusted))
+               .orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(max_trusted).withColumn("fold", fold))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    d = d.join(F.broadcast(trusted), d["doc_id"] == trusted["trusted_id"], "left").withColumn("good", F.col("trusted_id").isNotNull().cast("int"))
-    grams = _hashed(_words(d, "doc_id", "text", ["good"])).select("good", F.explode("grams").alias("b"))
+    mine = lambda how: d.join(F.broadcast(trusted), d["doc_id"] == trusted["trusted_id"], how)
+    good = mine("left").withColumn("good", F.coalesce((F.col("fold") > 0).cast("int"), F.lit(0)))
+    grams = _hashed(_words(good, "doc_id", "text", ["good"])).select("good", F.explode("grams").alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()  # at most BUCKETS rows
-    from math import log
-    raw, good = [0] * BUCKETS, [0] * BUCKETS
+    raw, liked = [0] * BUCKETS, [0] * BUCKETS
     for r in rows:
-        raw[r["b"]], good[r["b"]] = r["raw"], r["good"]
-    n_raw, n_good = sum(raw) + BUCKETS, sum(good) + BUCKETS
-    if n_good == BUCKETS:
-        return [0] * BUCKETS
-    return [round(SCALE * log(((g + 1) / n_good) / ((r + 1) / n_raw))) for g, r in zip(good, raw)]
+        raw[r["b"]], liked[r["b"]] = r["raw"], r["good"]
+    n_raw, n_liked = sum(raw) + BUCKETS, sum(liked) + BUCKETS
+    if n_liked == BUCKETS:
+        return [0] * BUCKETS, 0
+    ratios = [round(SCALE * log(((g + 1) / n_liked) / ((r + 1) / n_raw))) for g, r in zip(liked, raw)]
+    held = _scored(_hashed(_words(mine("inner").where("fold = 0"), "doc_id", "text", [])), ratios)
+    mean = F.expr("score_sum div n_grams")
+    low = held.where(f"size(words) >= {MIN_WORDS}").agg(F.percentile(mean, LOWEST).alias("low")).first()["low"]
+    return ratios, round((low or 0) - MARGIN * SCALE)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED, carry: list[str] | None = None) -> DataFrame:
+                  max_trusted: int = MAX_TRUSTED, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_grams, score, kept)
     per row of ``docs``; ``carry`` adds columns of ``docs`` whose names do not clash with these."""
     carry = carry or []
-    ratios = fit_ratios(docs, labels, id_col, text_col, max_trusted)
-    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")  # folds to one literal
-    d = base_features(_hashed(_words(docs, id_col, text_col, carry)))
-    d = pin(d.withColumn("score_sum", F.aggregate("grams", F.lit(0).cast("long"), lambda a, g: a + F.get(table, g)))
-            .withColumn("n_grams", F.size("grams").cast("long")), ["score_sum", "n_grams", "base_failed"])
-    good = F.col("score_sum") >= F.lit(round(threshold * SCALE)) * F.col("n_grams")
+    ratios, threshold = fit(docs, labels, id_col, text_col, max_trusted)
+    d = pin(_scored(base_features(_hashed(_words(docs, id_col, text_col, carry))), ratios), ["score_sum", "n_grams", "base_failed"])
+    good = F.col("score_sum") >= F.lit(threshold) * F.col("n_grams")
     return d.select("doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     "n_grams", (F.col("score_sum") / F.greatest("n_grams", F.lit(1)) / SCALE).alias("score"),
                     (~F.col("base_failed") & good).alias("kept"))

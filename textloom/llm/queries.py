@@ -15,6 +15,7 @@ from textloom.llm.packing import pack
 from textloom.llm.quality import quality_rules
 from textloom.llm.secrets_crf import digest_columns, find_secrets, fit
 from textloom.llm.setsketch import near_dedup
+from textloom.llm.spm import round_trip
 from textloom.llm.suffix_dedup import suffix_dedup
 from textloom.llm.warc import dedup_archives, page_records, read_archives, write_archives
 from textloom.session import ensure_checkpoint_dir, read_table
@@ -68,6 +69,12 @@ def op3_best_fit_packing(spark, sf):
     return pack(read_table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
 
 
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark, sf):
+    """All documents encoded and decoded again."""
+    return round_trip(read_table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query("op5_chat_format")
 def op5_chat_format(spark, sf):
     """All conversations and conversation -7 (control strings as texts), formatted and read back."""
