@@ -162,15 +162,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prune: Callable | None = None,
-                 name: str = "links") -> DataFrame:
+                 refine: Callable[[DataFrame], DataFrame] | None = None, name: str = "links") -> DataFrame:
     """Components of the graph whose links join nodes of one bucket: (node, component).
 
     ``rows(key, node, info)`` lists the buckets of each node; ``verify`` turns
     distinct pairs (a, b) into the links among them; ``prune(info_a, info_b)`` is a cheap
     condition that every link meets. Each bucket is first tested as a star: every node with
-    the bucket's smallest one, then, where a bucket still holds several components, with
-    one other node. What is then left in buckets of several components is tested in full across components, so
-    no link inside a bucket is lost, and a bucket of near copies costs a pair
+    the bucket's smallest one. Where a bucket then still holds several components, ``refine`` may
+    give its nodes (column ``node``) a sharper ``info`` and a ``rank``, and each is tested with the node
+    of the highest rank. What is then left is tested in full across components, wherever ``prune`` allows, so
+    no link inside a bucket is lost, and a bucket of near copies costs a few pairs
     per node instead of all pairs.
     """
     ok = prune or (lambda a, b: F.lit(True))
@@ -181,20 +182,27 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     star = hot.where((F.col("node") != F.col("lo")) & ok(F.col("info"), F.col("lo_info"))).select(*pair("node", "lo")).distinct()
     links, hot = cut(verify(star), name), hot.select("key", "node", "info")
-    for full in (False, True):
-        comp = components(links, name)
-        left = hot.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        mixed = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"),
-                                        F.max_by(F.struct("node", "info", "c"), F.xxhash64("key", "node")).alias("other")).where("c0 <> c1")
-        left = cut(left.join(mixed.drop("c0", "c1"), "key"), name)
-        if full:
-            x, y = left.drop("other").alias("x"), left.drop("other").alias("y")
-            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
-                           & ok(F.col("x.info"), F.col("y.info"))).select(*pair("x.node", "y.node"))
-        else:
-            found = left.where((F.col("c") != F.col("other.c")) & ok(F.col("info"), F.col("other.info"))).select(*pair("node", "other.node"))
-        links = cut(links.union(verify(found.distinct())), name)
-    return components(links, name)
+
+    def mixed(rows: DataFrame, extra: list) -> DataFrame:
+        """Rows of buckets that hold several components, with their component ``c``."""
+        left = rows.join(components(links, name), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        keys = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *extra).where("c0 <> c1").drop("c0", "c1")
+        return cut(left.join(keys, "key"), name)
+
+    left = mixed(hot, []).drop("c")
+    if refine:
+        left = left.drop("info").join(refine(left.select("node").distinct()), "node")
+    else:
+        left = left.withColumn("rank", F.xxhash64("node"))
+    hub = F.max_by(F.struct("node", "info", "c"), F.struct("rank", "node")).alias("hub")
+    left = mixed(left, [hub])
+    found = left.where((F.col("c") != F.col("hub.c")) & ok(F.col("info"), F.col("hub.info"))).select(*pair("node", "hub.node"))
+    links = cut(links.union(verify(found.distinct())), name)
+    left = mixed(left.drop("hub", "c"), [])
+    x, y = left.alias("x"), left.alias("y")
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+                   & ok(F.col("x.info"), F.col("y.info"))).select(*pair("x.node", "y.node"))
+    return components(cut(links.union(verify(found.distinct())), name), name)
 
 
 def split_by_slots(docs: DataFrame, key: str, wanted: DataFrame, slots: int = 1 << 18) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences by minimum bin slack.
 
 Documents are tokenised in tasks; words repeat, so each task keeps the ids of the
-chunks it has seen (a bounded table) and asks the tokenizer only for new ones. That gives the
+chunks and words it has seen (bounded tables) and asks the tokenizer only for new ones. That gives the
 tokenizer's own ids because its pattern never crosses a space or line end.
 
 Only lengths matter for packing, and there are at most ``capacity`` different ones. The plan
@@ -17,6 +17,7 @@ Null identifiers are kept. An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -28,39 +29,58 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut, partitions
 
 CAPACITY, END_ID = 4096, 1
-_CACHE_ENTRIES, _CACHE_CHARS = 400_000, 64
+_CHUNKS, _WORDS, _KEEP_CHARS = 300_000, 600_000, 64
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-class ChunkEncoder:
-    """Token ids of texts as little-endian uint32 bytes, with a bounded table of chunks."""
+class Chunks(dict):
+    """Token ids (little-endian uint32 bytes) of chunks without white space; tables of chunks and words are bounded.
+
+    A chunk of Latin-1 letters and then ASCII signs has the ids of its letters in lower case and of
+    its signs: the tokenizer lower-cases, and never lets a token cross from letters to signs.
+    """
 
     def __init__(self, path: str):
+        super().__init__({"": b""})
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's to deal out
         from tokenizers import Tokenizer
-        self.tok, self.seen = Tokenizer.from_file(path), {"": b""}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
+        self.tok = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
+
+    def word(self, x: str) -> bytes:
+        if (ids := self.words.get(x)) is None:
+            ids = np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(x) <= _KEEP_CHARS:
+                if len(self.words) >= _WORDS:
+                    self.words.clear()
+                self.words[x] = ids
+        return ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        core = chunk.rstrip(_SIGNS)
+        if core.isalpha() and max(core) < "\u0100":
+            ids = self.word(core.lower())
+            if len(core) < len(chunk):
+                ids += self.word(chunk[len(core):])
+        else:
+            ids = self.word(chunk)
+        if len(chunk) <= _KEEP_CHARS:
+            if len(self) >= _CHUNKS:
+                self.clear()
+                self[""] = b""
+            self[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        seen = self.seen
-        try:
-            return b"".join(map(seen.__getitem__, chunks))
-        except KeyError:
-            pass
-        new = list({c for c in chunks if c not in seen})
-        found = dict(zip(new, self._encode(new)))
-        if len(seen) > _CACHE_ENTRIES:
-            seen.clear()
-            seen[""] = b""
-        out = b"".join([found[c] if c in found else seen[c] if c in seen else self._encode([c])[0] for c in chunks])
-        seen.update((c, ids) for c, ids in found.items() if len(c) <= _CACHE_CHARS)
-        return out
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+_encoders: dict[str, Chunks] = {}  # one per Python worker, which Spark reuses for many tasks
 
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
     def run(batches):
-        encoder = ChunkEncoder(path)
+        encoder = _encoders.get(path) or _encoders.setdefault(path, Chunks(path))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows, size = [], 0

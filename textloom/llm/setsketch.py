@@ -8,6 +8,8 @@ Equal sets have equal registers, and the registers of a union are the element-wi
 1. Documents with equal sets form one class; only one document of a class goes on.
 2. Bands of four registers put classes into buckets. A pair at the threshold
    0.75 shares none of the 32 bands with probability 5e-6.
+   A bucket is tested as stars first; for the rest, elements that no other candidate has bound the
+   similarity a document can reach, which settles most of what is still apart.
 3. Pairs from one bucket are estimated by maximum likelihood from both documents'
    registers and set sizes; those far below the threshold (five standard errors) go.
 4. The rest are decided exactly on their full shingle sets.
@@ -120,6 +122,15 @@ def _exact(percent: int):
     return run
 
 
+def _elements(batches):
+    """(node, element) rows of sets."""
+    for batch in batches:
+        for lo, hi, data, offs in text_chunks(batch.column(1)):
+            sets = list(shingle_sets(data, offs))
+            nodes = np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64))], ["node", "h"])
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``: documents are linked when
     100 * |intersection| >= percent * |union| of their shingle sets; a component's smallest identifier names it."""
@@ -131,7 +142,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = cut(classes.join(full, key).where("rep = doc_id").dropDuplicates(["rep"]).select("rep", "n", "regs"), "reps")
     band = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)),
                        lambda i: F.xxhash64(i, F.substr("regs", i * (2 * BAND) + 1, F.lit(2 * BAND))))
-    rows = reps.select(F.explode(band).alias("key"), F.col("rep").alias("node"), F.col("n").alias("info"))
+    info = lambda n, common: F.struct(n.alias("n"), common.alias("common"))
+    rows = reps.select(F.explode(band).alias("key"), F.col("rep").alias("node"), info(F.col("n"), F.col("n")).alias("info"))
     texts = _TextTable(base)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -145,8 +157,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return (likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
                 .mapInArrow(_exact(percent), "a long, b long"))
 
-    sizes = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    comp = link_buckets(rows, verify, sizes, "near")
+    def possible(x, y):
+        """Can sets of these sizes, with so many elements that any other set has too, be similar enough?"""
+        most = F.least(x["common"], y["common"])
+        return 100 * most >= percent * (x["n"] + y["n"] - most)
+
+    def refine(nodes: DataFrame) -> DataFrame:
+        """Counts each node's elements that no other of the nodes has: they are in no intersection."""
+        found = texts.of(nodes.select(F.col("node").alias("doc_id"))).mapInArrow(_elements, "node long, h long")
+        lone = (found.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+                .groupBy("node").agg(F.count("*").alias("lone")))
+        known = nodes.join(lone, "node", "left").join(reps.select(F.col("rep").alias("node"), "n"), "node")
+        common = F.col("n") - F.coalesce("lone", F.lit(0))
+        return cut(known.select("node", info(F.col("n"), common).alias("info"), (common / F.col("n")).alias("rank")), "refined")
+
+    comp = link_buckets(rows, verify, possible, refine, "near")
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     found = full.join(named, key).select("doc_id", "n", "component_id")
     # One document may come in several rows: its component is the smallest of theirs.

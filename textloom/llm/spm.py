@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 SPACE_SIGN = "▁"
-_MAX_WORDS = 400_000
-_BATCH_CHARS = 4 << 20
+_MAX_WORDS, _MAX_PAIRS = 150_000, 300_000
+_BATCH_CHARS = 1 << 20
 
 
 class SharedPrefixEncoder:
@@ -79,7 +79,7 @@ class SharedPrefixEncoder:
         """May ``piece`` follow ``left`` (empty at a word's start)?"""
         key = (left, piece)
         if (ok := self.fits.get(key)) is None:
-            if len(self.fits) > 4 * _MAX_WORDS:
+            if len(self.fits) > _MAX_PAIRS:
                 self.fits.clear()
             ok = self.fits[key] = self.merges(left + piece) == ([left, piece] if left else [piece])
         return ok
@@ -122,6 +122,13 @@ class SharedPrefixEncoder:
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
+_encoders: dict[str, SharedPrefixEncoder] = {}  # one per Python worker, which Spark reuses for many tasks
+
+
+def _encoder(path: str) -> SharedPrefixEncoder:
+    return _encoders.get(path) or _encoders.setdefault(path, SharedPrefixEncoder(path))
+
+
 def _groups(col: pa.Array, size) -> list[tuple[int, int]]:
     out, lo, have = [], 0, 0
     for i, n in enumerate(size):
@@ -138,7 +145,7 @@ def encode(df: DataFrame, model: str, text_col: str = "text", ids_col: str = "id
     schema = StructType([f for f in df.schema if f.name != text_col]).add(ids_col, ArrayType(IntegerType()))
 
     def run(batches):
-        encoder = SharedPrefixEncoder(model)
+        encoder = _encoder(model)
         for batch in batches:
             col = batch.column(at)
             for lo, hi in _groups(col, (len(t) if t is not None else 0 for t in col.to_pylist())):
@@ -157,7 +164,7 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "tex
     schema = StructType(list(df.schema)).add(text_col, StringType())
 
     def run(batches):
-        encoder = SharedPrefixEncoder(model)
+        encoder = _encoder(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 rows = batch.slice(lo, 500)
