@@ -167,10 +167,10 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
 
     ``rows(key, node, info)`` lists the buckets of each node; ``verify`` turns
     distinct pairs (a, b) into the links among them; ``prune(info_a, info_b)`` is a cheap
-    condition that every link meets. Each bucket is first tested as a star: every node with
-    the bucket's smallest one. Where a bucket then still holds several components, ``refine`` may
+    condition that every link meets. Buckets are first tested as stars: every node with the smallest
+    node of its buckets, for the lowest and the highest of these. Where a bucket then still holds several components, ``refine`` may
     give its nodes (column ``node``) a sharper ``info`` and a ``rank``, and each is tested with the node
-    of the highest rank. What is then left is tested in full across components, wherever ``prune`` allows, so
+    of the highest rank in its buckets. What is then left is tested in full across components, wherever ``prune`` allows, so
     no link inside a bucket is lost, and a bucket of near copies costs a few pairs
     per node instead of all pairs.
     """
@@ -180,7 +180,9 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
               .withColumn("next", F.lead("node").over(w)))
     hot = cut(tagged.where((F.col("node") != F.col("lo")) | F.col("next").isNotNull()).drop("next"), name)
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    star = hot.where((F.col("node") != F.col("lo")) & ok(F.col("info"), F.col("lo_info"))).select(*pair("node", "lo")).distinct()
+    star = (hot.where((F.col("node") != F.col("lo")) & ok(F.col("info"), F.col("lo_info")))
+            .groupBy("node").agg(F.min("lo").alias("x"), F.max("lo").alias("y"))
+            .select("node", F.explode(F.array("x", "y")).alias("lo")).select(*pair("node", "lo")).distinct())
     links, hot = cut(verify(star), name), hot.select("key", "node", "info")
 
     def mixed(rows: DataFrame, extra: list) -> DataFrame:
@@ -194,9 +196,10 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
         left = left.drop("info").join(refine(left.select("node").distinct()), "node")
     else:
         left = left.withColumn("rank", F.xxhash64("node"))
-    hub = F.max_by(F.struct("node", "info", "c"), F.struct("rank", "node")).alias("hub")
+    hub = F.max_by(F.struct("node", "info", "c", "rank"), F.struct("rank", "node")).alias("hub")
     left = mixed(left, [hub])
-    found = left.where((F.col("c") != F.col("hub.c")) & ok(F.col("info"), F.col("hub.info"))).select(*pair("node", "hub.node"))
+    found = (left.where((F.col("c") != F.col("hub.c")) & ok(F.col("info"), F.col("hub.info")))
+             .groupBy("node").agg(F.max_by("hub.node", F.struct("hub.rank", "hub.node")).alias("hub")).select(*pair("node", "hub")))
     links = cut(links.union(verify(found.distinct())), name)
     left = mixed(left.drop("hub", "c"), [])
     x, y = left.alias("x"), left.alias("y")
