@@ -44,17 +44,19 @@ def clean_url(col) -> Column:
 
 def _ipv4_number(x: Column) -> Column:
     """WHATWG IPv4 number parser for one label; NULL on failure, TOO_BIG if huge."""
-    hex_digits = F.substring(x, 3, 64)
-    oct_digits = F.substring(x, 2, 64)
+    hex_digits = F.ltrim(F.substr(x, F.lit(3)), F.lit("0"))
+    oct_digits = F.ltrim(x, F.lit("0"))
+    dec_digits = F.ltrim(x, F.lit("0"))
     return (F.when(x.rlike(HEX_RE),
                    F.when(F.length(hex_digits) == 0, F.lit(0).cast("bigint"))
-                   .when(F.length(F.ltrim(F.lit("0"), hex_digits)) > 9, F.lit(TOO_BIG))
+                   .when(F.length(hex_digits) > 9, F.lit(TOO_BIG))
                    .otherwise(F.conv(hex_digits, 16, 10).try_cast("bigint")))
             .when(x.rlike(OCT_RE),
-                  F.when(F.length(F.ltrim(F.lit("0"), oct_digits)) > 12, F.lit(TOO_BIG))
+                  F.when(F.length(oct_digits) == 0, F.lit(0).cast("bigint"))
+                  .when(F.length(oct_digits) > 12, F.lit(TOO_BIG))
                   .otherwise(F.conv(oct_digits, 8, 10).try_cast("bigint")))
             .when(x.rlike(DEC_RE),
-                  F.when(F.length(x) > 11, F.lit(TOO_BIG)).otherwise(x.try_cast("bigint"))))
+                  F.when(F.length(dec_digits) > 11, F.lit(TOO_BIG)).otherwise(x.try_cast("bigint"))))
 
 
 def ipv4_address(host) -> Column:
@@ -99,7 +101,7 @@ def _dotted_to_addr(s: Column) -> Column:
 
 def _private_ipv6(inner: Column) -> Column:
     """Only literal IPv6 hosts (containing ':') are tested, brackets removed."""
-    mapped = F.substring(inner, 8, 64)
+    mapped = F.substr(inner, F.lit(8))
     return (inner.contains(":")
             & ((inner == "::1") | inner.startswith("fc") | inner.startswith("fd")
                | inner.startswith("fe80") | inner.startswith("ff")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,66 +44,54 @@ def _loads(text: str):
     return json.loads(text, parse_constant=_reject_constant)
 
 
-def _closing(s: str, start: int) -> int:
-    """End (exclusive) of the brace group opening at ``start``; quoted text
-    and backslash escapes inside it do not count. -1 if it never closes."""
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(s)):
-        ch = s[i]
-        if quoted:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            elif ch == '"':
-                quoted = False
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0:
-                return i + 1
-    return -1
+_BRACE_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}]', re.S)
+_LONE_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _match_braces(text: str, start: int, ends: dict[int, int]) -> None:
+    """Record where the brace group at ``start``, and every group opened inside it, ends (0: never closes).
+
+    One token pass serves all of them: what follows an inner brace reads the
+    same from there, so text with many unclosed braces is read once.
+    """
+    open_at: list[int] = []
+    for token in _BRACE_TOKEN.finditer(text, start):
+        if token[0] == "{":
+            open_at.append(token.start())
+        elif token[0] == "}":
+            ends[open_at.pop()] = token.end()
+            if not open_at:
+                return
+    ends.update(dict.fromkeys(open_at, 0))
+
+
+def _candidates(text: str) -> Iterator[tuple[str, str]]:
+    """Substrings that may be the answer's JSON, with their route, best first."""
+    if text[:1] == "{" and text[-1:] == "}":
+        yield text, "whole"
+    fence = _FENCE.search(text)
+    if fence and fence[1]:
+        yield _js_trim(fence[1]), "fenced"
+    ends: dict[int, int] = {}
+    at = text.find("{")
+    while at >= 0:
+        if at not in ends:
+            _match_braces(text, at, ends)
+        if ends[at]:
+            yield text[at:ends[at]], "braces"
+        at = text.find("{", ends[at] or at + 1)
 
 
 def recover_one(raw: str | None) -> tuple[str | None, str | None, str | None]:
-    """(canonical JSON, route, reason) for one answer."""
-    if raw is None:
-        return None, None, NO_JSON
-    text = _js_trim(raw)
-    found, route = None, None
-    if text.startswith("{") and text.endswith("}"):
+    """(canonical JSON, route, reason) for one answer. Lone surrogates come out as escapes;
+    objects nested deeper than the parser's stack count as no JSON."""
+    for part, route in _candidates(_js_trim(raw or "")):
         try:
-            found, route = _loads(text), "whole"
-        except ValueError:
-            pass
-    if route is None:
-        m = _FENCE.search(text)
-        if m and m.group(1):
-            try:
-                found, route = _loads(_js_trim(m.group(1))), "fenced"
-            except ValueError:
-                pass
-    if route is None:
-        start = text.find("{")
-        while start != -1:
-            end = _closing(text, start)
-            if end == -1:
-                start = text.find("{", start + 1)
-                continue
-            try:
-                found, route = _loads(text[start:end]), "braces"
-                break
-            except ValueError:
-                start = text.find("{", end)
-    if route is None:
-        return None, None, NO_JSON
-    try:
-        return json.dumps(found, ensure_ascii=False, separators=(",", ":"), allow_nan=False), route, None
-    except ValueError:
-        return None, None, NO_JSON
+            out = json.dumps(_loads(part), ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+        except (ValueError, RecursionError):
+            continue
+        return _LONE_SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", out), route, None
+    return None, None, NO_JSON
 
 
 RECOVER_SCHEMA = T.StructType([T.StructField("json", T.StringType()), T.StructField("route", T.StringType()),

@@ -159,7 +159,8 @@ def _field(e: Column, k: str) -> Column:
 
 def _nonblank_string(e: Column, k: str) -> Column:
     x = _field(e, k)
-    return (_jtype(x) == "string") & (F.length(js_trim(x.cast("string"))) > 0)
+    # A missing field, or an element that is no object, is not a string either.
+    return F.coalesce((_jtype(x) == "string") & (F.length(js_trim(x.cast("string"))) > 0), F.lit(False))
 
 
 def _alias_issue(e: Column) -> Column:
@@ -351,13 +352,14 @@ def known_tools_table(spark: SparkSession) -> DataFrame:
 def detect_tools(installed: DataFrame, known: DataFrame, key: str = "config_id", command: str = "command_name",
                  platform: str | None = None) -> DataFrame:
     """Tools found per configuration from the command names found on its
-    machine. Names failing the command-name screen (C10) are never found;
+    machine, each once however often it is listed. Names failing the command-name screen (C10) are never found;
     ``cmd`` is skipped on Windows; a tool's ``execCommand`` replaces its
     command (C16). A ``ccs`` install adds the ccs tool and the seven OAuth
     proxy tools. ``known`` is the fixed 23-row table, broadcast."""
     from textloom.functions.screens import command_name_rules
     found = (installed.where(F.size(command_name_rules(F.col(command))) == 0)
              .select(key, F.col(command).alias("_cmd"), *([F.col(platform).alias("_platform")] if platform else [])))
+    found = found.distinct()
     if platform:
         found = found.where(~((F.col("_platform") == "win32") & F.col("_cmd").isin(*WINDOWS_SHADOWED)))
     tools = (found.join(F.broadcast(known), F.col("_cmd") == known["command"])

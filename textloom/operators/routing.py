@@ -129,6 +129,13 @@ def request_body(provider: Column, model: Column, system: Column, user: Column,
 JS_DECIMAL = r"^[+-]?(Infinity|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)$"
 
 
+def _radix(t: Column, base: int, exact: int) -> Column:
+    """Digits after a two-character prefix as a double: the first ``exact`` significant ones, scaled by the rest."""
+    digits = F.ltrim(F.substr(t, F.lit(3)), F.lit("0"))
+    head = F.conv(F.substr(digits, F.lit(1), F.lit(exact)), base, 10).try_cast("double")
+    return F.when(digits == "", F.lit(0.0)).otherwise(head * F.pow(F.lit(float(base)), F.greatest(F.length(digits) - exact, F.lit(0))))
+
+
 def js_number(col: Column) -> Column:
     """JavaScript ``Number(text)`` as a double (NaN when not a number)."""
     t = js_trim(col)
@@ -136,9 +143,9 @@ def js_number(col: Column) -> Column:
             .when(t.rlike(r"^[+]?Infinity$"), F.lit(float("inf")))
             .when(t == "-Infinity", F.lit(float("-inf")))
             .when(t.rlike(JS_DECIMAL), t.try_cast("double"))
-            .when(t.rlike(r"^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(t, 3, 64), 16, 10).try_cast("double"))
-            .when(t.rlike(r"^0[oO][0-7]{1,20}$"), F.conv(F.substring(t, 3, 64), 8, 10).try_cast("double"))
-            .when(t.rlike(r"^0[bB][01]{1,62}$"), F.conv(F.substring(t, 3, 64), 2, 10).try_cast("double"))
+            .when(t.rlike(r"^0[xX][0-9a-fA-F]+$"), _radix(t, 16, 15))
+            .when(t.rlike(r"^0[oO][0-7]+$"), _radix(t, 8, 20))
+            .when(t.rlike(r"^0[bB][01]+$"), _radix(t, 2, 60))
             .otherwise(F.lit(float("nan"))))
 
 

@@ -1018,7 +1018,7 @@ _NAMES = "[" + ", ".join(q(c) for _, c, *_ in CT.KNOWN_TOOLS) + ", 'ccs', 'bad;n
 _PROXIES = "(VALUES " + ", ".join(f"({i}, {q(n)})" for i, (n, _d) in enumerate(CT.CLI_PROXY_PROVIDERS)) + ") px(i, n)"
 ORACLE["detected_tools"] = f"""
 WITH inst AS (SELECT s_nationkey::BIGINT AS config_id, {_NAMES}[s_suppkey % {len(CT.KNOWN_TOOLS) + 2} + 1] AS command_name FROM supplier),
-f AS (SELECT * FROM inst WHERE regexp_matches(command_name, {q(S.SAFE_COMMAND_NAME)}) AND length(command_name) <= 100),
+f AS (SELECT DISTINCT * FROM inst WHERE regexp_matches(command_name, {q(S.SAFE_COMMAND_NAME)}) AND length(command_name) <= 100),
 c AS (SELECT DISTINCT config_id FROM f WHERE command_name = 'ccs')
 SELECT f.config_id, k.ord, k.name, coalesce(k.exec_command, k.command) AS command, k.prompt_command, k.prompt_use_stdin
 FROM f JOIN {_KNOWN} ON k.command = f.command_name

@@ -452,7 +452,7 @@ def q_redirect_chains(spark, sf):
 def _timed_wire_lines(spark, sf) -> DataFrame:
     """Wire lines with an event time: one second per line within a turn."""
     w = derive.wire_lines(spark, sf)
-    return w.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 100 + F.col("turn") * 10
+    return w.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 10
                                                   + F.col("seq")))
 
 
@@ -500,7 +500,7 @@ def q_reframed_stream_text(spark, sf):
     chunks = derive.byte_chunks(spark, sf)
     last = F.max("chunk_no").over(Window.partitionBy("conv_id", "turn"))
     chunks = (chunks.withColumn("is_last", F.col("chunk_no") == last)
-              .withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 100 + F.col("turn") * 10)))
+              .withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 10)))
     lines = run_to_table(spark, reframe_stream(replay_chunks(spark, chunks), watermark="1 day"), "reframe")
     return assemble(wire_deltas(lines), ["conv_id", "turn"])
 

@@ -53,7 +53,7 @@ def resolve_inputs(requests: DataFrame, snapshots: DataFrame | None = None, file
     space. Output: ``kind``, ``source``, ``content``, ``ok``, ``reason``.
     """
     a = F.col(args)
-    first = F.element_at(a, 1)
+    first = F.try_element_at(a, F.lit(1))  # NULL for an empty argument list
     n = F.coalesce(F.size(a), F.lit(0))
     piped_text = F.col("_piped_t")
     joined = F.col("_joined_t")
