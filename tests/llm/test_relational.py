@@ -54,7 +54,7 @@ def test_warc(spark):
 
 
 def test_quality_base_counts_and_partitioning(spark, rng):
-    from tests.llm.conftest import make_words
+    from llm.conftest import make_words
     texts = [None, "", " \n\t", "one", "a b c d e " * 30, "# $ &\nx y\nx y\n \n"] + [" ".join(make_words(rng, 60, 12)) for _ in range(20)] + ["w " * 30_000]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, grams int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(6, 20)], "doc_id long, quality int")

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.conftest import make_words
+from llm.conftest import make_words
 from textloom.llm import line_dedup as L
 from textloom.llm import secrets_crf as C
 from textloom.llm import suffix_dedup as S
