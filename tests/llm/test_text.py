@@ -155,7 +155,7 @@ def test_minimum_bin_slack(counts):
         used.update({n: m * times for n, m in pattern.items()})
         bins += times
     assert used == Counter(counts)
-    assert bins <= 1.5 * sum(n * c for n, c in counts.items()) / 64 + 1
+    assert bins <= 2 * sum(n * c for n, c in counts.items()) / 64 + 1  # no two bins are both at most half full
 
 
 def test_packing(spark, rng):
