@@ -135,16 +135,16 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
 
 # --- connected components -----------------------------------------------------
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """Smallest reachable node per node of ``edges(a, b)``: (node, component).
+def stars(edges: DataFrame, name: str = "components") -> DataFrame:
+    """The components of ``edges(a, b)`` as stars: one row (a, b) for each node but the smallest of its
+    component, with b that smallest node.
 
     Alternating large-star and small-star rounds: each round is two grouped
-    minima and joins, written to the shared folder, until the set of edges no
-    longer changes. A node's neighbours are never gathered in one task.
+    minima and joins, written to the shared folder, until only stars are left.
+    A node's neighbours are never gathered in one task.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    seen = None
-    while True:
+    while not _only_stars(e):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -153,17 +153,28 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                                             F.col("m").alias("b"))
         e = cut(small.where("a <> b").distinct(), name)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
+    return e
+
+
+def _only_stars(e: DataFrame) -> bool:
+    """Has every node one link to a smaller node, or links from larger nodes, but not both?"""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        e.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up + down > 1").count() == 0
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """Smallest reachable node per node of ``edges(a, b)``: (node, component)."""
+    e = stars(edges, name)
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
 def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prune: Callable | None = None,
                  refine: Callable[[DataFrame], DataFrame] | None = None, name: str = "links") -> DataFrame:
-    """Components of the graph whose links join nodes of one bucket: (node, component).
+    """Components of the graph whose links join nodes of one bucket: (node, component), for every
+    linked node but the smallest of its component.
 
     ``rows(key, node, info)`` lists the buckets of each node; ``verify`` turns
     distinct pairs (a, b) into the links among them; ``prune(info_a, info_b)`` is a cheap
@@ -172,7 +183,8 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
     give its nodes (column ``node``) a sharper ``info`` and a ``rank``, and each is tested with the node
     of the highest rank in its buckets. What is then left is tested in full across components, wherever ``prune`` allows, so
     no link inside a bucket is lost, and a bucket of near copies costs a few pairs
-    per node instead of all pairs.
+    per node instead of all pairs. A step that finds no pairs ends without further jobs, and each search for
+    components goes on from the stars of the one before.
     """
     ok = prune or (lambda a, b: F.lit(True))
     w = Window.partitionBy("key").orderBy("node")
@@ -180,32 +192,45 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
               .withColumn("next", F.lead("node").over(w)))
     hot = cut(tagged.where((F.col("node") != F.col("lo")) | F.col("next").isNotNull()).drop("next"), name)
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    star = (hot.where((F.col("node") != F.col("lo")) & ok(F.col("info"), F.col("lo_info")))
-            .groupBy("node").agg(F.min("lo").alias("x"), F.max("lo").alias("y"))
-            .select("node", F.explode(F.array("x", "y")).alias("lo")).select(*pair("node", "lo")).distinct())
-    links, hot = cut(verify(star), name), hot.select("key", "node", "info")
 
-    def mixed(rows: DataFrame, extra: list) -> DataFrame:
+    def linked(known: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
+        """Stars of what was known and of the links among ``pairs``."""
+        pairs = cut(pairs.distinct(), name)
+        if pairs.isEmpty():
+            return known
+        links = verify(pairs)
+        return stars(links if known is None else known.union(links), name)
+
+    def mixed(rows: DataFrame, known: DataFrame) -> DataFrame:
         """Rows of buckets that hold several components, with their component ``c``."""
-        left = rows.join(components(links, name), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        keys = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *extra).where("c0 <> c1").drop("c0", "c1")
+        of = known.select(F.col("a").alias("node"), F.col("b").alias("c"))
+        left = rows.join(of, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        keys = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1")
         return cut(left.join(keys, "key"), name)
 
-    left = mixed(hot, []).drop("c")
-    if refine:
-        left = left.drop("info").join(refine(left.select("node").distinct()), "node")
-    else:
-        left = left.withColumn("rank", F.xxhash64("node"))
-    hub = F.max_by(F.struct("node", "info", "c", "rank"), F.struct("rank", "node")).alias("hub")
-    left = mixed(left, [hub])
-    found = (left.where((F.col("c") != F.col("hub.c")) & ok(F.col("info"), F.col("hub.info")))
-             .groupBy("node").agg(F.max_by("hub.node", F.struct("hub.rank", "hub.node")).alias("hub")).select(*pair("node", "hub")))
-    links = cut(links.union(verify(found.distinct())), name)
-    left = mixed(left.drop("hub", "c"), [])
-    x, y = left.alias("x"), left.alias("y")
-    found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
-                   & ok(F.col("x.info"), F.col("y.info"))).select(*pair("x.node", "y.node"))
-    return components(cut(links.union(verify(found.distinct())), name), name)
+    star = (hot.where((F.col("node") != F.col("lo")) & ok(F.col("info"), F.col("lo_info")))
+            .groupBy("node").agg(F.min("lo").alias("x"), F.max("lo").alias("y"))
+            .select("node", F.explode(F.array("x", "y")).alias("lo")).select(*pair("node", "lo")))
+    none = rows.sparkSession.createDataFrame([], rows.select(F.col("node").alias("a"), F.col("node").alias("b")).schema)
+    known = linked(None, star)
+    known = none if known is None else known
+    left = mixed(hot.select("key", "node", "info"), known)
+    if not left.isEmpty():
+        if refine:
+            left = cut(left.drop("info").join(refine(left.select("node").distinct()), "node"), name)
+        else:
+            left = left.withColumn("rank", F.xxhash64("node"))
+        hub = F.max_by(F.struct("node", "info", "c", "rank"), F.struct("rank", "node")).alias("hub")
+        to_hub = left.join(left.groupBy("key").agg(hub), "key")
+        found = (to_hub.where((F.col("c") != F.col("hub.c")) & ok(F.col("info"), F.col("hub.info")))
+                 .groupBy("node").agg(F.max_by("hub.node", F.struct("hub.rank", "hub.node")).alias("hub")).select(*pair("node", "hub")))
+        known = linked(known, found)
+        left = mixed(left.select("key", "node", "info"), known)
+        x, y = left.alias("x"), left.alias("y")
+        found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+                       & ok(F.col("x.info"), F.col("y.info"))).select(*pair("x.node", "y.node"))
+        known = linked(known, found)
+    return known.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def split_by_slots(docs: DataFrame, key: str, wanted: DataFrame, slots: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
