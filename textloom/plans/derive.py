@@ -241,7 +241,7 @@ def summary_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cats = F.array(*[F.lit(x) for x in ["article", "email", "newsletter", "unknown"]])
     obj = F.struct(
         F.when(k % 4 != 0, F.concat(F.lit("Doc "), k.cast("string"))).alias("title"),
-        F.when(k % 17 == 0, F.lit("")).otherwise(F.substring("text", 1, 60)).alias("summary"),
+        F.when(k % 17 == 0, F.lit("")).otherwise(F.col("text")).alias("summary"),
         F.array(F.col("lang"), F.col("source")).alias("key_points"),
         F.when(F.col("toxic") == 1, F.array(F.lit("Review flagged content"))).otherwise(F.array().cast("array<string>"))
         .alias("action_items"),
@@ -267,19 +267,19 @@ def class_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def meeting_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A meeting answer per conversation: action items from assistant turns
-    (owner = role, task = first 30 characters, due = "turn <n>"), a risk for
+    (owner = role, task = the turn's text, due = "turn <n>"), a risk for
     even ids. Refusal for conv_id % 7 = 3, parsed output for conv_id % 3 = 0,
     otherwise content; content cut short for conv_id % 5 = 4, absent for
     conv_id % 11 = 5, a numeric risk for conv_id % 13 = 6."""
     c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     items = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct(
-        F.col("turn").alias("turn"), F.col("role").alias("owner"), F.substring("text", 1, 30).alias("task"),
+        F.col("turn").alias("turn"), F.col("role").alias("owner"), F.col("text").alias("task"),
         F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("due")))))
     first = F.array_sort(F.collect_list(F.struct(F.col("turn"), F.col("text"))))
     g = c.groupBy("conv_id").agg(items.alias("_items"), first.alias("_turns"))
     k = F.col("conv_id")
     obj = F.to_json(F.struct(
-        F.substring(F.element_at(F.col("_turns"), 1)["text"], 1, 80).alias("summary"),
+        F.element_at(F.col("_turns"), 1)["text"].alias("summary"),
         F.transform("_items", lambda s: F.struct(s["owner"].alias("owner"), s["task"].alias("task"),
                                                  s["due"].alias("due"))).alias("action_items"),
         F.when(k % 13 == 6, F.array(F.lit("1")))
@@ -422,63 +422,72 @@ def misspelt_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNSAFE_MARKS = [" && ls", " || true", "; rm x", " $(whoami)", " `whoami`", " sudo ls", " rm -rf /tmp", " > /dev/null", ""]
 
 
+def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in pieces, split at full stops and line ends: doc_id,
+    piece (from 0), text. Every character but the separators is in a piece."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(F.split("text", r"[.\n]", -1)).alias("piece", "text"))
+
+
 def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commands from documents: the first 40 characters, ASCII letters and
+    """Commands from the pieces of documents: ASCII letters and
     spaces only, with an unsafe mark chosen by doc_id % 9 (none for 8)."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = text_pieces(spark, sf_dir)
     marks = F.array(*[F.lit(m) for m in UNSAFE_MARKS])
-    base = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
-    return d.select("doc_id", F.concat(base, F.element_at(marks, (F.col("doc_id") % 9 + 1).cast("int"))).alias("command"))
+    base = F.regexp_replace("text", "[^A-Za-z ]", "")
+    return d.select("doc_id", "piece", F.concat(base, F.element_at(marks, (F.col("doc_id") % 9 + 1).cast("int"))).alias("command"))
 
 
-def _first_word(col: str = "text") -> Column:
-    return F.regexp_extract(F.col(col), "[A-Za-z]+", 0)
+def _words(joint: str) -> Column:
+    """The ASCII words of a text with ``joint`` for whatever is between them."""
+    return F.regexp_replace("text", "[^A-Za-z]+", joint)
 
 
 def argument_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Argument lists: the words of the first 60 characters plus one more by
+    """Argument lists: the words of each piece plus one more by
     doc_id % 5 (';', 'a|b', 201 x's, 'ok-arg', none)."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.filter(F.split(F.substring("text", 1, 60), " "), lambda w: w != "")
+    d = text_pieces(spark, sf_dir)
+    words = F.filter(F.split("text", " "), lambda w: w != "")
     k = F.col("doc_id") % 5
     extra = (F.when(k == 0, F.array(F.lit(";"))).when(k == 1, F.array(F.lit("a|b")))
              .when(k == 2, F.array(F.lit("x" * 201))).when(k == 3, F.array(F.lit("ok-arg")))
              .otherwise(F.array().cast("array<string>")))
-    return d.select("doc_id", F.concat(words, extra).alias("args"))
+    return d.select("doc_id", "piece", F.concat(words, extra).alias("args"))
 
 
 def path_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Output paths by doc_id % 10 around the document's first ASCII word."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    w = _first_word()
+    """Output paths by doc_id % 10 around the ASCII words of each piece, one path segment a word."""
+    d = text_pieces(spark, sf_dir)
+    w = _words("/")
     k = F.col("doc_id") % 10
     path = (F.when(k == 0, F.concat(F.lit("out/"), w, F.lit(".md"))).when(k == 1, F.concat(F.lit("./"), w, F.lit(".md")))
             .when(k == 2, F.concat(F.lit("/tmp/"), w)).when(k == 3, F.concat(F.lit("C:/"), w))
             .when(k == 4, F.concat(F.lit("docs/."), w)).when(k == 5, F.concat(F.lit("../"), w))
             .when(k == 6, F.concat(F.lit("etc/"), w)).when(k == 7, F.concat(F.lit("con."), w))
             .when(k == 8, F.concat(F.lit("a\\..\\"), w)).otherwise(F.lit("   ")))
-    return d.select("doc_id", path.alias("path"))
+    return d.select("doc_id", "piece", path.alias("path"))
 
 
 def ref_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    w = _first_word()
+    """Refs by doc_id % 6 around the ASCII words of each piece."""
+    d = text_pieces(spark, sf_dir)
+    w = _words("-")
     k = F.col("doc_id") % 6
     ref = (F.when(k == 0, F.concat(F.lit("HEAD~"), (F.col("doc_id") % 5).cast("string")))
            .when(k == 1, F.concat(F.lit("origin/"), w)).when(k == 2, F.lit("main;rm"))
            .when(k == 3, F.lit("-rf")).when(k == 4, F.lit("a..b")).otherwise(F.concat(w, F.lit("@{1}"))))
-    return d.select("doc_id", ref.alias("ref"))
+    return d.select("doc_id", "piece", ref.alias("ref"))
 
 
 def quoted_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Template-like commands with quoted prompts from documents' ASCII words."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z ]", "")
+    """Template-like commands with quoted prompts from the ASCII words of each piece."""
+    d = text_pieces(spark, sf_dir)
+    words = F.regexp_replace("text", "[^A-Za-z ]", "")
     k = F.col("doc_id") % 4
     prompt = (F.when(k == 0, F.concat(F.lit("'"), words, F.lit("'")))
               .when(k == 1, F.concat(F.lit('"'), words, F.lit(' $@"')))
               .when(k == 2, F.concat(F.lit("'"), words)).otherwise(words))
-    return d.select("doc_id", F.concat(F.lit("tool"), (F.col("doc_id") % 3).cast("string"), F.lit(" -p "), prompt)
+    return d.select("doc_id", "piece", F.concat(F.lit("tool"), (F.col("doc_id") % 3).cast("string"), F.lit(" -p "), prompt)
                     .alias("command"))
 
 
@@ -491,18 +500,18 @@ EXTRA_TEMPLATES = ["fake-ai --mode plan", "fake-ai -x 'Review: $@'", 'amp -x "Ex
 
 def template_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Launch requests from documents: template by doc_id % 14; arguments are
-    the ASCII words of the first 30 characters unless doc_id % 3 = 0; piped
-    text (first 40 characters) when doc_id is even."""
+    the ASCII words of a piece unless doc_id % 3 = 0; the piece is piped
+    text when doc_id is even. One request per piece."""
     from textloom.operators.catalogue import DEFAULT_TEMPLATES
     commands = [c for _, c, _, _ in DEFAULT_TEMPLATES] + EXTRA_TEMPLATES
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = text_pieces(spark, sf_dir)
     k = F.col("doc_id")
-    words = F.filter(F.split(F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z ]", ""), " "), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), lambda w: w != "")
     arr = F.array(*[F.lit(c) for c in commands])
-    return d.select("doc_id", (k % len(commands)).cast("int").alias("template_idx"),
+    return d.select("doc_id", "piece", (k % len(commands)).cast("int").alias("template_idx"),
                     F.element_at(arr, (k % len(commands) + 1).cast("int")).alias("command"),
                     F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(words).alias("args"),
-                    F.when(k % 2 == 0, F.substring("text", 1, 40)).alias("piped"))
+                    F.when(k % 2 == 0, F.col("text")).alias("piped"))
 
 
 def crawl_hops(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -481,7 +481,7 @@ def string_array_issues(j: str, key: str) -> str:
 
 SUMMARY_ANSWERS = """(WITH d AS (SELECT d.doc_id, d.text, d.lang, d.source, l.quality, l.toxic
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
-  s AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE substr(text, 1, 60) END AS summary, [lang, source] AS kp,
+  s AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS summary, [lang, source] AS kp,
     CASE WHEN toxic = 1 THEN ['Review flagged content'] ELSE []::VARCHAR[] END AS ai,
     CASE WHEN doc_id % 7 = 0 THEN 'memo' ELSE ['article', 'email', 'newsletter', 'unknown'][doc_id % 4 + 1] END AS cat,
     CASE WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' ELSE 'medium' END AS imp FROM d),
@@ -546,9 +546,9 @@ SELECT doc_id, reason IS NULL AS ok, reason,
 FROM v"""
 
 MEETING_ANSWERS = """(WITH g AS (SELECT conv_id, arg_min(text, turn) AS first_text,
-      coalesce(list({'owner': role, 'task': substr(text, 1, 30), 'due': 'turn ' || turn} ORDER BY turn) FILTER (WHERE role = 'assistant'),
+      coalesce(list({'owner': role, 'task': text, 'due': 'turn ' || turn} ORDER BY turn) FILTER (WHERE role = 'assistant'),
                []) AS items FROM conversations GROUP BY conv_id),
-  o AS (SELECT conv_id, to_json({'summary': substr(first_text, 1, 80), 'action_items': items,
+  o AS (SELECT conv_id, to_json({'summary': first_text, 'action_items': items,
       'risks': CASE WHEN conv_id % 13 = 6 THEN ['1'] WHEN conv_id % 2 = 0 THEN ['Scope creep'] ELSE []::VARCHAR[] END})::VARCHAR AS o0
     FROM g),
   c AS (SELECT conv_id, CASE WHEN conv_id % 13 = 6 THEN replace(o0, '"risks":["1"]', '"risks":[1]') ELSE o0 END AS body FROM o)
@@ -868,40 +868,42 @@ def command_rules_sql(x: str) -> str:
 
 
 _MARKS = "[" + ", ".join(q(m) for m in DV.UNSAFE_MARKS) + "]"
-COMMAND_LOG = f"""(SELECT doc_id, regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g') || {_MARKS}[doc_id % 9 + 1] AS command
-  FROM documents)"""
+PIECES = """(SELECT doc_id, (i - 1)::INT AS piece, parts[i] AS text
+  FROM (SELECT doc_id, string_split(replace(text, '.', chr(10)), chr(10)) AS parts FROM documents) d, range(1, len(d.parts) + 1) r(i))"""
+COMMAND_LOG = f"""(SELECT doc_id, piece, regexp_replace(text, '[^A-Za-z ]', '', 'g') || {_MARKS}[doc_id % 9 + 1] AS command
+  FROM {PIECES})"""
 
 ORACLE["command_screen"] = f"""
-SELECT doc_id, command, len(b) = 0 AS ok, array_to_string(b, ',') AS broken
-FROM (SELECT doc_id, command, {command_rules_sql('command')} AS b FROM {COMMAND_LOG})"""
+SELECT doc_id, piece, command, len(b) = 0 AS ok, array_to_string(b, ',') AS broken
+FROM (SELECT doc_id, piece, command, {command_rules_sql('command')} AS b FROM {COMMAND_LOG})"""
 
 ORACLE["command_rule_counts"] = f"""
 SELECT rule, count(*) AS n FROM (SELECT unnest({command_rules_sql('command')}) AS rule FROM {COMMAND_LOG}) GROUP BY rule"""
 
 ORACLE["command_name_screen"] = f"""
-SELECT doc_id, name, len(b) = 0 AS ok, array_to_string(b, ',') AS broken FROM (
-  SELECT doc_id, name, list_filter([CASE WHEN NOT regexp_matches(name, {q(S.SAFE_COMMAND_NAME)}) THEN 'characters' END,
+SELECT doc_id, piece, name, len(b) = 0 AS ok, array_to_string(b, ',') AS broken FROM (
+  SELECT doc_id, piece, name, list_filter([CASE WHEN NOT regexp_matches(name, {q(S.SAFE_COMMAND_NAME)}) THEN 'characters' END,
     CASE WHEN length(name) > 100 THEN 'too_long' END], lambda r: r IS NOT NULL) AS b
-  FROM (SELECT doc_id, string_split(command, ' ')[1] AS name FROM {COMMAND_LOG}))"""
+  FROM (SELECT doc_id, piece, string_split(command, ' ')[1] AS name FROM {COMMAND_LOG}))"""
 
 ORACLE["argument_screen"] = f"""
-SELECT doc_id, to_json(args)::VARCHAR AS args, len(b) = 0 AS ok, array_to_string(b, ',') AS broken FROM (
-  SELECT doc_id, args, list_filter([
+SELECT doc_id, piece, to_json(args)::VARCHAR AS args, len(b) = 0 AS ok, array_to_string(b, ',') AS broken FROM (
+  SELECT doc_id, piece, args, list_filter([
     CASE WHEN len(list_filter(args, lambda x: NOT regexp_matches(x, {q(S.SAFE_ARGUMENT)}))) > 0 THEN 'characters' END,
     CASE WHEN len(list_filter(args, lambda x: {utf16_len('x')} > 200)) > 0 THEN 'too_long' END], lambda r: r IS NOT NULL) AS b
-  FROM (SELECT doc_id, list_filter(string_split(substr(text, 1, 60), ' '), lambda w: w <> '') || CASE doc_id % 5
+  FROM (SELECT doc_id, piece, list_filter(string_split(text, ' '), lambda w: w <> '') || CASE doc_id % 5
       WHEN 0 THEN [';'] WHEN 1 THEN ['a|b'] WHEN 2 THEN [repeat('x', 201)] WHEN 3 THEN ['ok-arg'] ELSE []::VARCHAR[] END AS args
-    FROM documents))"""
+    FROM {PIECES}))"""
 
-_W = "regexp_extract(text, '[A-Za-z]+', 0)"
-PATH_LOG = f"""(SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'out/' || {_W} || '.md' WHEN 1 THEN './' || {_W} || '.md'
+_W = "regexp_replace(text, '[^A-Za-z]+', '/', 'g')"
+PATH_LOG = f"""(SELECT doc_id, piece, CASE doc_id % 10 WHEN 0 THEN 'out/' || {_W} || '.md' WHEN 1 THEN './' || {_W} || '.md'
     WHEN 2 THEN '/tmp/' || {_W} WHEN 3 THEN 'C:/' || {_W} WHEN 4 THEN 'docs/.' || {_W} WHEN 5 THEN '../' || {_W}
-    WHEN 6 THEN 'etc/' || {_W} WHEN 7 THEN 'con.' || {_W} WHEN 8 THEN 'a\\..\\' || {_W} ELSE '   ' END AS path FROM documents)"""
+    WHEN 6 THEN 'etc/' || {_W} WHEN 7 THEN 'con.' || {_W} WHEN 8 THEN 'a\\..\\' || {_W} ELSE '   ' END AS path FROM {PIECES})"""
 _DEV = ", ".join(q(d) for d in S.DEVICE_NAMES)
 _PROT = ", ".join(q(d) for d in S.PROTECTED_ROOTS)
 ORACLE["path_screen"] = f"""
-SELECT doc_id, path, reason IS NULL AS ok, reason FROM (
-  SELECT doc_id, path, CASE WHEN path IS NULL OR length({js_trim('path')}) = 0 THEN 'escape'
+SELECT doc_id, piece, path, reason IS NULL AS ok, reason FROM (
+  SELECT doc_id, piece, path, CASE WHEN path IS NULL OR length({js_trim('path')}) = 0 THEN 'escape'
     WHEN n = '' OR n = '.' THEN 'escape'
     WHEN starts_with(n, '/') OR regexp_matches(path, '^[A-Za-z]:[/\\\\]') OR starts_with(path, '\\') OR regexp_matches(n, '^[A-Za-z]:') THEN 'absolute'
     WHEN list_filter(sr, lambda x: x IS NOT NULL)[1] IS NOT NULL THEN list_filter(sr, lambda x: x IS NOT NULL)[1]
@@ -911,22 +913,23 @@ SELECT doc_id, path, reason IS NULL AS ok, reason FROM (
         FROM (SELECT *, list_filter(string_split(n, '/'), lambda s: length(s) > 0) AS segs
               FROM (SELECT *, regexp_replace(replace(path, '\\', '/'), '^(\\./)+', '') AS n FROM {PATH_LOG}))))"""
 
+_R = "regexp_replace(text, '[^A-Za-z]+', '-', 'g')"
 ORACLE["ref_screen"] = f"""
-SELECT doc_id, ref, len(b) = 0 AS ok, array_to_string(b, ',') AS broken FROM (
-  SELECT doc_id, ref, list_filter([CASE WHEN NOT regexp_matches(ref, {q(S.SAFE_REF)}) THEN 'characters' END,
+SELECT doc_id, piece, ref, len(b) = 0 AS ok, array_to_string(b, ',') AS broken FROM (
+  SELECT doc_id, piece, ref, list_filter([CASE WHEN NOT regexp_matches(ref, {q(S.SAFE_REF)}) THEN 'characters' END,
     CASE WHEN starts_with(ref, '-') THEN 'leading_dash' END, CASE WHEN contains(ref, '..') THEN 'dotdot' END,
     CASE WHEN regexp_matches(ref, {q(S.REF_SHELL_MARKS)}) THEN 'shell_marks' END], lambda r: r IS NOT NULL) AS b
-  FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'HEAD~' || (doc_id % 5) WHEN 1 THEN 'origin/' || {_W}
-      WHEN 2 THEN 'main;rm' WHEN 3 THEN '-rf' WHEN 4 THEN 'a..b' ELSE {_W} || '@{{1}}' END AS ref FROM documents))"""
+  FROM (SELECT doc_id, piece, CASE doc_id % 6 WHEN 0 THEN 'HEAD~' || (doc_id % 5) WHEN 1 THEN 'origin/' || {_R}
+      WHEN 2 THEN 'main;rm' WHEN 3 THEN '-rf' WHEN 4 THEN 'a..b' ELSE {_R} || '@{{1}}' END AS ref FROM {PIECES}))"""
 
-QUOTED = """(SELECT doc_id, 'tool' || (doc_id % 3) || ' -p ' || CASE doc_id % 4
+QUOTED = f"""(SELECT doc_id, piece, 'tool' || (doc_id % 3) || ' -p ' || CASE doc_id % 4
     WHEN 0 THEN '''' || w || '''' WHEN 1 THEN '"' || w || ' $@"' WHEN 2 THEN '''' || w ELSE w END AS command
-  FROM (SELECT doc_id, regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g') AS w FROM documents))"""
+  FROM (SELECT doc_id, piece, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS w FROM {PIECES}))"""
 
-ORACLE["placeholder_counts"] = f"SELECT doc_id, len(regexp_extract_all(command, '\\$@')) AS placeholders FROM {QUOTED}"
+ORACLE["placeholder_counts"] = f"SELECT doc_id, piece, len(regexp_extract_all(command, '\\$@')) AS placeholders FROM {QUOTED}"
 ORACLE["command_tokens"] = f"""
-SELECT doc_id, t[1] AS cmd, len(t) AS n_tokens, to_json(t)::VARCHAR AS tokens
-FROM (SELECT doc_id, regexp_extract_all(command, {q(S.TOKEN_RE)}, 1) AS t FROM {QUOTED})"""
+SELECT doc_id, piece, t[1] AS cmd, len(t) AS n_tokens, to_json(t)::VARCHAR AS tokens
+FROM (SELECT doc_id, piece, regexp_extract_all(command, {q(S.TOKEN_RE)}, 1) AS t FROM {QUOTED})"""
 
 
 def _strip(t: str) -> str:
@@ -937,9 +940,9 @@ def _strip(t: str) -> str:
 _TEMPLATES = [c for _, c, _, _ in CT.DEFAULT_TEMPLATES] + DV.EXTRA_TEMPLATES
 _TLIST = "[" + ", ".join(q(c) for c in _TEMPLATES) + "]"
 ORACLE["expand_templates"] = f"""
-WITH r AS (SELECT doc_id, (doc_id % {len(_TEMPLATES)})::INT AS template_idx, {_TLIST}[doc_id % {len(_TEMPLATES)} + 1] AS command,
-    CASE WHEN doc_id % 3 = 0 THEN []::VARCHAR[] ELSE list_filter(string_split(regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g'), ' '), lambda w: w <> '') END AS args,
-    CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 40) END AS piped FROM documents),
+WITH r AS (SELECT doc_id, piece, (doc_id % {len(_TEMPLATES)})::INT AS template_idx, {_TLIST}[doc_id % {len(_TEMPLATES)} + 1] AS command,
+    CASE WHEN doc_id % 3 = 0 THEN []::VARCHAR[] ELSE list_filter(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '), lambda w: w <> '') END AS args,
+    CASE WHEN doc_id % 2 = 0 THEN text END AS piped FROM {PIECES}),
 s AS (SELECT *, len(regexp_extract_all(command, '\\$@')) AS n, regexp_extract_all(command, {q(S.TOKEN_RE)}, 1) AS tok,
     len(args) > 0 AS has_args, coalesce(length(piped) > 0, false) AS has_stdin FROM r),
 v AS (SELECT *, CASE WHEN len({command_rules_sql('command')}) > 0 THEN 'Invalid command format'
@@ -947,7 +950,7 @@ v AS (SELECT *, CASE WHEN len({command_rules_sql('command')}) > 0 THEN 'Invalid
       WHEN contains(command, '$@') AND NOT has_args AND NOT has_stdin THEN 'This template requires input.'
       WHEN n > 1 THEN {q(AU.MANY_PLACEHOLDERS)} WHEN len(tok) = 0 THEN 'Empty command' END AS reason,
     CASE WHEN has_args THEN array_to_string(args, ' ') WHEN has_stdin THEN piped ELSE '' END AS inp FROM s)
-SELECT doc_id, template_idx, reason IS NULL AS ok, reason,
+SELECT doc_id, piece, template_idx, reason IS NULL AS ok, reason,
   CASE WHEN reason IS NULL THEN CASE WHEN n = 1 AND contains(tok[1], '$@') THEN {_strip("replace(tok[1], '$@', inp)")} ELSE tok[1] END END AS cmd,
   CASE WHEN reason IS NULL THEN to_json(CASE WHEN n = 1 THEN list_transform(tok[2:], lambda t: CASE WHEN contains(t, '$@')
       THEN {_strip("replace(t, '$@', inp)")} ELSE {_strip('t')} END)

@@ -388,7 +388,7 @@ def _joined(c: str) -> Column:
 @query("command_screen")
 def q_command_screen(spark, sf):
     a = audit_log(derive.command_log(spark, sf), S.command_rules("command"))
-    return a.select("doc_id", "command", "ok", _joined("broken").alias("broken"))
+    return a.select("doc_id", "piece", "command", "ok", _joined("broken").alias("broken"))
 
 
 @query("command_rule_counts")
@@ -400,44 +400,44 @@ def q_command_rule_counts(spark, sf):
 def q_command_name_screen(spark, sf):
     c = derive.command_log(spark, sf).withColumn("name", F.split("command", " ").getItem(0))
     a = audit_log(c, S.command_name_rules("name"))
-    return a.select("doc_id", "name", "ok", _joined("broken").alias("broken"))
+    return a.select("doc_id", "piece", "name", "ok", _joined("broken").alias("broken"))
 
 
 @query("argument_screen")
 def q_argument_screen(spark, sf):
     a = audit_log(derive.argument_log(spark, sf), S.argument_rules("args"))
-    return a.select("doc_id", F.to_json("args").alias("args"), "ok", _joined("broken").alias("broken"))
+    return a.select("doc_id", "piece", F.to_json("args").alias("args"), "ok", _joined("broken").alias("broken"))
 
 
 @query("path_screen")
 def q_path_screen(spark, sf):
     p = derive.path_log(spark, sf).withColumn("reason", S.path_reason("path"))
-    return p.select("doc_id", "path", F.col("reason").isNull().alias("ok"), "reason")
+    return p.select("doc_id", "piece", "path", F.col("reason").isNull().alias("ok"), "reason")
 
 
 @query("ref_screen")
 def q_ref_screen(spark, sf):
     a = audit_log(derive.ref_log(spark, sf), S.ref_rules("ref"))
-    return a.select("doc_id", "ref", "ok", _joined("broken").alias("broken"))
+    return a.select("doc_id", "piece", "ref", "ok", _joined("broken").alias("broken"))
 
 
 @query("placeholder_counts")
 def q_placeholder_counts(spark, sf):
     c = derive.quoted_commands(spark, sf)
-    return c.select("doc_id", S.placeholder_count("command").alias("placeholders"))
+    return c.select("doc_id", "piece", S.placeholder_count("command").alias("placeholders"))
 
 
 @query("command_tokens")
 def q_command_tokens(spark, sf):
     c = derive.quoted_commands(spark, sf).withColumn("tokens", S.command_tokens("command"))
-    return c.select("doc_id", F.element_at("tokens", 1).alias("cmd"), F.size("tokens").alias("n_tokens"),
+    return c.select("doc_id", "piece", F.element_at("tokens", 1).alias("cmd"), F.size("tokens").alias("n_tokens"),
                     F.to_json("tokens").alias("tokens"))
 
 
 @query("expand_templates")
 def q_expand_templates(spark, sf):
     e = expand_templates(derive.template_requests(spark, sf))
-    return e.select("doc_id", "template_idx", "ok", "reason", "cmd", F.to_json("argv").alias("argv"))
+    return e.select("doc_id", "piece", "template_idx", "ok", "reason", "cmd", F.to_json("argv").alias("argv"))
 
 
 @query("redirect_chains")
