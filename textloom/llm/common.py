@@ -172,7 +172,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prune: Callable | None = None,
-                 refine: Callable[[DataFrame], DataFrame] | None = None, name: str = "links") -> DataFrame:
+                 refine: Callable[[DataFrame], DataFrame] | None = None, name: str = "links",
+                 narrow: tuple[Callable[[DataFrame], DataFrame], Callable] | None = None) -> DataFrame:
     """Components of the graph whose links join nodes of one bucket: (node, component), for every
     linked node but the smallest of its component.
 
@@ -183,7 +184,8 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
     give its nodes (column ``node``) a sharper ``info`` and a ``rank``, and each is tested with the node
     of the highest rank in its buckets. What is then left is tested in full across components, wherever ``prune`` allows, so
     no link inside a bucket is lost, and a bucket of near copies costs a few pairs
-    per node instead of all pairs. A step that finds no pairs ends without further jobs, and each search for
+    per node instead of all pairs. ``narrow`` makes that last step finer: its first part gives nodes (column ``node``) rows
+    (key, node, info), and every link joins two rows of one such key whose infos meet its second part; a pair must share a bucket as well. A step that finds no pairs ends without further jobs, and each search for
     components goes on from the stars of the one before.
     """
     ok = prune or (lambda a, b: F.lit(True))
@@ -226,9 +228,16 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
                  .groupBy("node").agg(F.max_by("hub.node", F.struct("hub.rank", "hub.node")).alias("hub")).select(*pair("node", "hub")))
         known = linked(known, found)
         left = mixed(left.select("key", "node", "info"), known)
-        x, y = left.alias("x"), left.alias("y")
+        may = lambda x, y: ok(x["info"], y["info"])
+        if narrow and not left.isEmpty():
+            finer, meet = narrow
+            of = left.groupBy("node").agg(F.first("info").alias("info"), F.collect_set("key").alias("buckets"))
+            left = mixed(finer(of.select("node")).withColumnRenamed("info", "finer").join(of, "node"), known)
+            may = lambda x, y: ok(x["info"], y["info"]) & meet(x["finer"], y["finer"]) & F.arrays_overlap(x["buckets"], y["buckets"])
+        side = F.struct(*[c for c in left.columns if c not in ("key", "node", "c")])
+        x, y = (left.select("key", "node", "c", side.alias("side")).alias(t) for t in "xy")
         found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
-                       & ok(F.col("x.info"), F.col("y.info"))).select(*pair("x.node", "y.node"))
+                       & may(F.col("x.side"), F.col("y.side"))).select(*pair("x.node", "y.node"))
         known = linked(known, found)
     return known.select(F.col("a").alias("node"), F.col("b").alias("component"))
 

@@ -9,7 +9,8 @@ Equal sets have equal registers, and the registers of a union are the element-wi
 2. Bands of four registers put classes into buckets. A pair at the threshold
    0.75 shares none of the 32 bands with probability 5e-6.
    A bucket is tested as stars first; for the rest, elements that no other candidate has bound the
-   similarity a document can reach, which settles most of what is still apart.
+   similarity a document can reach, and a pair must share one of the rarest elements of both, as many
+   as two sets at the threshold may differ in. That settles most of what is still apart, and no link is lost.
 3. Pairs from one bucket are estimated by maximum likelihood from both documents'
    registers and set sizes; those far below the threshold (five standard errors) go.
 4. The rest are decided exactly on their full shingle sets.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import (cut, link_buckets, lower_ascii, mix64, split_by_slots, text_chunks, window_hashes,
@@ -162,16 +163,31 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         most = F.least(x["common"], y["common"])
         return 100 * most >= percent * (x["n"] + y["n"] - most)
 
+    elements = _ElementTable(texts)
+
     def refine(nodes: DataFrame) -> DataFrame:
         """Counts each node's elements that no other of the nodes has: they are in no intersection."""
-        found = texts.of(nodes.select(F.col("node").alias("doc_id"))).mapInArrow(_elements, "node long, h long")
-        lone = (found.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+        lone = (elements.of(nodes).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
                 .groupBy("node").agg(F.count("*").alias("lone")))
         known = nodes.join(lone, "node", "left").join(reps.select(F.col("rep").alias("node"), "n"), "node")
         common = F.col("n") - F.coalesce("lone", F.lit(0))
         return cut(known.select("node", info(F.col("n"), common).alias("info"), (common / F.col("n")).alias("rank")), "refined")
 
-    comp = link_buckets(rows, verify, possible, refine, "near")
+    def rarest(nodes: DataFrame) -> DataFrame:
+        """Each node's rarest elements, with their place in its set from the rarest on. Two sets of n and m elements
+        with k of them in common both hold one of these among their first n - k + 1 and m - k + 1."""
+        some = elements.table.join(nodes, "node", "left_semi")
+        count = some.groupBy("h").agg(F.count("*").alias("df"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
+        placed = some.join(count, "h").withColumn("at", place).join(reps.select(F.col("rep").alias("node"), "n"), "node")
+        return (placed.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("at")) >= percent * F.col("n")))
+                .select(F.col("h").alias("key"), "node", F.struct("n", "at").alias("info")))
+
+    def first_shared(x, y):
+        """Is the least number of common elements still ahead of both places?"""
+        return (100 + percent) * F.least(x["n"] - x["at"], y["n"] - y["at"]) >= percent * (x["n"] + y["n"])
+
+    comp = link_buckets(rows, verify, possible, refine, "near", (rarest, first_shared))
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     found = full.join(named, key).select("doc_id", "n", "component_id")
     # One document may come in several rows: its component is the smallest of theirs.
@@ -190,3 +206,15 @@ class _TextTable:
         ids = cut(ids, "wanted")
         some, _ = split_by_slots(self.base, "doc_id", ids)
         return cut(some.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+
+class _ElementTable:
+    """Set elements (node, h) of the documents asked for last."""
+
+    def __init__(self, texts: _TextTable):
+        self.texts, self.table = texts, None
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        found = self.texts.of(nodes.select(F.col("node").alias("doc_id"))).mapInArrow(_elements, "node long, h long")
+        self.table = cut(found, "elements")
+        return self.table
