@@ -180,8 +180,8 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
     ``rows(key, node, info)`` lists the buckets of each node; ``verify`` turns
     distinct pairs (a, b) into the links among them; ``prune(info_a, info_b)`` is a cheap
     condition that every link meets. Buckets are first tested as stars: every node with the smallest
-    node of its buckets, for the lowest and the highest of these. Where a bucket then still holds several components, ``refine`` may
-    give its nodes (column ``node``) a sharper ``info`` and a ``rank``, and each is tested with the node
+    node of its buckets and, without ``refine``, with the largest. Where a bucket then still holds several components, ``refine``
+    gives its nodes (column ``node``) a sharper ``info`` and a ``rank``, and each is tested with the node
     of the highest rank in its buckets. What is then left is tested in full across components, wherever ``prune`` allows, so
     no link inside a bucket is lost, and a bucket of near copies costs a few pairs
     per node instead of all pairs. ``narrow`` makes that last step finer: its first part gives nodes (column ``node``) rows
@@ -190,9 +190,11 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
     """
     ok = prune or (lambda a, b: F.lit(True))
     w = Window.partitionBy("key").orderBy("node")
-    tagged = (rows.withColumn("lo", F.first("node").over(w)).withColumn("lo_info", F.first("info").over(w))
-              .withColumn("next", F.lead("node").over(w)))
-    hot = cut(tagged.where((F.col("node") != F.col("lo")) | F.col("next").isNotNull()).drop("next"), name)
+    end = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tagged = rows.withColumn("lo", F.first(F.struct("node", "info")).over(w)).withColumn("next", F.lead("node").over(w))
+    tagged = tagged.withColumn("hi", F.col("lo") if refine else F.last(F.struct("node", "info")).over(end))
+    hub = lambda c: F.when((F.col("node") != F.col(c)["node"]) & ok(F.col("info"), F.col(c)["info"]), F.col(c)["node"]).alias(c)
+    hot = cut(tagged.where((F.col("node") != F.col("lo.node")) | F.col("next").isNotNull()).select("key", "node", "info", hub("lo"), hub("hi")), name)
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     def linked(known: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
@@ -210,9 +212,8 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
         keys = left.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1")
         return cut(left.join(keys, "key"), name)
 
-    star = (hot.where((F.col("node") != F.col("lo")) & ok(F.col("info"), F.col("lo_info")))
-            .groupBy("node").agg(F.min("lo").alias("x"), F.max("lo").alias("y"))
-            .select("node", F.explode(F.array("x", "y")).alias("lo")).select(*pair("node", "lo")))
+    star = (hot.where(F.coalesce("lo", "hi").isNotNull()).groupBy("node").agg(F.min("lo").alias("x"), F.max("hi").alias("y"))
+            .select("node", F.explode(F.array("x", "y")).alias("hub")).where("hub is not null").select(*pair("node", "hub")))
     none = rows.sparkSession.createDataFrame([], rows.select(F.col("node").alias("a"), F.col("node").alias("b")).schema)
     known = linked(None, star)
     known = none if known is None else known
@@ -220,14 +221,12 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], prun
     if not left.isEmpty():
         if refine:
             left = cut(left.drop("info").join(refine(left.select("node").distinct()), "node"), name)
-        else:
-            left = left.withColumn("rank", F.xxhash64("node"))
-        hub = F.max_by(F.struct("node", "info", "c", "rank"), F.struct("rank", "node")).alias("hub")
-        to_hub = left.join(left.groupBy("key").agg(hub), "key")
-        found = (to_hub.where((F.col("c") != F.col("hub.c")) & ok(F.col("info"), F.col("hub.info")))
-                 .groupBy("node").agg(F.max_by("hub.node", F.struct("hub.rank", "hub.node")).alias("hub")).select(*pair("node", "hub")))
-        known = linked(known, found)
-        left = mixed(left.select("key", "node", "info"), known)
+            best = F.max_by(F.struct("node", "info", "c", "rank"), F.struct("rank", "node")).alias("hub")
+            to_hub = left.join(left.groupBy("key").agg(best), "key")
+            found = (to_hub.where((F.col("c") != F.col("hub.c")) & ok(F.col("info"), F.col("hub.info")))
+                     .groupBy("node").agg(F.max_by("hub.node", F.struct("hub.rank", "hub.node")).alias("hub")).select(*pair("node", "hub")))
+            known = linked(known, found)
+            left = mixed(left.select("key", "node", "info"), known)
         may = lambda x, y: ok(x["info"], y["info"])
         if narrow and not left.isEmpty():
             finer, meet = narrow
