@@ -146,6 +146,32 @@ def test_line_dedup(spark, rng):
     assert L.line_dedup(df.limit(0)).count() == 0 and L.line_dedup(df).columns == df.columns
 
 
+def near_lines(rng, kinds):
+    """(line, near line) pairs of edit similarity at least 0.8, one changed word each, by number of words."""
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 8))))
+    out = []
+    for n, times in kinds:
+        while times:
+            a = [word() for _ in range(n)]
+            b = a.copy()
+            b[int(rng.integers(n))] = word()
+            a, b = " ".join(a), " ".join(b)
+            if a != b and 5 * edit(a, b) <= max(len(a), len(b)):
+                out.append((a, b))
+                times -= 1
+    return out
+
+
+def test_line_dedup_finds_near_lines(spark, rng):
+    pairs = near_lines(rng, [(5, 40), (10, 40), (20, 40), (40, 20)])
+    rows = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in L.line_dedup(df).collect()}
+    assert all(got[2 * i] == a for i, (a, _) in enumerate(pairs))  # the first occurrence stays
+    for words, lo, hi in ((5, 0, 40), (10, 40, 80), (20, 80, 120), (40, 120, 140)):
+        assert sum(got[2 * i + 1] == "" for i in range(lo, hi)) >= 0.9 * (hi - lo), words
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_minimum_bin_slack(counts):
