@@ -172,6 +172,19 @@ def test_line_dedup_finds_near_lines(spark, rng):
         assert sum(got[2 * i + 1] == "" for i in range(lo, hi)) >= 0.9 * (hi - lo), words
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from textloom.llm.queries import QUERIES
+    texts = ["les\nOf the\n日本語の段落です。", "Les!\n日本語の段落です。\nlet", "of the\n...\n日本語の段落", "\n...\nles"]
+    want = ["les\nOf the\n日本語の段落です。", "let", "...\n日本語の段落", "\n..."]
+    docs = spark.createDataFrame([(i, t, "", "", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert got == dict(enumerate(want))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r["kept_sha256"] for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert rows == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(want)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_minimum_bin_slack(counts):

@@ -123,7 +123,7 @@ def op8_quality_rules(spark, sf):
 @query("op7_line_dedup")
 def op7_line_dedup(spark, sf):
     """Per document what is left of its lines."""
-    docs = line_dedup(read_table(spark, sf, "documents").select("doc_id", "text"))
+    docs = line_dedup(read_table(spark, sf, "documents").select("doc_id", "text"), min_words=1)
     return docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.length("text").cast("long").alias("kept_chars"),
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
