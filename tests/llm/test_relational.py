@@ -53,6 +53,22 @@ def test_warc(spark):
         assert all(got[k][:2] == ("response", None) for k in "2456")
 
 
+def test_warc_repeated_record_ids(spark, tmp_path):
+    a, b, c, d = (x * 1500 for x in "abcd")
+    rows = [(1, "u", a), (1, "u", b), (2, "v", a), (3, "w", c), (3, "w", d), (4, "x", c), (4, "x", d)]  # pages crawled again
+    raw, out = f"{tmp_path}/raw", f"{tmp_path}/out"
+    warc.write_archives(warc.page_records(spark.createDataFrame(rows, "page_id long, url string, html string")), raw)
+    warc.dedup_archives(spark, raw, out)
+    got = warc.read_archives(spark, out).collect()
+    assert len(got) == len(rows)
+    assert {bytes(r["payload"]).decode() for r in got if r["record_type"] == "response"} == {a, b, c, d}
+    assert sorted((r["record_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit") == [
+        ("urn:page:1", "urn:page:2"), ("urn:page:3", "urn:page:4"), ("urn:page:3", "urn:page:4")]
+    dated = spark.createDataFrame([("urn:page:1", "response", "u", f"2020-01-0{k}T00:00:00Z", "x", 1500) for k in (1, 2)],
+                                  "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long")
+    assert [r["at"] for r in warc.resolve_revisits(dated).collect()] == ["2020-01-01T00:00:00Z"]
+
+
 def test_quality_base_counts_and_partitioning(spark, rng):
     from llm.conftest import make_words
     texts = [None, "", " \n\t", "one", "a b c d e " * 30, "# $ &\nx y\nx y\n \n"] + [" ".join(make_words(rng, 60, 12)) for _ in range(20)] + ["w " * 30_000]

@@ -154,27 +154,27 @@ def record_rank(record_id: str = "record_id"):
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(record_id, target_uri, refers_to, refers_to_uri, refers_to_date) for the records that become
-    revisits: headers meet by (digest, length); the response with the largest record id is the original."""
+    """(record_id, uri, at, payload_digest, payload_bytes, to_id, to_uri, to_date) for the records that become
+    revisits; one record id may come with several payloads or dates. Headers meet by (digest, length); the response with the largest record id is the original."""
     key = ["payload_digest", "payload_bytes"]
     large = headers.where(F.col("payload_bytes") >= min_bytes).select(*key, "record_id", "target_uri", "record_type",
                                                                       record_rank().alias("rank"))
     best = (large.where("record_type = 'response'").groupBy(*key).agg(F.max("rank").alias("best"), F.count("*").alias("n")))
     # Lone responses need no verdict; only groups with something to point elsewhere are joined back.
     return (large.join(best, key).where((F.col("rank") != F.col("best")) | (F.col("record_type") == "revisit"))
-            .select("record_id", F.coalesce("target_uri", F.lit("")).alias("uri"), F.col("best")["id"].alias("to_id"), F.col("best")["uri"].alias("to_uri"),
+            .select("record_id", F.col("rank")["uri"].alias("uri"), F.col("rank")["date"].alias("at"), *key, F.col("best")["id"].alias("to_id"), F.col("best")["uri"].alias("to_uri"),
                     F.col("best")["date"].alias("to_date")).distinct())
 
 
 def dedup_archives(spark: SparkSession, source: str, target: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Read the archives in ``source``, write their records to ``target`` with repeated payloads as revisits."""
     verdict = resolve_revisits(read_archives(spark, source, payloads=False), min_bytes)
-    records = read_archives(spark, source).withColumn("uri", F.coalesce("target_uri", F.lit("")))
+    records = read_archives(spark, source).withColumn("uri", F.coalesce("target_uri", F.lit(""))).withColumn("at", F.coalesce("date", F.lit(DATE)))
     moved = F.col("to_id").isNotNull()
     old = records.columns
     fresh = {"record_type": F.when(moved, F.lit("revisit")).otherwise(F.col("record_type")),
              "refers_to": F.coalesce("to_id", "refers_to"), "refers_to_uri": F.coalesce("to_uri", "refers_to_uri"),
              "refers_to_date": F.coalesce("to_date", "refers_to_date"),
              "payload": F.when(~moved, F.col("payload"))}
-    joined = records.join(verdict, ["record_id", "uri"], "left")
-    write_archives(joined.select(*[fresh.get(c, F.col(c)).alias(c) for c in old if c != "uri"]), target)
+    joined = records.join(verdict, ["record_id", "uri", "at", "payload_digest", "payload_bytes"], "left")
+    write_archives(joined.select(*[fresh.get(c, F.col(c)).alias(c) for c in old if c not in ("uri", "at")]), target)
