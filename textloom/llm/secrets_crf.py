@@ -9,8 +9,8 @@ Viterbi runs on whole texts, yet touches few tokens: where O beats B and I by mo
 all transition weights together can change, the best path has O whatever its neighbours are, so the text
 falls into short runs that are decoded exactly on their own.
 
-The field is fitted on windows of at most ``MAX_FIT`` documents, those whose identifiers hash lowest: windows
-around pattern matches, and random ones. Pattern matches are the tags to learn.
+The field is fitted on windows of all documents: for each kind of pattern the ``MAX_FIT`` windows around its matches that
+hash lowest, and ``FIT_RANDOM`` times as many random ones. So a rare kind is learned too. Pattern matches are the tags to learn.
 
 Null texts are empty and have no spans. Repeated rows are scanned each. An empty table gives no rows; with
 nothing to fit on, only the patterns find spans. Offsets are code points.
@@ -19,15 +19,17 @@ nothing to fit on, only the patterns find spans. Offsets are code points.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE, lower_ascii, mix64, text_bytes, text_chunks, word_bounds, word_hashes
+from textloom.llm.common import SPACE, cut, lower_ascii, mix64, text_bytes, text_chunks, word_bounds, word_hashes
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -103,37 +105,64 @@ def _byte_spans(spans: list[tuple[int, int, int]], text: str) -> list[tuple[int,
     return out
 
 
-def _examples(batches):
-    """Windows of FIT_TOKENS tokens: feature numbers and tags, flat lists."""
-    for batch in batches:
-        feats, tags = [], []
-        for i, text in enumerate(batch.column(0)):
-            text = text.as_py() or ""
-            data, offs = text_bytes(batch.column(0).slice(i, 1))
-            starts, ends, _, x = _token_features(data, offs)
-            n = len(starts)
-            if n < FIT_TOKENS:
-                continue
-            y = np.zeros(n, np.int64)
-            spans = _byte_spans(base_spans(text), text)
-            for s, e in spans:
-                a, b = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")
-                y[a:b] = I
-                y[a] = B
-            draw = mix64(np.arange(FIT_RANDOM, dtype=np.uint64) + np.uint64(zlib.crc32(data.tobytes()) << 8))
-            where = [max(0, min(int(np.searchsorted(ends, s, "right")) - FIT_TOKENS // 2, n - FIT_TOKENS)) for s, _ in spans[:FIT_RANDOM]]
-            for a in [*where, *(draw % np.uint64(n - FIT_TOKENS + 1)).astype(int)]:
-                feats.append(x[a:a + FIT_TOKENS].ravel())
-                tags.append(y[a:a + FIT_TOKENS])
-        yield pa.RecordBatch.from_arrays([pa.array(feats, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32()))], ["x", "y"])
+def _examples(max_fit: int):
+    """Windows of FIT_TOKENS tokens with kind (random ones: after the last) and rank: feature numbers and tags, flat
+    lists. A task gives the lowest ranks of each kind only, so its memory stays bounded."""
+    limits = [max_fit] * len(KINDS) + [max_fit * FIT_RANDOM]
+
+    def run(batches):
+        best: list[list] = [[] for _ in limits]  # heaps of (-rank, features, tags), highest rank first
+        held: list[set] = [set() for _ in limits]  # their ranks: copies of a text give a window once
+        for batch in batches:
+            for i, text in enumerate(batch.column(0)):
+                text = text.as_py() or ""
+                spans = base_spans(text)
+                data, offs = text_bytes(batch.column(0).slice(i, 1))
+                seed = np.uint64(zlib.crc32(data.tobytes()) << 8)
+                draw = mix64(np.arange(FIT_RANDOM, dtype=np.uint64) + seed)
+                at = [b for b, _ in _byte_spans(spans, text)]
+                ranks = mix64(mix64(np.array(at, np.uint64) + np.uint64(FIT_RANDOM)) ^ seed) >> np.uint64(1)
+                wanted = [(k, int(r), place, None) for (_, k, _), r, place in zip(spans, ranks, at)]
+                wanted += [(len(KINDS), int(d >> np.uint64(1)), None, int(d)) for d in mix64(draw)]
+                wanted = [w for w in wanted if w[1] not in held[w[0]] and (len(best[w[0]]) < limits[w[0]] or -w[1] > best[w[0]][0][0])]
+                if not wanted:
+                    continue
+                starts, ends, _, x = _token_features(data, offs)
+                n = len(starts)
+                if n < FIT_TOKENS:
+                    continue
+                y = np.zeros(n, np.int64)
+                for s, e in _byte_spans(spans, text):
+                    a, b = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")
+                    y[a:b] = I
+                    y[a] = B
+                for kind, rank, place, d in wanted:
+                    a = d % (n - FIT_TOKENS + 1) if place is None else max(
+                        0, min(int(np.searchsorted(ends, place, "right")) - FIT_TOKENS // 2, n - FIT_TOKENS))
+                    if rank in held[kind]:
+                        continue
+                    held[kind].add(rank)
+                    heapq.heappush(best[kind], (-rank, x[a:a + FIT_TOKENS].astype("<i4").tobytes(), y[a:a + FIT_TOKENS].astype("<i4").tobytes()))
+                    if len(best[kind]) > limits[kind]:
+                        held[kind].remove(-heapq.heappop(best[kind])[0])
+        for kind, heap in enumerate(best):
+            for lo in range(0, len(heap), 1000):
+                ranks, *lists = zip(*heap[lo:lo + 1000])
+                feats, tags = ([np.frombuffer(v, "<i4") for v in c] for c in lists)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(ranks), pa.int32()), pa.array([-r for r in ranks], pa.int64()),
+                     pa.array(feats, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32()))], ["kind", "rank", "x", "y"])
+    return run
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features x 3) and transitions (3 x 3), from the ``max_fit`` documents whose identifiers hash lowest."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
-    picked = d.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    rows = picked.mapInArrow(_examples, "x array<int>, y array<int>").toArrow()  # bounded by max_fit
+    """Weights (features x 3) and transitions (3 x 3), from the windows of lowest rank: at most ``max_fit`` for each kind of
+    pattern, and FIT_RANDOM times as many random ones."""
+    found = cut(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(
+        _examples(max_fit), "kind int, rank long, x array<int>, y array<int>"), "examples").distinct()
+    order = ["rank", "x", "y"]
+    lowest = [found.where(F.col("kind") == k).orderBy(*order).limit(max_fit * (FIT_RANDOM if k == len(KINDS) else 1)) for k in range(len(KINDS) + 1)]
+    rows = reduce(DataFrame.union, lowest).select("x", "y").toArrow()  # bounded by max_fit
     if not rows.num_rows:
         return np.zeros((FEATURES, 3)), np.zeros((3, 3))
     x, y = (np.array(rows.column(i).combine_chunks().flatten()).reshape(rows.num_rows, FIT_TOKENS, -1) for i in range(2))
