@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.llm.chat import format_chats, loss_text, read_chats
 from textloom.llm.common import scratch_path
 from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.fim import fill_in_middle, restored
 from textloom.llm.line_dedup import line_dedup
 from textloom.llm.packing import pack
 from textloom.llm.quality import quality_rules
@@ -142,3 +143,26 @@ def op10_secret_scans(spark, sf):
 @query("op2_suffix_dedup")
 def op2_suffix_dedup(spark, sf):
     return suffix_dedup(read_table(spark, sf, "documents")).drop("kept")
+
+
+@query("op11_fill_in_middle")
+def op11_fill_in_middle(spark, sf):
+    """All documents transformed, and rebuilt from output and form."""
+    done = fill_in_middle(read_table(spark, sf, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+                       sha(restored()).alias("restored_sha256"))
+
+
+ORACLE["op11_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+     g AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+                  ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+     f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                       WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+     p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
