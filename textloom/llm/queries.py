@@ -16,6 +16,7 @@ from textloom.llm.packing import pack
 from textloom.llm.quality import quality_rules
 from textloom.llm.secrets_crf import digest_columns, find_secrets, fit
 from textloom.llm.setsketch import near_dedup
+from textloom.llm.simhash_bk import near_simhash
 from textloom.llm.spm import round_trip
 from textloom.llm.suffix_dedup import suffix_dedup
 from textloom.llm.warc import dedup_archives, page_records, read_archives, write_archives
@@ -166,3 +167,8 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
                         ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
 FROM p"""
+
+
+@query("op12_simhash_near_dedup")
+def op12_simhash_near_dedup(spark, sf):
+    return near_simhash(read_table(spark, sf, "documents"))
