@@ -19,6 +19,7 @@ from textloom.llm.setsketch import near_dedup
 from textloom.llm.simhash_bk import near_simhash
 from textloom.llm.spm import round_trip
 from textloom.llm.suffix_dedup import suffix_dedup
+from textloom.llm.token_align import align_corpus
 from textloom.llm.warc import dedup_archives, page_records, read_archives, write_archives
 from textloom.session import ensure_checkpoint_dir, read_table
 
@@ -172,3 +173,8 @@ FROM p"""
 @query("op12_simhash_near_dedup")
 def op12_simhash_near_dedup(spark, sf):
     return near_simhash(read_table(spark, sf, "documents"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf):
+    return align_corpus(read_table(spark, sf, "documents"), (tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")))
