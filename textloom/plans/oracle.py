@@ -1047,3 +1047,9 @@ RECOVERED = f"""(SELECT doc_id, CASE WHEN w IS NOT NULL THEN 'whole' WHEN f IS N
 ORACLE["recover_json"] = f"""
 SELECT doc_id, json, route, CASE WHEN json IS NULL THEN 'No valid JSON object found in response' END AS reason FROM {RECOVERED}"""
 ORACLE["recover_rates"] = f"SELECT route, count(*) AS n FROM {RECOVERED} GROUP BY route"
+
+
+# --- Further queries, whose SQL stands beside them ------------------------------------
+from textloom.plans import extra  # noqa: E402
+
+ORACLE.update(extra.ORACLE)

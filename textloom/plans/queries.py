@@ -510,3 +510,8 @@ def q_detected_tools(spark, sf):
     """Known tools found per configuration (C10 screen, C16 execCommand, ccs proxies)."""
     t = detect_tools(derive.installed_commands(spark, sf), known_tools_table(spark))
     return t.select("config_id", "ord", "name", "command", "prompt_command", "prompt_use_stdin")
+
+
+from textloom.plans import extra  # noqa: E402
+
+QUERIES.update(extra.QUERIES)
