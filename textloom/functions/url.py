@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.address import in_block, ipv6_hex, mapped_ipv4, read_host
+from textloom.functions.stage import let, pin
+
 # Fixed values (reject messages and host lists, as in the reference).
 REASON_INVALID = "Invalid URL"
 REASON_SCHEME = "Only HTTP and HTTPS URLs are supported"
@@ -91,88 +94,48 @@ def _private_ipv4(addr: Column) -> Column:
             | ((a == 100) & b.between(64, 127)))
 
 
-DOTTED_RE = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
-
-
-def _dotted_to_addr(s: Column) -> Column:
-    p = F.split(s, r"\.")
-    return F.aggregate(p, F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + x.try_cast("bigint"))
+# Blocks whose addresses a fetch must not reach.
+PRIVATE_BLOCKS = ["::1/128", "fc00::/7", "fe80::/16", "ff00::/8"]
 
 
-def _private_ipv6(inner: Column) -> Column:
-    """Only literal IPv6 hosts (containing ':') are tested, brackets removed."""
-    mapped = F.substr(inner, F.lit(8))
-    return (inner.contains(":")
-            & ((inner == "::1") | inner.startswith("fc") | inner.startswith("fd")
-               | inner.startswith("fe80") | inner.startswith("ff")
-               | (inner.startswith("::ffff:") & mapped.rlike(DOTTED_RE)
-                  & _private_ipv4(_dotted_to_addr(mapped)))))
+def _private_ipv6(value: Column) -> Column:
+    """By value, however the address is spelled; IPv4-mapped addresses as the IPv4 address."""
+    inside = in_block(value, PRIVATE_BLOCKS[0])
+    for block in PRIVATE_BLOCKS[1:]:
+        inside = inside | in_block(value, block)
+    return F.coalesce(inside | F.coalesce(let(mapped_ipv4(value), _private_ipv4), F.lit(False)), F.lit(False))
 
 
 def with_url_screen(df: DataFrame, url: str, prefix: str = "u_") -> DataFrame:
-    """Add ``<prefix>scheme, host, ok, reason`` for the URL column ``url``.
-
-    The parse is staged over several projections so each intermediate value
-    (cleaned URL, host, labels, address) is computed once per row instead of
-    being re-expanded inside every expression that uses it.
-    """
-    t = {k: f"__{prefix}{k}" for k in ("cu", "host", "port", "auth", "br", "inner", "addr", "invalid", "private")}
-    u = F.col(t["cu"])
-    host = F.col(t["host"])
-    out = (df.withColumn(t["cu"], clean_url(url))
-           .withColumn(f"{prefix}scheme", F.lower(F.regexp_extract(u, SCHEME_RE, 1)))
-           .withColumn(t["auth"], u.rlike(AUTHORITY_RE))
-           .withColumn(t["host"], F.lower(F.regexp_extract(u, AUTHORITY_RE, 1)))
-           .withColumn(t["port"], F.regexp_extract(u, AUTHORITY_RE, 2))
-           .withColumn(t["br"], host.startswith("["))
-           .withColumn(t["inner"], F.when(F.col(t["br"]), F.regexp_replace(host, r"^\[|\]$", "")).otherwise(host))
-           .withColumn(t["addr"], F.when(F.col(t["br"]), F.lit(None).cast("bigint")).otherwise(ipv4_address(host))))
-    scheme, br, inner, addr, port = (F.col(f"{prefix}scheme"), F.col(t["br"]), F.col(t["inner"]),
-                                     F.col(t["addr"]), F.col(t["port"]))
-    special = scheme.isin("http", "https")
-    host_ok = (F.when(br, inner.rlike(r"^[0-9a-f:.]+$") & inner.contains(":"))
-               .otherwise((host != "") & ~host.rlike(FORBIDDEN_HOST_RE)))
-    port_ok = (port == "") | ((F.length(port) <= 5) & F.coalesce(port.try_cast("int") <= 65535, F.lit(False)))
-    invalid = ((scheme == "") | (special & ~(F.col(t["auth"]) & host_ok & port_ok))
-               | F.coalesce(addr == -1, F.lit(False)))
-    private = (host.isin(*LOCAL_HOSTS) | host.isin(*METADATA_HOSTS) | host.endswith(METADATA_SUFFIX)
-               | F.coalesce((addr >= 0) & _private_ipv4(addr), F.lit(False))
-               | (br & _private_ipv6(inner)))
-    out = out.withColumn(t["invalid"], invalid).withColumn(t["private"], private)
-    reason = (F.when(F.col(t["invalid"]), F.lit(REASON_INVALID))
-              .when(~special, F.lit(REASON_SCHEME))
-              .when(F.col(t["private"]), F.lit(REASON_PRIVATE)))
-    out = (out.withColumn(f"{prefix}host", F.when(~F.col(t["invalid"]), host))
-           .withColumn(f"{prefix}reason", reason)
-           .withColumn(f"{prefix}ok", F.col(f"{prefix}reason").isNull()))
-    return out.drop(*t.values())
+    """Add ``<prefix>scheme, host, ok, reason`` for the URL column ``url``. The verdict is pinned, so that a filter on it does
+    not repeat the parse."""
+    keep, got = df.columns, f"__{prefix}parts"
+    out = pin(df.withColumn(got, url_parts(url)), [got])
+    return out.select(*keep, *(F.col(got)[c].alias(f"{prefix}{c}") for c in ("scheme", "host", "reason", "ok")))
 
 
 def url_parts(col) -> Column:
-    """Single-expression form of ``with_url_screen`` (struct<scheme, host, ok,
-    reason>); for use inside other expressions. Prefer ``with_url_screen`` on
-    a DataFrame."""
-    u = clean_url(col)
-    scheme = F.lower(F.regexp_extract(u, SCHEME_RE, 1))
-    special = scheme.isin("http", "https")
-    host = F.lower(F.regexp_extract(u, AUTHORITY_RE, 1))
-    port = F.regexp_extract(u, AUTHORITY_RE, 2)
-    bracketed = host.startswith("[")
-    inner = F.when(bracketed, F.regexp_replace(host, r"^\[|\]$", "")).otherwise(host)
-    addr = F.when(bracketed, F.lit(None).cast("bigint")).otherwise(ipv4_address(host))
-    host_ok = (F.when(bracketed, inner.rlike(r"^[0-9a-f:.]+$") & inner.contains(":"))
-               .otherwise((host != "") & ~host.rlike(FORBIDDEN_HOST_RE)))
-    port_ok = (port == "") | ((F.length(port) <= 5) & F.coalesce(port.try_cast("int") <= 65535, F.lit(False)))
-    invalid = ((scheme == "") | (special & ~(u.rlike(AUTHORITY_RE) & host_ok & port_ok))
-               | F.coalesce(addr == -1, F.lit(False)))
-    private = (host.isin(*LOCAL_HOSTS) | host.isin(*METADATA_HOSTS) | host.endswith(METADATA_SUFFIX)
-               | F.coalesce((addr >= 0) & _private_ipv4(addr), F.lit(False))
-               | (bracketed & _private_ipv6(inner)))
-    reason = (F.when(invalid, F.lit(REASON_INVALID))
-              .when(~special, F.lit(REASON_SCHEME))
-              .when(private, F.lit(REASON_PRIVATE)))
-    return F.struct(scheme.alias("scheme"), F.when(~invalid, host).alias("host"),
-                    reason.isNull().alias("ok"), reason.alias("reason"))
+    """The parse and its verdict as struct<scheme, host, ok, reason>. Each intermediate value (cleaned URL, host, address) is
+    bound once (``let``)."""
+    def verdict(u: Column, host: Column) -> Column:
+        bracketed = host.startswith("[")
+        six = F.when(bracketed, ipv6_hex(F.regexp_replace(host, r"^\[|\]$", "")))
+        four = F.when(~bracketed, ipv4_address(host))
+        return let(F.struct(F.lower(F.regexp_extract(u, SCHEME_RE, 1)).alias("scheme"), F.regexp_extract(u, AUTHORITY_RE, 2).alias("port"),
+                            six.alias("six"), four.alias("addr")), lambda x: judged(u, host, bracketed, x))
+
+    def judged(u: Column, host: Column, bracketed: Column, x: Column) -> Column:
+        scheme, port, addr = x["scheme"], x["port"], x["addr"]
+        special = scheme.isin("http", "https")
+        host_ok = F.coalesce(F.when(bracketed, x["six"].isNotNull()).otherwise((host != "") & ~host.rlike(FORBIDDEN_HOST_RE)), F.lit(False))
+        port_ok = (port == "") | ((F.length(port) <= 5) & F.coalesce(port.try_cast("int") <= 65535, F.lit(False)))
+        invalid = (scheme == "") | (special & ~(u.rlike(AUTHORITY_RE) & host_ok & port_ok)) | F.coalesce(addr == -1, F.lit(False))
+        private = F.coalesce(host.isin(*LOCAL_HOSTS) | host.isin(*METADATA_HOSTS) | host.endswith(METADATA_SUFFIX)
+                             | F.coalesce((addr >= 0) & _private_ipv4(addr), F.lit(False)) | (bracketed & _private_ipv6(x["six"])), F.lit(False))
+        reason = (F.when(invalid, F.lit(REASON_INVALID)).when(~special, F.lit(REASON_SCHEME)).when(private, F.lit(REASON_PRIVATE)))
+        return F.struct(scheme.alias("scheme"), F.when(~invalid, host).alias("host"), reason.isNull().alias("ok"), reason.alias("reason"))
+
+    return let(clean_url(col), lambda u: let(read_host(F.regexp_extract(u, AUTHORITY_RE, 1)), lambda host: verdict(u, host)))
 
 
 def looks_like_url(col) -> Column:

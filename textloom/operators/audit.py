@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import screens as S
-from textloom.functions.url import REASON_PRIVATE, with_url_screen
+from textloom.functions.reference import page_key, resolve_reference
+from textloom.functions.stage import pin
+from textloom.functions.url import REASON_PRIVATE, url_parts, with_url_screen
 
 # Messages of the reference.
 INVALID_COMMAND = "Invalid command format"
@@ -67,22 +69,13 @@ def expand_templates(df: DataFrame, command: str = "command", args: str = "args"
             .drop("_input", "_tok"))
 
 
-def resolve_location(base: Column, location: Column) -> Column:
-    """Absolute locations as they are; '/path' against the base's origin;
-    other relative paths against the base's directory."""
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    directory = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^?#]*/)", 1)
-    return (F.when(location.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), location)
-            .when(location.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1),
-                                                      location))
-            .when(location.startswith("/"), F.concat(origin, location))
-            .otherwise(F.concat(F.when(directory == "", F.concat(origin, F.lit("/"))).otherwise(directory), location)))
-
-
 def redirect_chains(starts: DataFrame, hops: DataFrame) -> DataFrame:
     """Follow each start URL through the crawl log ``hops`` (url, status,
     location): at most five redirects, each target screened, relative
-    targets resolved; the original URL stays the source.
+    targets resolved as a URL parser does (``resolve_reference``); the original URL stays the source.
+
+    URLs are looked up by ``page_key``, so spelling and fragment don't matter. Of several rows of one URL in the log, the one with the
+    smallest status, then the smallest location, counts: a page fetched again neither multiplies rows nor turns a success into a failure.
 
     Six bounded steps, each an equi join of the frontier to the crawl log on
     URL; finished rows leave the frontier. The crawl log is joined by key,
@@ -93,8 +86,11 @@ def redirect_chains(starts: DataFrame, hops: DataFrame) -> DataFrame:
     a lost executor be recovered from the last step instead of the start."""
     from textloom.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(starts.sparkSession)
-    h = hops.select(F.col("url").alias("_hurl"), F.col("status").alias("_status"),
-                    F.col("location").alias("_location"))
+    one = F.min(F.struct(F.col("status").alias("s"), F.coalesce("location", F.lit("")).alias("l")))
+    keyed = pin(hops.select("status", "location", page_key(F.col("url")).alias("_hurl")), ["_hurl"])
+    h = keyed.groupBy("_hurl").agg(one.alias("_m")).select(
+        "_hurl", F.col("_m.s").alias("_status"), F.col("_m.l").alias("_location"))
+    h = h.checkpoint(eager=True)
     cur = starts.select("start_id", F.col("url").alias("source"), F.col("url").alias("cur"),
                         F.lit(0).alias("redirects"))
     cur = with_url_screen(cur, "cur", prefix="_s_").withColumn("reason", F.col("_s_reason")) \
@@ -102,23 +98,23 @@ def redirect_chains(starts: DataFrame, hops: DataFrame) -> DataFrame:
     cur = cur.checkpoint(eager=True)
     finished = [cur.where("done").select("start_id", "source", F.col("cur").alias("final_url"), "redirects", "reason")]
     live = cur.where(~F.col("done")).select("start_id", "source", "cur", "redirects")
+    # The expressions are large, and the same in each step: they are built once.
+    redirect = F.col("_status").between(300, 399)
+    key, screened = page_key(F.col("cur")), url_parts("_next")["reason"]
+    nxt = F.when(redirect & (F.length("_location") > 0), resolve_reference(F.col("cur"), F.col("_location")))
     for step in range(MAX_REDIRECTS + 1):
-        j = live.join(h, F.col("cur") == F.col("_hurl"), "left")
-        redirect = F.col("_status").between(300, 399)
-        nxt = F.when(redirect & (F.length("_location") > 0), resolve_location(F.col("cur"), F.col("_location")))
-        j = j.withColumn("_next", nxt)
-        j = with_url_screen(j, "_next", prefix="_n_")
+        j = pin(live.withColumn("_key", key), ["_key"]).join(h, F.col("_key") == F.col("_hurl"), "left")
+        j = pin(pin(j.withColumn("_next", nxt), ["_next"]).withColumn("_n_reason", screened), ["_n_reason"])
         reason = (F.when(F.col("_hurl").isNull(), F.lit("Failed to fetch URL: no snapshot"))
                   .when(redirect & F.coalesce(F.length("_location") == 0, F.lit(True)), F.lit(NO_LOCATION))
-                  .when(redirect & ~F.col("_n_ok"), F.col("_n_reason"))
+                  .when(redirect & F.col("_n_reason").isNotNull(), F.col("_n_reason"))
                   .when(redirect & (F.lit(step) == MAX_REDIRECTS), F.lit(TOO_MANY_REDIRECTS))
                   .when(~redirect & ~F.col("_status").between(200, 299),
                         F.format_string("URL returned %d: ", F.col("_status"))))
         j = j.withColumn("reason", reason).select("start_id", "source", "cur", "redirects", "_next", "reason",
                                                   F.col("_status").between(300, 399).alias("_redirect"))
         j = j.checkpoint(eager=True)
-        redirect = F.col("_redirect")
-        stop = F.col("reason").isNotNull() | ~redirect
+        stop = F.col("reason").isNotNull() | ~F.col("_redirect")
         finished.append(j.where(stop).select("start_id", "source", F.col("cur").alias("final_url"), "redirects",
                                              "reason"))
         live = j.where(~stop).select("start_id", "source", F.col("_next").alias("cur"),
@@ -129,4 +125,4 @@ def redirect_chains(starts: DataFrame, hops: DataFrame) -> DataFrame:
     return out.withColumn("ok", F.col("reason").isNull())
 
 
-__all__ = ["audit_log", "rule_counts", "expand_templates", "redirect_chains", "resolve_location", "REASON_PRIVATE"]
+__all__ = ["audit_log", "rule_counts", "expand_templates", "redirect_chains", "REASON_PRIVATE"]

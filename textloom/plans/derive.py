@@ -517,7 +517,8 @@ def template_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawl log from pages: each page redirects (302) to the next page while
     page_id % 8 <> 0; every 50th points to a private address; for
-    page_id % 5 = 4 the target is scheme-relative."""
+    page_id % 5 = 4 the target is scheme-relative. Some pages were fetched twice, with
+    another outcome: a failure (page_id % 10 = 5) or another target (page_id % 10 = 1)."""
     p = read_table(spark, sf_dir, "pages").select("page_id", "url")
     nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
     j = p.join(nxt, "page_id", "left")
@@ -526,8 +527,11 @@ def crawl_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     location = (F.when(k % 50 == 49, F.lit("http://10.0.0.1/"))
                 .when(k % 5 == 4, F.regexp_replace(F.col("next_url"), "^[A-Za-z]+:", ""))
                 .otherwise(F.col("next_url")))
-    return j.select("page_id", "url", F.when(redirect, F.lit(302)).otherwise(F.lit(200)).alias("status"),
+    once = j.select("page_id", "url", F.when(redirect, F.lit(302)).otherwise(F.lit(200)).alias("status"),
                     F.when(redirect, location).alias("location"))
+    failed = p.where(k % 10 == 5).select("page_id", "url", F.lit(500).alias("status"), F.lit(None).cast("string").alias("location"))
+    other = p.where(k % 10 == 1).select("page_id", "url", F.lit(302).alias("status"), F.lit("zz:other").alias("location"))
+    return once.unionByName(failed).unionByName(other)
 
 
 def installed_commands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ those patterns are restated with groups here.
 from __future__ import annotations
 
 from textloom.functions.text import ASTRAL, EMAIL_RE, JS_WS
+from textloom.functions import address as AD
 from textloom.functions.url import AUTHORITY_RE, DEC_RE, FORBIDDEN_HOST_RE, HEX_RE, OCT_RE, SCHEME_RE
 
 ORACLE: dict[str, str] = {}
@@ -87,20 +88,33 @@ def url_screen_sql(src: str, id_col: str, url_col: str) -> str:
     def private4(a: str, b: str) -> str:
         return (f"({a} IN (0, 10, 127) OR {a} >= 224 OR ({a} = 169 AND {b} = 254) OR ({a} = 172 AND {b} BETWEEN 16 AND 31) "
                 f"OR ({a} = 192 AND {b} = 168) OR ({a} = 100 AND {b} BETWEEN 64 AND 127))")
-    dotted = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+    six = lambda k, n: f"('0x' || substr(six, {k}, {n}))::BIGINT"
+    wide, narrow = q(AD._WIDE), q(AD._NARROW)
+    raw_host = f"regexp_extract(cu, {q(AUTHORITY_RE)}, 1)"
     return f"""
 WITH u0 AS (SELECT {id_col} AS id, {url_col} AS url,
     regexp_replace(regexp_replace({url_col}, '\\A[\\x00-\\x20]+|[\\x00-\\x20]+\\z', '', 'g'), '[\\t\\n\\r]', '', 'g') AS cu
   FROM {src}),
 u1 AS (SELECT *, lower(regexp_extract(cu, {q(SCHEME_RE)}, 1)) AS scheme,
     regexp_matches(cu, {q(AUTHORITY_RE)}) AS auth_ok,
-    lower(regexp_extract(cu, {q(AUTHORITY_RE)}, 1)) AS host,
+    lower(CASE WHEN starts_with({raw_host}, '[') THEN {raw_host} ELSE translate(CASE WHEN contains({raw_host}, '%') THEN url_decode({raw_host})
+      ELSE {raw_host} END, {wide}, {narrow}) END) AS host,
     regexp_extract(cu, {q(AUTHORITY_RE)}, 2) AS port FROM u0),
 u2 AS (SELECT *, starts_with(host, '[') AS br,
     CASE WHEN starts_with(host, '[') THEN regexp_replace(host, '^\\[|\\]$', '', 'g') ELSE host END AS inner_host,
     string_split(host, '.') AS raw_labels FROM u1),
+v1 AS (SELECT *, CASE WHEN br THEN regexp_extract(inner_host, '(?s)^(.*:)([0-9.]+)$', 2) END AS dot, string_split(dot, '.') AS d FROM u2),
+v2 AS (SELECT *, CASE WHEN contains(dot, '.') THEN CASE WHEN regexp_matches(dot, {q(AD.DOTTED_RE)}) THEN regexp_extract(inner_host, '(?s)^(.*:)([0-9.]+)$', 1)
+      || format('{{:x}}:{{:x}}', TRY_CAST(d[1] AS INT) * 256 + TRY_CAST(d[2] AS INT), TRY_CAST(d[3] AS INT) * 256 + TRY_CAST(d[4] AS INT)) END
+    WHEN br THEN inner_host END AS pairs, string_split(pairs, '::') AS halves FROM v1),
+v3 AS (SELECT *, CASE WHEN halves[1] = '' THEN []::VARCHAR[] ELSE string_split(halves[1], ':') END AS l,
+    CASE WHEN len(halves) < 2 OR halves[2] = '' THEN []::VARCHAR[] ELSE string_split(halves[2], ':') END AS r FROM v2),
+v4 AS (SELECT *, CASE WHEN len(halves) = 1 AND len(l) = 8 THEN l WHEN len(halves) = 2 AND len(l) + len(r) <= 7
+      THEN l || list_transform(range(8 - len(l) - len(r)), lambda x: '0') || r END AS groups FROM v3),
+v5 AS (SELECT *, CASE WHEN contains(pairs, ':') AND len(list_filter(groups, lambda g: NOT regexp_matches(g, '^[0-9a-f]{{1,4}}$'))) = 0
+      THEN array_to_string(list_transform(groups, lambda g: lpad(g, 4, '0')), '') END AS six FROM v4),
 u3 AS (SELECT *, CASE WHEN len(raw_labels) > 1 AND raw_labels[len(raw_labels)] = ''
-      THEN list_slice(raw_labels, 1, len(raw_labels) - 1) ELSE raw_labels END AS labels FROM u2),
+      THEN list_slice(raw_labels, 1, len(raw_labels) - 1) ELSE raw_labels END AS labels FROM v5),
 u4 AS (SELECT *, list_transform(labels, lambda x: {num}) AS nums, len(labels) AS n,
     labels[len(labels)] AS last_label FROM u3),
 u5 AS (SELECT *,
@@ -113,22 +127,18 @@ u5 AS (SELECT *,
     END AS addr FROM u4),
 u6 AS (SELECT *,
     (scheme = '' OR (scheme IN ('http', 'https') AND NOT (auth_ok
-        AND (CASE WHEN br THEN regexp_matches(inner_host, '^[0-9a-f:.]+$') AND contains(inner_host, ':')
+        AND (CASE WHEN br THEN six IS NOT NULL
                   ELSE host <> '' AND NOT regexp_matches(host, {q(FORBIDDEN_HOST_RE)}) END)
         AND (port = '' OR (length(port) <= 5 AND TRY_CAST(port AS INTEGER) <= 65535))))
       OR coalesce(addr = -1, false)) AS invalid,
-    floor(addr / 16777216) AS a, floor(addr / 65536) % 256 AS b,
-    CASE WHEN regexp_matches(substr(inner_host, 8), {q(dotted)}) THEN list_reduce(list_transform(
-      string_split(substr(inner_host, 8), '.'), lambda c: c::BIGINT), lambda x, y: x * 256 + y, 0::BIGINT) END AS maddr
+    floor(addr / 16777216) AS a, floor(addr / 65536) % 256 AS b
     FROM u5),
 u7 AS (SELECT *,
     (host IN ('localhost', 'localhost.localdomain') OR host IN ('metadata', 'metadata.google.internal')
      OR ends_with(host, '.metadata.google.internal')
      OR coalesce(addr >= 0 AND {private4('a', 'b')}, false)
-     OR (br AND contains(inner_host, ':') AND (inner_host = '::1' OR starts_with(inner_host, 'fc')
-         OR starts_with(inner_host, 'fd') OR starts_with(inner_host, 'fe80') OR starts_with(inner_host, 'ff')
-         OR (starts_with(inner_host, '::ffff:') AND maddr IS NOT NULL
-             AND {private4('floor(maddr / 16777216)', 'floor(maddr / 65536) % 256')})))
+     OR coalesce(six = repeat('0', 31) || '1' OR substr(six, 1, 2) IN ('fc', 'fd', 'ff') OR starts_with(six, 'fe80')
+         OR (starts_with(six, repeat('0', 20) || 'ffff') AND {private4(six(25, 2), six(27, 2))}), false)
     ) AS private FROM u6)
 SELECT id, url, scheme, CASE WHEN NOT invalid THEN host END AS host,
   CASE WHEN invalid THEN 'Invalid URL' WHEN scheme NOT IN ('http', 'https') THEN 'Only HTTP and HTTPS URLs are supported'
@@ -970,11 +980,12 @@ def _resolve_sql(base: str, loc: str) -> str:
 CRAWL = """(SELECT p.page_id, p.url, CASE WHEN p.page_id % 8 <> 0 THEN 302 ELSE 200 END AS status,
     CASE WHEN p.page_id % 8 <> 0 THEN CASE WHEN p.page_id % 50 = 49 THEN 'http://10.0.0.1/'
       WHEN p.page_id % 5 = 4 THEN regexp_replace(n.url, '^[A-Za-z]+:', '') ELSE n.url END END AS location
-  FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1)"""
+  FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1
+  UNION ALL SELECT page_id, url, 500, NULL FROM pages WHERE page_id % 10 = 5 UNION ALL SELECT page_id, url, 302, 'zz:other' FROM pages WHERE page_id % 10 = 1)"""
 
 ORACLE["redirect_chains"] = f"""
 WITH RECURSIVE h AS (SELECT *, CASE WHEN status BETWEEN 300 AND 399 AND length(location) > 0 THEN {_resolve_sql('url', 'location')} END AS next_url
-    FROM {CRAWL}),
+    FROM (SELECT key AS url, m['s'] AS status, m['l'] AS location FROM (SELECT key, min({{'s': status, 'l': coalesce(location, '')}}) AS m FROM (SELECT *, regexp_replace(url, '(?s)#.*$', '') AS key FROM {CRAWL}) GROUP BY key))),
 ns AS ({url_screen_sql('(SELECT DISTINCT next_url FROM h WHERE next_url IS NOT NULL)', 'next_url', 'next_url')}),
 hs AS (SELECT h.*, ns.reason AS next_reason FROM h LEFT JOIN ns ON ns.url = h.next_url),
 ss AS ({url_screen_sql('pages', 'page_id', 'url')}),
@@ -990,7 +1001,7 @@ walk(start_id, source, cur, redirects, step, reason, done) AS (
         WHEN hs.status BETWEEN 300 AND 399 AND w.step = 5 THEN 'Too many redirects'
         WHEN NOT hs.status BETWEEN 200 AND 299 AND NOT hs.status BETWEEN 300 AND 399 THEN 'URL returned ' || hs.status || ': ' END AS r,
       (CASE WHEN hs.url IS NULL THEN true ELSE NOT hs.status BETWEEN 300 AND 399 END) AS nr
-    FROM walk w LEFT JOIN hs ON hs.url = w.cur WHERE NOT w.done) x, LATERAL (SELECT r IS NOT NULL OR nr AS stop) y)
+    FROM walk w LEFT JOIN hs ON hs.url = regexp_replace(w.cur, '(?s)#.*$', '') WHERE NOT w.done) x, LATERAL (SELECT r IS NOT NULL OR nr AS stop) y)
 SELECT start_id, source, cur AS final_url, redirects, reason IS NULL AS ok, reason FROM walk WHERE done"""
 
 
