@@ -52,3 +52,49 @@ def test_search_topk(spark):
     out = search_topk(q, items, k=10).orderBy("query_id", "rank").collect()
     assert [r["name"] for r in out if r["query_id"] == 0][:2] == ["commit-zen", "commit-atomic"]
     assert not [r for r in out if r["query_id"] == 1]
+
+
+def test_cheapest_pieces():
+    """Against all ways to take disjoint pieces."""
+    import random
+    from itertools import combinations
+
+    from textloom.operators.lookup import THRESHOLD, cheapest_pieces
+    g = random.Random(4)
+    for _ in range(150):
+        q = "".join(g.choice("abc") for _ in range(g.randint(1, 9)))
+        parts = int(THRESHOLD * len(q)) + 1
+        spans = [(i, i + n) for i in range(len(q)) for n in (1, 2, 3) if i + n <= len(q)]
+        cost = {q[a:b]: g.randint(0, 50) for a, b in spans if g.random() < 0.8}
+        best = min(sum(cost.get(q[a:b], 0) for a, b in c) for c in combinations(spans, parts) if all(x[1] <= y[0] for x, y in zip(sorted(c), sorted(c)[1:])))
+        got = cheapest_pieces(q, parts, cost)
+        assert len(got) == parts and sum(cost.get(p, 0) for p in got) == best
+
+
+def test_candidates_are_whole_and_few(spark, monkeypatch):
+    """Every value within the threshold is a candidate, also when a gram that all values share is dealt over several keys."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators import lookup as L
+    from textloom.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    g = random.Random(5)
+    words = ["tool-" + "".join(g.choice("abcdefgh") for _ in range(g.randint(3, 9))) for _ in range(400)]
+    queries = ["".join(c if g.random() > 0.15 else g.choice("abcdefgh-") for c in g.choice(words)) for _ in range(60)] + ["tool-", "a", "zzzz", "to"]
+    values = spark.createDataFrame(list(enumerate(words)), "ord long, value string")
+    texts = spark.createDataFrame([(q, len(q)) for q in sorted(set(queries))], "ql string, m int")
+    want = {(r["ql"], r["ord"]) for r in texts.crossJoin(values).withColumn("d", L.substring_distance(F.col("value"), F.col("ql"), F.col("m")))
+            .where(F.col("d") <= F.floor(F.col("m") * L.THRESHOLD)).collect()}
+    counts = {}
+    for hot in (10_000, 30):
+        monkeypatch.setattr(L, "HOT_GRAM", hot)
+        got = {(r["ql"], r["ord"]) for r in L.fuzzy_candidates(texts, values).collect()}
+        assert want <= got
+        counts[hot] = got
+    assert counts[10_000] == counts[30]
+    # The part that all names share ("tool-") is avoided wherever the rest of a query has pieces enough.
+    even = lambda q: [q[j * len(q) // p:(j + 1) * len(q) // p] for p in [int(L.THRESHOLD * len(q)) + 1] for j in range(p)]
+    plain = sum(any(p in w for p in even(q)) for q in set(queries) for w in words)
+    assert len(counts[30]) < plain

@@ -7,11 +7,12 @@ meets every item.
 Fuzzy score: approximate substring distance (fewest edits turning the query
 into some substring of the name) over the query length; a match needs
 score <= 0.4, i.e. at most k = floor(0.4 m) edits for a query of m
-characters. Candidates come from lossless blocking: the query is cut into k+1
-pieces, and a name within k edits holds at least one piece unchanged. Every
-piece is 1 to 3 characters long (m / (floor(0.4 m) + 1) < 2.5), so the
-item-side index holds the distinct 1-, 2- and 3-grams of each name, and
-candidate pairs are an equi join of pieces to grams. Scores are then exact
+characters. Candidates come from lossless blocking: of any k+1 disjoint pieces of
+the query, a name within k edits holds at least one unchanged. The
+item-side index holds the distinct 1-, 2- and 3-grams of each name with their
+frequency, and each query takes those k+1 pieces of 1 to 3 characters that
+the fewest names hold (dynamic programming, ``cheapest_pieces``). Candidate pairs are an equi
+join of pieces to grams, hot grams dealt over several keys. Scores are then exact
 (``levenshtein`` over the substrings whose length is within k of m).
 
 This score is our own published formula (the reference's comes from an
@@ -20,8 +21,11 @@ external library); orderings can differ from it in close cases.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Threshold and ambiguity gap of the reference, and its texts.
 THRESHOLD = 0.4
@@ -39,13 +43,66 @@ def grams(col: Column, max_n: int = 3) -> Column:
     return F.when(n_chars > 0, F.array_distinct(g)).otherwise(F.array().cast("array<string>"))
 
 
-def pieces(q: Column, m: Column) -> Column:
-    """The k+1 consecutive pieces of the query (k = floor(0.4 m))."""
-    k = F.floor(m * THRESHOLD).cast("int")
-    parts = k + 1
-    return F.transform(F.sequence(F.lit(0), k), lambda j: q.substr(
-        F.floor(j * m / parts).cast("int") + 1,
-        F.floor((j + 1) * m / parts).cast("int") - F.floor(j * m / parts).cast("int")))
+def cheapest_pieces(q: str, parts: int, cost: dict[str, int]) -> list[str]:
+    """``parts`` disjoint pieces of 1 to 3 characters of ``q`` with the least total cost (by gram; absent: 0): dynamic programming over prefixes
+    and numbers of pieces. Characters may be left out: an edit still spoils one piece at most."""
+    n = len(q)
+    best = np.full((n + 1, parts + 1), np.inf)
+    best[:, 0] = 0
+    taken = np.zeros((n + 1, parts + 1), np.int8)  # length of the piece that ends here; 0: the character is left out
+    for i in range(1, n + 1):
+        best[i] = best[i - 1]
+        for size in range(1, min(3, i) + 1):
+            with_piece = np.append(np.inf, best[i - size, :-1] + cost.get(q[i - size:i], 0))
+            better = with_piece < best[i]
+            best[i][better] = with_piece[better]
+            taken[i][better] = size
+    out, i, j = [], n, parts
+    while j:
+        size = int(taken[i, j])
+        if size:
+            out.append(q[i - size:i])
+            j -= 1
+        i -= size or 1
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _pieces(q: pd.Series, gram_lists: pd.Series, counts: pd.Series) -> pd.Series:
+    return pd.Series([sorted(set(cheapest_pieces(t, int(THRESHOLD * len(t)) + 1, dict(zip(g, c))))) for t, g, c in zip(q, gram_lists, counts)])
+
+
+HOT_GRAM = 10_000
+
+
+def gram_index(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index (ord, value, g) of the distinct grams of each value, and how many values hold each gram (g, df)."""
+    index = values.select("ord", "value", F.explode(grams(F.col("value"))).alias("g"))
+    return index, index.groupBy("g").agg(F.count(F.lit(1)).alias("df")).checkpoint(eager=True)
+
+
+def gram_counts(texts: DataFrame, freq: DataFrame) -> DataFrame:
+    """``texts(ql, m)`` with the grams of each that some value holds, ``gs``, and their counts, ``dfs``."""
+    known = texts.select("ql", F.explode(grams(F.col("ql"))).alias("g")).join(freq, "g").groupBy("ql").agg(
+        F.array_sort(F.collect_list(F.struct("df", "g"))).alias("_l"))
+    none = F.array().cast("array<struct<df:bigint,g:string>>")
+    listed = texts.join(known, "ql", "left").withColumn("_l", F.coalesce("_l", none))
+    return listed.select("ql", "m", F.transform("_l", lambda x: x["g"]).alias("gs"), F.transform("_l", lambda x: x["df"]).alias("dfs"))
+
+
+def meet(wanted: DataFrame, index: DataFrame, freq: DataFrame) -> DataFrame:
+    """``wanted(g, ...)`` joined to the index by gram. A gram that more than ``HOT_GRAM`` values hold is dealt over as many keys as it has
+    such shares, and what is wanted of it is repeated for each. The hot grams are a ``HOT_GRAM``-th of the index at most; they are broadcast
+    up to 100,000 of them."""
+    hot = freq.where(F.col("df") > HOT_GRAM).select("g", F.ceil(F.col("df") / HOT_GRAM).cast("int").alias("_shares")).checkpoint(eager=True)
+    n_hot = hot.count()
+    if not n_hot:
+        return wanted.join(index, "g")
+    small = F.broadcast(hot) if n_hot <= 100_000 else hot
+    shares = F.coalesce("_shares", F.lit(1))
+    asked = wanted.join(small, "g", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
+    dealt = index.join(small, "g", "left").withColumn("_share", F.pmod(F.xxhash64("ord", "value"), shares).cast("int")).drop("_shares")
+    return asked.join(dealt, ["g", "_share"]).drop("_share")
 
 
 def substring_distance(text: Column, q: Column, m: Column) -> Column:
@@ -62,9 +119,13 @@ def substring_distance(text: Column, q: Column, m: Column) -> Column:
     return F.when(hi >= lo, d)
 
 
-def _item_grams(values: DataFrame) -> DataFrame:
-    """(ord, value) -> (ord, value, g) for every distinct gram of the value."""
-    return values.select("ord", "value", F.explode(grams(F.col("value"))).alias("g"))
+def fuzzy_candidates(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """(ql, m, ord, value): the values that hold one of the k + 1 pieces of a query text which together are held by the fewest
+    values, and that are long enough. Pieces that no value holds cost nothing and meet nothing."""
+    index, freq = gram_index(values)
+    cut = gram_counts(texts, freq).select("ql", "m", F.explode(_pieces("ql", "gs", "dfs")).alias("g"))
+    long_enough = F.length("value") >= F.col("m") - F.floor(F.col("m") * THRESHOLD)
+    return meet(cut, index, freq).where(long_enough).select("ql", "m", "ord", "value").distinct()
 
 
 def fuzzy_matches(queries: DataFrame, values: DataFrame) -> DataFrame:
@@ -76,9 +137,7 @@ def fuzzy_matches(queries: DataFrame, values: DataFrame) -> DataFrame:
     Scores depend only on the query text, so they are computed once per
     distinct text and joined back to the query ids: repeated queries (and a
     hot query holding a large share of the rows) cost one scoring."""
-    texts = queries.select("ql", "m").distinct()
-    qp = texts.select("ql", "m", F.explode(F.array_distinct(pieces(F.col("ql"), F.col("m")))).alias("g"))
-    cand = qp.join(_item_grams(values), "g").select("ql", "m", "ord", "value").distinct()
+    cand = fuzzy_candidates(queries.select("ql", "m").distinct(), values)
     scored = cand.withColumn("d", substring_distance(F.col("value"), F.col("ql"), F.col("m")))
     k = F.floor(F.col("m") * THRESHOLD)
     per_text = (scored.where(F.col("d") <= k)
@@ -116,11 +175,16 @@ def lookup_cascade(queries: DataFrame, items: DataFrame) -> DataFrame:
         "query_id", F.col("b.tier_no").alias("tier_no"), F.col("b.ord").alias("ord")).checkpoint(eager=True)
 
     rest = live.join(first.select("query_id"), "query_id", "left_anti")
-    # Candidates containing the query: join on the query's first <=3 characters.
-    key = F.when(F.col("m") <= 3, F.col("ql")).otherwise(F.col("ql").substr(1, 3))
-    name_grams = names.select("ord", "nl", F.explode(grams(F.col("nl"))).alias("g"))
-    cand = (rest.withColumn("g", key).join(name_grams, "g")
-            .where(F.col("nl").contains(F.col("ql"))).select("query_id", "ord", "nl", "ql"))
+    # Candidates containing the query: they hold all its grams, so they are met by its rarest one. A text with a gram that no name
+    # holds is in none.
+    index, freq = gram_index(names.select("ord", F.col("nl").alias("value")))
+    texts = rest.select("ql", "m").distinct()
+    size = F.least(F.lit(3), F.col("m"))
+    full = F.filter("gs", lambda g: F.length(g) == size)  # rarest first
+    rare = gram_counts(texts, freq).where(F.size(full) == F.size(F.array_distinct(F.filter(grams(F.col("ql")), lambda g: F.length(g) == size)))) \
+        .select("ql", F.element_at(full, 1).alias("g"))
+    held = meet(rare, index, freq).where(F.col("value").contains(F.col("ql"))).select("ql", "ord", F.col("value").alias("nl"))
+    cand = rest.select("query_id", "ql").join(held, "ql").select("query_id", "ord", "nl", "ql")
     # A2: unique suffix / unique substring (count and first by order)
     suffix = (cand.where(F.col("nl").endswith(F.col("ql"))).groupBy("query_id")
               .agg(F.count(F.lit(1)).alias("c"), F.min("ord").alias("ord"))
