@@ -1064,3 +1064,4 @@ ORACLE["recover_rates"] = f"SELECT route, count(*) AS n FROM {RECOVERED} GROUP B
 from textloom.plans import extra  # noqa: E402
 
 ORACLE.update(extra.ORACLE)
+ORACLE["file_corpus"] = extra.file_corpus_sql()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import MAX_DOWNLOAD_SIZE, bound_text, js_trim
 from textloom.functions.url import REASON_PRIVATE, with_url_screen
+from textloom.sources.heads import file_heads
 
 # Limits and messages of the reference.
 MAX_STDIN_BYTES = 10 * 1024 * 1024
@@ -28,12 +29,11 @@ def byte_gate(df: DataFrame, column: str, limit: int = MAX_STDIN_BYTES, reason:
 def read_text_corpus(spark: SparkSession, path: str, glob: str = "*", limit: int = MAX_DOWNLOAD_SIZE) -> DataFrame:
     """Files as items. The first ``limit`` bytes are decoded leniently
     (malformed bytes become U+FFFD), blank files are rejected, the rest is
-    trimmed and bounded. One row per file; ``binaryFile`` splits the listing
-    across tasks."""
-    raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-           .option("recursiveFileLookup", "true").load(path))
+    trimmed and bounded. One row per file; of a larger file no more than the limit is read
+    (``file_heads``)."""
+    raw = file_heads(spark, path, limit, glob)
     # Lenient UTF-8: malformed bytes become U+FFFD (``decode`` would fail).
-    text = F.make_valid_utf8(F.substring(F.col("content"), 1, limit).cast("string"))
+    text = F.make_valid_utf8(F.col("head").cast("string"))
     return (raw.select(F.col("path").alias("source"), text.alias("_t"))
             .withColumn("ok", F.length(js_trim("_t")) > 0)
             .withColumn("reason", F.when(~F.col("ok"), F.concat(F.lit("File is empty: "), F.col("source"))))
@@ -41,6 +41,11 @@ def read_text_corpus(spark: SparkSession, path: str, glob: str = "*", limit: int
             .drop("_t"))
 
 
+def _or_nothing(key: str, by: Column) -> Column:
+    """A join key that is never NULL: rows without one get one of many that nothing bears, so they spread over all partitions."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\x00"), F.pmod(F.xxhash64(by), F.lit(1 << 16)).cast("string")))
+
+
 def resolve_inputs(requests: DataFrame, snapshots: DataFrame | None = None, files: DataFrame | None = None,
                    args: str = "args", piped: str = "piped") -> DataFrame:
     """S3: the reference's input precedence, per request row.
@@ -75,7 +80,7 @@ def resolve_inputs(requests: DataFrame, snapshots: DataFrame | None = None, file
         f = files.select(F.col("path").alias("_fpath"), F.col("content").alias("_fcontent"),
                          F.col("ok").alias("_fok"), F.col("reason").alias("_freason"))
         df = (df.withColumn("_fkey", F.when(F.col("kind").isNull() & (n == 1), first))
-              .join(f, F.col("_fkey") == F.col("_fpath"), "left")
+              .join(f, _or_nothing("_fkey", F.col("_joined_t")) == F.col("_fpath"), "left")
               .withColumn("kind", F.coalesce(F.col("kind"), F.when(F.col("_fpath").isNotNull(), F.lit("file")))))
     else:
         df = df.withColumn("_fpath", F.lit(None).cast("string")).withColumn("_fcontent", F.lit(None).cast("string")) \
@@ -83,7 +88,7 @@ def resolve_inputs(requests: DataFrame, snapshots: DataFrame | None = None, file
     if snapshots is not None:
         s = snapshots.select(F.col("source").alias("_ukey"), F.col("content").alias("_ucontent"),
                              F.col("ok").alias("_uok"), F.col("reason").alias("_ureason"))
-        df = df.join(s, F.col("_key") == F.col("_ukey"), "left")
+        df = df.join(s, _or_nothing("_key", F.col("_joined_t")) == F.col("_ukey"), "left")
     else:
         df = df.withColumn("_ucontent", F.lit(None).cast("string")).withColumn("_uok", F.lit(None).cast("boolean")) \
             .withColumn("_ureason", F.lit(None).cast("string")).withColumn("_ukey", F.lit(None).cast("string"))
