@@ -330,8 +330,9 @@ def template_catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One configuration JSON document per nation: tools from its suppliers,
-    templates from parts (p_partkey % 25), with faults by key rules (blank
+    """Configuration JSON documents of ten suppliers as tools (s_suppkey / 10) and a
+    hundred parts as templates (p_partkey / 100): more rows make more
+    documents, not longer ones. Faults by key rules (blank
     names and commands, unsafe commands, placeholders, a numeric description,
     a numeric alias)."""
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
@@ -345,7 +346,7 @@ def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.when(k % 11 == 0, F.lit("__NUM__")).otherwise(F.concat(F.lit("s"), k.cast("string"))))
         .alias("aliases")))
     tool = F.replace(tool, F.lit('"__NUM__"'), F.lit("7"))
-    tools = (s.groupBy(F.col("s_nationkey").cast("bigint").alias("config_id"))
+    tools = (s.groupBy(F.floor(k / 10).cast("bigint").alias("config_id"))
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, tool.alias("j")))),
                                            lambda x: x["j"]), ",").alias("tools")))
     q = F.col("p_partkey")
@@ -355,7 +356,7 @@ def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(q % 6 == 3, F.lit("")).otherwise(F.concat(F.lit("echo "), F.col("p_name"), F.lit(" $@"))).alias("command"),
         F.when(q % 9 == 0, F.lit("")).otherwise(F.col("p_type")).alias("description"),
         F.array(F.col("p_brand")).alias("aliases")))
-    temps = (p.groupBy((q % 25).alias("config_id"))
+    temps = (p.groupBy(F.floor(q / 100).cast("bigint").alias("config_id"))
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(q, temp.alias("j")))),
                                            lambda x: x["j"]), ",").alias("templates")))
     both = tools.join(temps, "config_id", "full")
@@ -366,17 +367,18 @@ def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One CCS status table per nation from its suppliers: box tables, box
-    tables with colour codes, or pipe tables by nation % 3; a profile is [OK]
+    """One CCS status table for every ten suppliers (s_suppkey / 10): box tables, box
+    tables with colour codes, or pipe tables by table number % 3; a profile is [OK]
     unless its key is divisible by 3."""
-    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    n = F.col("s_nationkey") % 3
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    log = F.floor(F.col("s_suppkey") / 10).cast("bigint")
+    n = log % 3
     name = F.lower(F.col("s_name"))
     status = F.when(F.col("s_suppkey") % 3 == 0, F.lit("[!]")).otherwise(F.lit("[OK]"))
     bar = F.when(n == 1, F.lit("\x1b[90m│\x1b[39m")).when(n == 0, F.lit("│")).otherwise(F.lit("|"))
     row = F.concat(bar, F.lit(" "), name, F.lit(" "), bar, F.lit(" ~/.ccs/"), name, F.lit(".settings "), bar,
                    F.lit(" "), status, F.lit(" "), bar)
-    g = s.groupBy(F.col("s_nationkey").cast("bigint").alias("log_id")).agg(
+    g = s.groupBy(log.alias("log_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("r")))),
                                  lambda x: x["r"]), "\n").alias("rows"),
         F.first(n).alias("style"))

@@ -667,17 +667,17 @@ TEMPLATE_DEFAULTS = f"""(WITH e AS {TEMPLATES_E},
 
 ORACLE["template_defaults"] = f"SELECT config_id, pos, name, command, description, changed FROM {TEMPLATE_DEFAULTS}"
 
-CONFIG_DOCS = """(WITH t AS (SELECT s_nationkey::BIGINT AS config_id, string_agg(replace(to_json({
+CONFIG_DOCS = """(WITH t AS (SELECT s_suppkey // 10 AS config_id, string_agg(replace(to_json({
       'name': CASE WHEN s_suppkey % 10 = 3 THEN '' ELSE s_name END,
       'command': CASE s_suppkey % 5 WHEN 0 THEN 'tool;rm' WHEN 1 THEN '  ' ELSE 'run-' || s_suppkey END,
       'description': CASE WHEN s_suppkey % 7 = 0 THEN '__NUM__' ELSE 'supplier' END,
       'aliases': [CASE WHEN s_suppkey % 11 = 0 THEN '__NUM__' ELSE 's' || s_suppkey END]})::VARCHAR, '"__NUM__"', '7'), ',' ORDER BY s_suppkey) AS tools
-    FROM supplier GROUP BY s_nationkey),
-  m AS (SELECT p_partkey % 25 AS config_id, string_agg(to_json({'name': p_name,
+    FROM supplier GROUP BY s_suppkey // 10),
+  m AS (SELECT p_partkey // 100 AS config_id, string_agg(to_json({'name': p_name,
       'command': CASE p_partkey % 6 WHEN 0 THEN '$@ run' WHEN 1 THEN 'a $@ b $@' WHEN 2 THEN 'rm -rf /' WHEN 3 THEN ''
                  ELSE 'echo ' || p_name || ' $@' END,
       'description': CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_type END, 'aliases': [p_brand]})::VARCHAR, ',' ORDER BY p_partkey) AS templates
-    FROM part GROUP BY p_partkey % 25)
+    FROM part GROUP BY p_partkey // 100)
   SELECT coalesce(t.config_id, m.config_id) AS config_id,
     '{"tools":[' || coalesce(tools, '') || '],"templates":[' || coalesce(templates, '') || ']}' AS config_json,
     'configs/' || coalesce(t.config_id, m.config_id) || '.json' AS source
@@ -758,7 +758,7 @@ SELECT * REPLACE (to_json(aliases)::VARCHAR AS aliases) FROM (SELECT config_id,
 UNION ALL SELECT config_id, (1::BIGINT << 40) + pos, name, command, description, true, coalesce(aliases, []::VARCHAR[])
 FROM {TEMPLATE_DEFAULTS})"""
 
-STATUS_LOGS = """(WITH s AS (SELECT s_nationkey::BIGINT AS log_id, s_suppkey, s_nationkey % 3 AS style, lower(s_name) AS nm,
+STATUS_LOGS = """(WITH s AS (SELECT s_suppkey // 10 AS log_id, s_suppkey, s_suppkey // 10 % 3 AS style, lower(s_name) AS nm,
     CASE WHEN s_suppkey % 3 = 0 THEN '[!]' ELSE '[OK]' END AS st FROM supplier),
   b AS (SELECT *, CASE style WHEN 1 THEN chr(27) || '[90m│' || chr(27) || '[39m' WHEN 0 THEN '│' ELSE '|' END AS bar FROM s),
   g AS (SELECT log_id, any_value(bar) AS bar, string_agg(bar || ' ' || nm || ' ' || bar || ' ~/.ccs/' || nm || '.settings ' || bar
