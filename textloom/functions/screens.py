@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.stage import let
 from textloom.functions.text import JS_WS, js_trim, utf16_length
 
 _WS_IN = JS_WS[1:-1]  # the class body, for use inside other classes
@@ -52,12 +53,13 @@ def _c(col) -> Column:
 
 def command_rules(col) -> Column:
     """Broken rules of a template/prompt command (empty array = safe)."""
-    t = js_trim(_c(col))
-    rules = [F.when(F.length(t) == 0, F.lit("empty")),
-             F.when(utf16_length(t) > MAX_COMMAND_LENGTH, F.lit("too_long")),
-             F.when((F.length(t) > 0) & ~t.rlike(SAFE_COMMAND), F.lit("characters"))]
-    rules += [F.when(t.rlike(p), F.lit(name)) for name, p in DANGEROUS]
-    return F.array_compact(F.array(*rules))
+    def broken(t: Column) -> Column:
+        rules = [F.when(F.length(t) == 0, F.lit("empty")),
+                 F.when(utf16_length(t) > MAX_COMMAND_LENGTH, F.lit("too_long")),
+                 F.when((F.length(t) > 0) & ~t.rlike(SAFE_COMMAND), F.lit("characters"))]
+        rules += [F.when(t.rlike(p), F.lit(name)) for name, p in DANGEROUS]
+        return F.array_compact(F.array(*rules))
+    return let(js_trim(_c(col)), broken)  # trimmed once, not once a rule
 
 
 def is_safe_command(col) -> Column:

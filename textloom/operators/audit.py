@@ -50,10 +50,11 @@ def expand_templates(df: DataFrame, command: str = "command", args: str = "args"
               .when(F.size(S.argument_rules(a)) > 0, F.lit(INVALID_ARGUMENTS))
               .when(c.contains("$@") & ~has_args & ~has_stdin, F.lit(NEEDS_INPUT))
               .when(n > 1, F.lit(MANY_PLACEHOLDERS))
-              .when(F.size(S.command_tokens(c)) == 0, F.lit(EMPTY_COMMAND)))
-    out = (df.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
-           .withColumn("_input", F.when(has_args, F.array_join(a, " ")).when(has_stdin, p).otherwise(F.lit("")))
-           .withColumn("_tok", F.when(F.col("ok"), S.command_tokens(c))))
+              .when(F.size("_tok") == 0, F.lit(EMPTY_COMMAND)))
+    # Tokens and verdict are pinned: what follows mentions them many times.
+    out = pin(df.withColumn("_tok", S.command_tokens(c)), ["_tok"])
+    out = pin(out.withColumn("reason", reason), ["reason"]).withColumn("ok", F.col("reason").isNull())
+    out = out.withColumn("_input", F.when(has_args, F.array_join(a, " ")).when(has_stdin, p).otherwise(F.lit("")))
     inp, tok = F.col("_input"), F.col("_tok")
     head, rest = F.element_at(tok, 1), F.slice(tok, 2, F.greatest(F.size(tok) - 1, F.lit(0)))
 

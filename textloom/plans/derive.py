@@ -427,10 +427,16 @@ UNSAFE_MARKS = [" && ls", " || true", "; rm x", " $(whoami)", " `whoami`", " sud
 def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents in pieces, split at full stops and line ends: doc_id,
     piece (from 0), text. Every character but the separators is in a piece."""
-    d = read_table(spark, sf_dir, "documents")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.posexplode(F.split("text", r"[.\n]", -1)).alias("piece", "text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores where its files have fewer row groups than there are cores (a small table); else as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
 def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands from the pieces of documents: ASCII letters and
     spaces only, with an unsafe mark chosen by doc_id % 9 (none for 8)."""
