@@ -94,8 +94,8 @@ def meet(wanted: DataFrame, index: DataFrame, freq: DataFrame) -> DataFrame:
     """``wanted(g, ...)`` joined to the index by gram. A gram that more than ``HOT_GRAM`` values hold is dealt over as many keys as it has
     such shares, and what is wanted of it is repeated for each. The hot grams are a ``HOT_GRAM``-th of the index at most; they are broadcast
     up to 100,000 of them."""
-    hot = freq.where(F.col("df") > HOT_GRAM).select("g", F.ceil(F.col("df") / HOT_GRAM).cast("int").alias("_shares")).checkpoint(eager=True)
-    n_hot = hot.count()
+    hot = freq.where(F.col("df") > HOT_GRAM).select("g", F.ceil(F.col("df") / HOT_GRAM).cast("int").alias("_shares"))
+    n_hot = hot.count()  # freq is a written table
     if not n_hot:
         return wanted.join(index, "g")
     small = F.broadcast(hot) if n_hot <= 100_000 else hot
@@ -119,16 +119,17 @@ def substring_distance(text: Column, q: Column, m: Column) -> Column:
     return F.when(hi >= lo, d)
 
 
-def fuzzy_candidates(texts: DataFrame, values: DataFrame) -> DataFrame:
+def fuzzy_candidates(texts: DataFrame, values: DataFrame, grams_of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(ql, m, ord, value): the values that hold one of the k + 1 pieces of a query text which together are held by the fewest
-    values, and that are long enough. Pieces that no value holds cost nothing and meet nothing."""
-    index, freq = gram_index(values)
+    values, and that are long enough. Pieces that no value holds cost nothing and meet nothing. ``grams_of``: the values' ``gram_index``, if
+    it is there already."""
+    index, freq = grams_of or gram_index(values)
     cut = gram_counts(texts, freq).select("ql", "m", F.explode(_pieces("ql", "gs", "dfs")).alias("g"))
     long_enough = F.length("value") >= F.col("m") - F.floor(F.col("m") * THRESHOLD)
     return meet(cut, index, freq).where(long_enough).select("ql", "m", "ord", "value").distinct()
 
 
-def fuzzy_matches(queries: DataFrame, values: DataFrame) -> DataFrame:
+def fuzzy_matches(queries: DataFrame, values: DataFrame, grams_of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, ord, score) for every item value within the threshold; an
     item with several values keeps its best score. ``queries`` has
     query_id, ql (lower-cased query), m (its length > 0); ``values`` has ord,
@@ -137,7 +138,7 @@ def fuzzy_matches(queries: DataFrame, values: DataFrame) -> DataFrame:
     Scores depend only on the query text, so they are computed once per
     distinct text and joined back to the query ids: repeated queries (and a
     hot query holding a large share of the rows) cost one scoring."""
-    cand = fuzzy_candidates(queries.select("ql", "m").distinct(), values)
+    cand = fuzzy_candidates(queries.select("ql", "m").distinct(), values, grams_of)
     scored = cand.withColumn("d", substring_distance(F.col("value"), F.col("ql"), F.col("m")))
     k = F.floor(F.col("m") * THRESHOLD)
     per_text = (scored.where(F.col("d") <= k)
@@ -195,7 +196,7 @@ def lookup_cascade(queries: DataFrame, items: DataFrame) -> DataFrame:
         "query_id", F.col("b.tier_no").alias("tier_no"), F.col("b.ord").alias("ord")).checkpoint(eager=True)
 
     rest2 = rest.join(second.select("query_id"), "query_id", "left_anti")
-    fz = fuzzy_matches(rest2.select("query_id", "ql", "m"), names.select("ord", F.col("nl").alias("value")))
+    fz = fuzzy_matches(rest2.select("query_id", "ql", "m"), names.select("ord", F.col("nl").alias("value")), (index, freq))
     # Rank by (score, ord); ambiguity from the gap between the top two.
     w = Window.partitionBy("query_id").orderBy("score", "ord")
     ranked = (fz.withColumn("rn", F.row_number().over(w))

@@ -123,15 +123,15 @@ def reframe(chunks: DataFrame, keys: list[str], order: str = "chunk_no", data: s
     another character. Malformed bytes become U+FFFD. A null chunk is empty; chunk numbers may have gaps."""
     raw = F.decode(F.coalesce(F.col(data), F.lit(b"")), "ISO-8859-1")
     cut = chunks.select(*keys, F.col(order).cast("long").alias("_o"), F.split(raw, "\n", -1).alias("_p"))
-    cut = cut.withColumn("_b", F.floor(F.col("_o") / SCAN_BLOCK).cast("long")).withColumn("_n", (F.size("_p") - 1).cast("long"))
+    # One exchange serves the scan in the blocks and their totals, so chunks are read once (both sides take the same columns).
+    cut = cut.withColumn("_b", F.floor(F.col("_o") / SCAN_BLOCK).cast("long")).repartition(*keys, "_b").withColumn("_n", (F.size("_p") - 1).cast("long"))
     by_block = Window.partitionBy(*keys, "_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
     by_key = Window.partitionBy(*keys)
-    totals = chunks.groupBy(*keys, F.floor(F.col(order).cast("long") / SCAN_BLOCK).cast("long").alias("_b")).agg(
-        F.sum(F.length(raw) - F.length(F.replace(raw, F.lit("\n")))).cast("long").alias("_lines"))
+    totals = cut.groupBy(*keys, "_b").agg(F.sum("_n").alias("_lines"), F.max("_o").alias("_hi"))
     earlier = F.sum("_lines").over(by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_tb"), F.coalesce(earlier, F.lit(0)).alias("_before"),
+    totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_tb"), "_hi", F.coalesce(earlier, F.lit(0)).alias("_before"),
                            F.sum("_lines").over(by_key).alias("_all"))
-    same = F.col("_b") == F.col("_tb")
+    same = (F.col("_b") == F.col("_tb")) & (F.col("_o") <= F.col("_hi"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     placed = cut.withColumn("_first", F.coalesce(F.sum("_n").over(by_block), F.lit(0))).join(totals, same)
