@@ -96,15 +96,15 @@ def redirect_chains(starts: DataFrame, hops: DataFrame) -> DataFrame:
                         F.lit(0).alias("redirects"))
     cur = with_url_screen(cur, "cur", prefix="_s_").withColumn("reason", F.col("_s_reason")) \
         .withColumn("done", F.col("reason").isNotNull()).drop("_s_scheme", "_s_host", "_s_ok", "_s_reason")
-    cur = cur.checkpoint(eager=True)
+    cur = cur.withColumn("_key", page_key(F.col("cur"))).checkpoint(eager=True)
     finished = [cur.where("done").select("start_id", "source", F.col("cur").alias("final_url"), "redirects", "reason")]
-    live = cur.where(~F.col("done")).select("start_id", "source", "cur", "redirects")
+    live = cur.where(~F.col("done")).select("start_id", "source", "cur", "redirects", "_key")
     # The expressions are large, and the same in each step: they are built once.
     redirect = F.col("_status").between(300, 399)
-    key, screened = page_key(F.col("cur")), url_parts("_next")["reason"]
+    screened = url_parts("_next")["reason"]
     nxt = F.when(redirect & (F.length("_location") > 0), resolve_reference(F.col("cur"), F.col("_location")))
     for step in range(MAX_REDIRECTS + 1):
-        j = pin(live.withColumn("_key", key), ["_key"]).join(h, F.col("_key") == F.col("_hurl"), "left")
+        j = live.join(h, F.col("_key") == F.col("_hurl"), "left").drop("_key")
         j = pin(pin(j.withColumn("_next", nxt), ["_next"]).withColumn("_n_reason", screened), ["_n_reason"])
         reason = (F.when(F.col("_hurl").isNull(), F.lit("Failed to fetch URL: no snapshot"))
                   .when(redirect & F.coalesce(F.length("_location") == 0, F.lit(True)), F.lit(NO_LOCATION))
@@ -118,8 +118,9 @@ def redirect_chains(starts: DataFrame, hops: DataFrame) -> DataFrame:
         stop = F.col("reason").isNotNull() | ~F.col("_redirect")
         finished.append(j.where(stop).select("start_id", "source", F.col("cur").alias("final_url"), "redirects",
                                              "reason"))
-        live = j.where(~stop).select("start_id", "source", F.col("_next").alias("cur"),
-                                     (F.col("redirects") + 1).alias("redirects"))
+        # A resolved URL is its own key but for the fragment.
+        live = j.where(~stop).select("start_id", "source", F.col("_next").alias("cur"), (F.col("redirects") + 1).alias("redirects"),
+                                     F.regexp_replace("_next", "(?s)#.*$", "").alias("_key"))
     out = finished[0]
     for f in finished[1:]:
         out = out.unionByName(f)
