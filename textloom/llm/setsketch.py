@@ -17,8 +17,9 @@ Equal sets have equal registers, and the registers of a union are the element-wi
 5. Components of the links give the result.
 
 Null and empty texts, and those of white space only, have an empty set and are linked with
-nothing. Rows that repeat an identifier count as one document. Rows with a null
-identifier are linked with nothing either, and their component_id is null.
+nothing. Rows that repeat an identifier are one document, with one component, even when their texts differ: whatever
+is linked with one of the texts is linked with all. (A row without words stays alone in any case.) Rows with a null
+identifier are linked with nothing either, and their component_id is null. Identifiers are read as long.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import (cut, link_buckets, lower_ascii, mix64, split_by_slots, text_chunks, window_hashes,
+from textloom.llm.common import (cut, link_buckets, lower_ascii, mix64, split_by_slots, stars, text_chunks, window_hashes,
                                  word_bounds, word_hashes)
 
 SHINGLE, REGISTERS, BAND, BASE, RATE, TOP = 5, 128, 4, 1.005, 20.0, 65_534
@@ -78,8 +79,8 @@ def _sketch(batches):
                 sums[0, full] = np.add.reduceat(mix64(values), starts)
                 sums[1, full] = np.add.reduceat(mix64(values ^ np.uint64(0xA5A5A5A55A5A5A5A)), starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(sizes), *(pa.array(s.view(np.int64)) for s in sums),
-                 pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n", "h1", "h2", "regs"])
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(sizes), *(pa.array(s.view(np.int64)) for s in sums),
+                 pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "t", "n", "h1", "h2", "regs"])
 
 
 def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -135,25 +136,28 @@ def _elements(batches):
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``: documents are linked when
     100 * |intersection| >= percent * |union| of their shingle sets; a component's smallest identifier names it."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = cut(base.mapInArrow(_sketch, "doc_id long, n long, h1 long, h2 long, regs binary"), "sketch")
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
+    sketch = cut(base.mapInArrow(_sketch, "doc_id long, t long, n long, h1 long, h2 long, regs binary"), "sketch")
     key = ["n", "h1", "h2"]
     full = sketch.where("n > 0 and doc_id is not null")
-    classes = cut(full.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = cut(classes.join(full, key).where("rep = doc_id").dropDuplicates(["rep"]).select("rep", "n", "regs"), "reps")
+    # A class is named by a number: its smallest document may be that of other classes too. ``t`` tells the texts of one identifier apart.
+    classes = cut(full.groupBy(*key).agg(F.min(F.struct("doc_id", "t")).alias("least")).select(*key, "least.*")
+                  .withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = cut(classes.join(full, [*key, "doc_id", "t"]).dropDuplicates(["rep"]).select("rep", "doc_id", "t", "n", "regs"), "reps")
     band = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)),
                        lambda i: F.xxhash64(i, F.substr("regs", i * (2 * BAND) + 1, F.lit(2 * BAND))))
     info = lambda n, common: F.struct(n.alias("n"), common.alias("common"))
     rows = reps.select(F.explode(band).alias("key"), F.col("rep").alias("node"), info(F.col("n"), F.col("n")).alias("info"))
-    texts = _TextTable(base)
+    texts = _TextTable(base, reps)
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda c: reps.select(F.col("rep").alias(c), F.col("regs").alias(f"regs_{c}"), F.col("n").alias(f"n_{c}"))
         likely = (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "n_a", "regs_b", "n_b")
                   .mapInArrow(_likely(percent / 100 - MARGIN), "a long, b long"))
         likely = cut(likely, "likely")
-        t = texts.of(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct())
-        text = lambda c: t.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+        t = texts.of(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct())
+        text = lambda c: t.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
         # Joined by b last, so the rows of one b come together and its set is made once.
         return (likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
                 .mapInArrow(_exact(percent), "a long, b long"))
@@ -188,33 +192,49 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return (100 + percent) * F.least(x["n"] - x["at"], y["n"] - y["at"]) >= percent * (x["n"] + y["n"])
 
     comp = link_buckets(rows, verify, possible, refine, "near", (rarest, first_shared))
-    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    members = _one_identifier(comp, full, classes, key)
+    least = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = members.join(least, "component").select("rep", "component_id")
+    named = classes.join(linked, "rep", "left").select(*key, F.coalesce("component_id", "doc_id").alias("component_id"))
     found = full.join(named, key).select("doc_id", "n", "component_id")
-    # One document may come in several rows: its component is the smallest of theirs.
     alone = sketch.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id",
                                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _one_identifier(comp: DataFrame, full: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """(rep, component, doc_id) of the classes linked with others, after linking those that hold texts of one identifier."""
+    several = full.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y")
+    several = cut(several.select("doc_id"), "several")
+    edges = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if not several.isEmpty():
+        of = full.join(several, "doc_id", "left_semi").join(classes.select(*key, "rep"), key).select("doc_id", "rep").distinct()
+        hub = of.groupBy("doc_id").agg(F.min("rep").alias("b"))
+        edges = stars(edges.union(of.join(hub, "doc_id").where("rep <> b").select("rep", "b")), "near")
+    roots = edges.select("b").distinct()
+    members = edges.union(roots.select("b", "b")).toDF("rep", "component")
+    return members.join(classes.select("rep", "doc_id"), "rep")
+
+
 class _TextTable:
-    """Texts of wanted documents, one row per identifier."""
+    """Texts of wanted classes, one row per class."""
 
-    def __init__(self, base: DataFrame):
-        self.base = base
+    def __init__(self, base: DataFrame, reps: DataFrame):
+        self.base, self.reps = base, reps.select("rep", "doc_id", "t")
 
-    def of(self, ids: DataFrame) -> DataFrame:
-        ids = cut(ids, "wanted")
-        some, _ = split_by_slots(self.base, "doc_id", ids)
-        return cut(some.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    def of(self, nodes: DataFrame) -> DataFrame:
+        wanted = cut(self.reps.join(nodes, "rep"), "wanted")
+        some, _ = split_by_slots(self.base, "doc_id", wanted.select("doc_id"))
+        return cut(some.join(wanted, ["doc_id", "t"]).dropDuplicates(["rep"]).select("rep", "text"), "texts")
 
 
 class _ElementTable:
-    """Set elements (node, h) of the documents asked for last."""
+    """Set elements (node, h) of the classes asked for last."""
 
     def __init__(self, texts: _TextTable):
         self.texts, self.table = texts, None
 
     def of(self, nodes: DataFrame) -> DataFrame:
-        found = self.texts.of(nodes.select(F.col("node").alias("doc_id"))).mapInArrow(_elements, "node long, h long")
+        found = self.texts.of(nodes.select(F.col("node").alias("rep"))).mapInArrow(_elements, "node long, h long")
         self.table = cut(found, "elements")
         return self.table
