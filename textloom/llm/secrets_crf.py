@@ -11,6 +11,7 @@ falls into short runs that are decoded exactly on their own.
 
 The field is fitted on windows of all documents: for each kind of pattern the ``MAX_FIT`` windows around its matches that
 hash lowest, and ``FIT_RANDOM`` times as many random ones. So a rare kind is learned too. Pattern matches are the tags to learn.
+A window has ``FIT_TOKENS`` tokens; a shorter text is a window as it is.
 
 Null texts are empty and have no spans. Repeated rows are scanned each. An empty table gives no rows; with
 nothing to fit on, only the patterns find spans. Offsets are code points.
@@ -26,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 MAX_FIT, FIT_TOKENS, FIT_RANDOM, EPOCHS, RATE, DECAY = 6000, 9, 3, 50, 0.5, 1e-4
 CAUTION = 2.0  # by how much the field must favour a secret
-O, B, I = 0, 1, 2
+O, B, I, PAD = 0, 1, 2, -1
 WORDS = 1 << 12  # hashed words
 SHAPES = 6 * 5 * 5 * 4 * 3 * 2
 FILES = 16
@@ -106,7 +108,7 @@ def _byte_spans(spans: list[tuple[int, int, int]], text: str) -> list[tuple[int,
 
 
 def _examples(max_fit: int):
-    """Windows of FIT_TOKENS tokens with kind (random ones: after the last) and rank: feature numbers and tags, flat
+    """Windows of FIT_TOKENS tokens (all of a shorter text) with kind (random ones: after the last) and rank: feature numbers and tags, flat
     lists. A task gives the lowest ranks of each kind only, so its memory stays bounded."""
     limits = [max_fit] * len(KINDS) + [max_fit * FIT_RANDOM]
 
@@ -129,20 +131,21 @@ def _examples(max_fit: int):
                     continue
                 starts, ends, _, x = _token_features(data, offs)
                 n = len(starts)
-                if n < FIT_TOKENS:
+                if not n:
                     continue
+                size = min(n, FIT_TOKENS)
                 y = np.zeros(n, np.int64)
                 for s, e in _byte_spans(spans, text):
                     a, b = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")
                     y[a:b] = I
                     y[a] = B
                 for kind, rank, place, d in wanted:
-                    a = d % (n - FIT_TOKENS + 1) if place is None else max(
-                        0, min(int(np.searchsorted(ends, place, "right")) - FIT_TOKENS // 2, n - FIT_TOKENS))
+                    a = d % (n - size + 1) if place is None else max(
+                        0, min(int(np.searchsorted(ends, place, "right")) - FIT_TOKENS // 2, n - size))
                     if rank in held[kind]:
                         continue
                     held[kind].add(rank)
-                    heapq.heappush(best[kind], (-rank, x[a:a + FIT_TOKENS].astype("<i4").tobytes(), y[a:a + FIT_TOKENS].astype("<i4").tobytes()))
+                    heapq.heappush(best[kind], (-rank, x[a:a + size].astype("<i4").tobytes(), y[a:a + size].astype("<i4").tobytes()))
                     if len(best[kind]) > limits[kind]:
                         held[kind].remove(-heapq.heappop(best[kind])[0])
         for kind, heap in enumerate(best):
@@ -159,40 +162,43 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit
     """Weights (features x 3) and transitions (3 x 3), from the windows of lowest rank: at most ``max_fit`` for each kind of
     pattern, and FIT_RANDOM times as many random ones."""
     found = cut(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _examples(max_fit), "kind int, rank long, x array<int>, y array<int>"), "examples").distinct()
-    order = ["rank", "x", "y"]
-    lowest = [found.where(F.col("kind") == k).orderBy(*order).limit(max_fit * (FIT_RANDOM if k == len(KINDS) else 1)) for k in range(len(KINDS) + 1)]
-    rows = reduce(DataFrame.union, lowest).select("x", "y").toArrow()  # bounded by max_fit
-    if not rows.num_rows:
+        _examples(max_fit), "kind int, rank long, x array<int>, y array<int>"), "examples")
+    limits = [max_fit * (FIT_RANDOM if k == len(KINDS) else 1) for k in range(len(KINDS) + 1)]
+    # Steps of ranks, each 0.3 % wide: at most 16,128 a kind. All but those up to a kind's last step go before any shuffle of windows.
+    step = F.floor(F.log2(F.col("rank") + 1.0) * 256).cast("int")
+    counts = found.select("kind", "rank").distinct().groupBy("kind", step.alias("step")).count().orderBy("kind", "step").collect()
+    last, seen = {}, [0] * len(limits)
+    for row in counts:
+        if seen[row["kind"]] < limits[row["kind"]]:
+            seen[row["kind"]] += row["count"]
+            last[row["kind"]] = row["step"]
+    if not last:
         return np.zeros((FEATURES, 3)), np.zeros((3, 3))
-    x, y = (np.array(rows.column(i).combine_chunks().flatten()).reshape(rows.num_rows, FIT_TOKENS, -1) for i in range(2))
-    every = np.concatenate([x.reshape(len(x), -1), y[:, :, 0]], 1)
-    every = np.unique(every, axis=0)  # one row order, so the same sums, whatever the partitioning
+    near = found.where(reduce(lambda p, q: p | q, [(F.col("kind") == k) & (step <= s) for k, s in last.items()])).distinct()
+    lowest = [near.where(F.col("kind") == k).orderBy("rank", "x", "y").limit(limits[k]) for k in last]
+    rows = reduce(DataFrame.union, lowest).select("x", "y").toArrow()  # bounded by max_fit
+    x, y = np.zeros((rows.num_rows, FIT_TOKENS, len(_OFF) - 1), np.int32), np.full((rows.num_rows, FIT_TOKENS), PAD, np.int32)
+    sizes = pc.list_value_length(rows.column("y")).to_numpy()
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        some = rows.take(pa.array(at))
+        flat = [np.array(some.column(c).combine_chunks().flatten()) for c in "xy"]
+        x[at, :size], y[at, :size] = flat[0].reshape(len(at), size, -1), flat[1].reshape(len(at), size)
+    every = np.unique(np.concatenate([x.reshape(len(x), -1), y], 1), axis=0)  # one row order, so the same sums, whatever the partitioning
     return train(every[:, :-FIT_TOKENS].reshape(len(every), FIT_TOKENS, -1), every[:, -FIT_TOKENS:])
 
 
 def train(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum conditional likelihood by AdaGrad: forward-backward over all windows at once."""
+    """Maximum conditional likelihood by AdaGrad: forward-backward over all windows at once, those of one length
+    together. Tags PAD, at the end of short windows, are no tokens."""
     w, t = np.zeros((FEATURES, 3)), np.zeros((3, 3))
     gw, gt = np.full_like(w, 1e-8), np.full_like(t, 1e-8)
-    n, length, _ = x.shape
-    flat = x.reshape(-1)
-    gold = np.eye(3)[y]
-    gold_t = np.einsum("nli,nlj->ij", gold[:, :-1], gold[:, 1:])
+    n, sizes = len(x), (y != PAD).sum(1)
+    windows = [(x[sizes == k, :k], y[sizes == k, :k]) for k in np.unique(sizes)]
     for _ in range(epochs):
-        e = w[x].sum(2)
-        f, b = np.zeros_like(e), np.zeros_like(e)
-        f[:, 0] = e[:, 0]
-        for k in range(1, length):
-            f[:, k] = e[:, k] + np.logaddexp.reduce(f[:, k - 1, :, None] + t, axis=1)
-        for k in range(length - 2, -1, -1):
-            b[:, k] = np.logaddexp.reduce(t + (e[:, k + 1] + b[:, k + 1])[:, None, :], axis=2)
-        z = np.logaddexp.reduce(f[:, -1], axis=1)[:, None, None]
-        p = np.exp(f + b - z)
-        pair = np.exp(f[:, :-1, :, None] + t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[..., None])
-        slope = np.repeat((gold - p).reshape(-1, 3), x.shape[2], axis=0)
-        dw = np.stack([np.bincount(flat, slope[:, k], FEATURES) for k in range(3)], 1) / n - DECAY * w
-        dt = (gold_t - pair.sum((0, 1))) / n - DECAY * t
+        slopes = [_slope(*window, w, t) for window in windows]
+        dw = sum(s for s, _ in slopes) / n - DECAY * w
+        dt = sum(s for _, s in slopes) / n - DECAY * t
         gw += dw * dw
         gt += dt * dt
         w += RATE * dw / np.sqrt(gw)
@@ -200,6 +206,25 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarra
     return w, t
 
 
+def _slope(x: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log-likelihood of windows of one length, by weights and by transitions."""
+    gold = np.eye(3)[y]
+    length = x.shape[1]
+    e = w[x].sum(2)
+    f, b = np.zeros_like(e), np.zeros_like(e)
+    f[:, 0] = e[:, 0]
+    for k in range(1, length):
+        f[:, k] = e[:, k] + np.logaddexp.reduce(f[:, k - 1, :, None] + t, axis=1)
+    for k in range(length - 2, -1, -1):
+        b[:, k] = np.logaddexp.reduce(t + (e[:, k + 1] + b[:, k + 1])[:, None, :], axis=2)
+    z = np.logaddexp.reduce(f[:, -1], axis=1)[:, None, None]
+    p = np.exp(f + b - z)
+    pair = np.exp(f[:, :-1, :, None] + t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[..., None])
+    slope = np.repeat((gold - p).reshape(-1, 3), x.shape[2], axis=0)
+    by_weight = np.stack([np.bincount(x.reshape(-1), slope[:, k], FEATURES) for k in range(3)], 1)
+    return by_weight, np.einsum("nli,nlj->ij", gold[:, :-1], gold[:, 1:]) - pair.sum((0, 1))
+
+
 def viterbi(e: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Best tags of one sequence of emission scores."""
     score, back = e[0], np.zeros((len(e), 3), np.int64)
