@@ -2,7 +2,8 @@
 
 Documents are tokenised in tasks; words repeat, so each task keeps the ids of the
 chunks and words it has seen (bounded tables) and asks the tokenizer only for new ones. That gives the
-tokenizer's own ids because its pattern never crosses a space or line end.
+tokenizer's own ids because its pattern never crosses a space or line end. New words of letters
+are merged by tiktoken, with the ranks that the tokenizer file states.
 
 Only lengths matter for packing, and there are at most ``capacity`` different ones. The plan
 is made from their histogram, which is the one thing the driver gets: the longest available
@@ -17,8 +18,10 @@ Null identifiers are kept. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -27,12 +30,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import cut, partitions
+from textloom.llm.token_align import byte_alphabet
 
 CAPACITY, END_ID = 4096, 1
 _CHUNKS, _WORDS, _KEEP_CHARS = 300_000, 600_000, 64
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
+def letter_merges(path: str) -> Callable[[str], list[int]] | None:
+    """Ids of a word of Latin-1 letters in lower case, by tiktoken with the merges of a tokenizer file with word ends; None
+    where ids do not follow the merges as in the public file.
+
+    tiktoken knows no word ends. A zero byte, which no such word holds, stands for one: joining a word's last byte
+    with it has a lower rank than any merge, so it comes first, as if the word had begun with its last symbol marked.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, alphabet = spec["model"], byte_alphabet()
+    vocab, end = model["vocab"], model.get("end_of_word_suffix")
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    plain = model["type"] == "BPE" and end and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
+    if not plain or any(vocab.get(a + b) != 512 + k for k, (a, b) in enumerate(merges)):
+        return None
+    if any(vocab.get(c, 512) >= 256 or not 256 <= vocab.get(c + end, 0) < 512 for c in alphabet):
+        return None
+    import tiktoken
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(alphabet[c] for c in t.removesuffix(end)) + b"\0" * t.endswith(end): i for t, i in vocab.items() if t not in special}
+    encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda word: encode(word + "\0")
+
+
 class Chunks(dict):
     """Token ids (little-endian uint32 bytes) of chunks without white space; tables of chunks and words are bounded.
 
@@ -46,10 +74,14 @@ class Chunks(dict):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.letters = letter_merges(path) or self.library
+
+    def library(self, x: str) -> list[int]:
+        return self.tok.encode(x, add_special_tokens=False).ids
 
-    def word(self, x: str) -> bytes:
+    def word(self, x: str, encode: Callable) -> bytes:
         if (ids := self.words.get(x)) is None:
-            ids = np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", encode(x)).tobytes()
             if len(x) <= _KEEP_CHARS:
                 if len(self.words) >= _WORDS:
                     self.words.clear()
@@ -59,11 +91,11 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         core = chunk.rstrip(_SIGNS)
         if core.isalpha() and max(core) < "\u0100":
-            ids = self.word(core.lower())
+            ids = self.word(core.lower(), self.letters)
             if len(core) < len(chunk):
-                ids += self.word(chunk[len(core):])
+                ids += self.word(chunk[len(core):], self.library)
         else:
-            ids = self.word(chunk)
+            ids = self.word(chunk, self.library)
         if len(chunk) <= _KEEP_CHARS:
             if len(self) >= _CHUNKS:
                 self.clear()
