@@ -8,7 +8,7 @@ A task collects the distinct marked words of a batch, sorts them, and walks them
 depth-first order of their trie: the forward scores of a prefix are kept on a stack and reused by all words
 that share it. The forward step at a position is Viterbi over the pieces that end there. For a BPE model the lattice
 is restricted to transitions the merges allow: a piece may follow another only if merging both their texts gives back
-exactly these two. With that restriction one path is left, the one that the merges build, so the result equals the
+exactly these two, which is seen by undoing their merges from the last one back. With that restriction one path is left, the one that the merges build, so the result equals the
 library's own ids (a prefix of a merge result is the merge result of its text, and merges inside two neighbouring
 pieces do not depend on what lies beyond them).
 
@@ -19,7 +19,7 @@ each, other columns pass through. An empty table gives no rows.
 from __future__ import annotations
 
 import re
-from itertools import takewhile
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 SPACE_SIGN = "▁"
-_MAX_WORDS, _MAX_PAIRS = 150_000, 300_000
+_MAX_WORDS, _MAX_PAIRS = 250_000, 300_000
 _BATCH_CHARS = 1 << 20
 
 
@@ -55,15 +55,23 @@ class SharedPrefixEncoder:
                 self.text.append(bytes([int(p.piece[1:-1], 16)]))
             else:
                 self.text.append(b" \xe2\x81\x87 " if p.type == 2 else b"")
+        self.packed = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         long = [p for p in self.ids if len(p) > 1]
         if any(SPACE_SIGN in p.lstrip(SPACE_SIGN) for p in long):
             raise ValueError("a piece crosses a word boundary")
         # Single characters that occur in no longer piece also end a word.
         stop = "" if any("\n" in p for p in long) else "\n"
         self.words = re.compile(f"{SPACE_SIGN}+[^{SPACE_SIGN}{stop}]*|[^{SPACE_SIGN}{stop}]+" + (f"|{stop}" if stop else ""))
-        self.longest = max(map(len, self.ids), default=1)
+        # Lengths, longest first, of the pieces that end with two given characters: the reverse trie's first steps.
+        sizes = defaultdict(set)
+        for p in long:
+            sizes[p[-2:]].add(len(p))
+        self.sizes = {end: sorted(n, reverse=True) for end, n in sizes.items()}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        # Words seen lately, and those of the time before.
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def merges(self, text: str) -> list[str]:
         """Pieces of ``text`` by repeated best merge (leftmost of equals): the definition."""
@@ -73,48 +81,86 @@ class SharedPrefixEncoder:
             if best is None:
                 return parts
             i = -best[1]
+            if len(parts) == 2:
+                self.halves[text] = (parts[0], parts[1])
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
+    def split(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that the last merge of ``piece`` joins; None where its merges do not build it."""
+        if piece not in self.halves:
+            self.halves[piece] = None
+            self.merges(piece)
+        return self.halves[piece]
+
     def allowed(self, left: str, piece: str) -> bool:
-        """May ``piece`` follow ``left`` (empty at a word's start)?"""
+        """May ``piece`` follow ``left`` (empty at a word's start)? Both are undone from their last merges back. Whenever
+        a merge across their border would have come before the merge undone last, it would have joined them."""
+        if len(piece) > 1 and not self.split(piece):
+            return False
+        if not left:
+            return True
+        score = self.score
+        came_after, ties = float("-inf"), False  # score of the merge undone last; does one across win a tie with it?
+        while True:
+            across = score.get(left + piece)
+            if across is not None and (across > came_after or ties and across == came_after):
+                return False
+            if len(left) > 1 and (len(piece) == 1 or score[left] < score[piece]):
+                came_after, ties = score[left], False
+                left = self.split(left)[1]
+            elif len(piece) > 1:
+                came_after, ties = score[piece], True
+                piece = self.split(piece)[0]
+            else:
+                return True
+
+    def follows(self, left: str, piece: str) -> bool:
+        """``allowed``, from a bounded table."""
         key = (left, piece)
         if (ok := self.fits.get(key)) is None:
             if len(self.fits) > _MAX_PAIRS:
                 self.fits.clear()
-            ok = self.fits[key] = self.merges(left + piece) == ([left, piece] if left else [piece])
+            ok = self.fits[key] = self.allowed(left, piece)
         return ok
 
     def learn(self, words: list[str]) -> None:
         """Encode sorted distinct words, reusing the forward scores of shared prefixes."""
         forward: list[tuple[float, str]] = [(0.0, "")]  # best score of each prefix and its last piece
         last = ""
-        score, longest = self.score, self.longest
+        score, sizes, ids, follows = self.score, self.sizes, self.piece_ids, self.follows
         for word in words:
-            shared = sum(1 for _ in takewhile(lambda xy: xy[0] == xy[1], zip(last, word)))
+            shared, most = 0, min(len(last), len(word))
+            while shared < most and last[shared] == word[shared]:
+                shared += 1
             del forward[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                best = None
-                for size in range(min(longest, end), 0, -1):
-                    piece = word[end - size:end]
-                    if (piece in score or size == 1) and self.allowed((before := forward[end - size])[1], piece):
-                        if best is None or before[0] + score.get(piece, 0.0) > best[0]:
-                            best = (before[0] + score.get(piece, 0.0), piece)
+                for size in sizes.get(word[max(end - 2, 0):end], ()):
+                    if size <= end and (piece := word[end - size:end]) in score and follows((before := forward[end - size])[1], piece):
                         break  # the merges leave one path; no other piece can end here
-                forward.append(best)
-            end, ids = len(word), []
+                else:
+                    piece, before = word[end - 1], forward[end - 1]
+                forward.append((before[0] + score.get(piece, 0.0), piece))
+            end, path = len(word), []
             while end:
-                piece = forward[end][1]
-                ids.append([self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode("utf-8", "replace")])
+                path.append(ids(piece := forward[end][1]))
                 end -= len(piece)
-            self.seen[word] = np.array([i for x in reversed(ids) for i in x], "<i4").tobytes()
+            self.seen[word] = b"".join(reversed(path))
             last = word
 
+    def piece_ids(self, piece: str) -> bytes:
+        if (one := self.packed.get(piece)) is None:
+            one = b"".join(self.bytes[b].to_bytes(4, "little") for b in piece.encode("utf-8", "replace"))
+        return one
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian int32 ids of each text."""
         split = [self.words.findall(SPACE_SIGN + t.replace(" ", SPACE_SIGN)) if t else [] for t in texts]
         if len(self.seen) > _MAX_WORDS:
-            self.seen.clear()
-        self.learn(sorted({w for words in split for w in words if w not in self.seen}))
+            self.seen, self.before = {}, self.seen
+        new = {w for words in split for w in words if w not in self.seen}
+        for w in new & self.before.keys():
+            self.seen[w] = self.before[w]
+        self.learn(sorted(new - self.before.keys()))
         return [b"".join(map(self.seen.__getitem__, words)) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
