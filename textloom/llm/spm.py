@@ -62,10 +62,12 @@ class SharedPrefixEncoder:
         # Single characters that occur in no longer piece also end a word.
         stop = "" if any("\n" in p for p in long) else "\n"
         self.words = re.compile(f"{SPACE_SIGN}+[^{SPACE_SIGN}{stop}]*|[^{SPACE_SIGN}{stop}]+" + (f"|{stop}" if stop else ""))
-        # Lengths, longest first, of the pieces that end with two given characters: the reverse trie's first steps.
+        # Lengths, longest first, of the pieces that end with three given characters (or are the last two): the reverse trie's first steps.
         sizes = defaultdict(set)
         for p in long:
-            sizes[p[-2:]].add(len(p))
+            sizes[p[-3:]].add(len(p))
+        for end, n in sizes.items():
+            n.update({2} if end[-2:] in self.ids else ())
         self.sizes = {end: sorted(n, reverse=True) for end, n in sizes.items()}
         self.fits: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
@@ -125,24 +127,27 @@ class SharedPrefixEncoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode sorted distinct words, reusing the forward scores of shared prefixes."""
-        forward: list[tuple[float, str]] = [(0.0, "")]  # best score of each prefix and its last piece
+        forward, tail = [0.0], [""]  # best score of each prefix, and its last piece
         last = ""
-        score, sizes, ids, follows = self.score, self.sizes, self.piece_ids, self.follows
+        score, sizes, fits, ids = self.score, self.sizes, self.fits, self.piece_ids
         for word in words:
             shared, most = 0, min(len(last), len(word))
             while shared < most and last[shared] == word[shared]:
                 shared += 1
-            del forward[shared + 1:]
+            del forward[shared + 1:], tail[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                for size in sizes.get(word[max(end - 2, 0):end], ()):
-                    if size <= end and (piece := word[end - size:end]) in score and follows((before := forward[end - size])[1], piece):
-                        break  # the merges leave one path; no other piece can end here
+                for size in sizes.get(word[max(end - 3, 0):end]) or sizes.get(word[max(end - 2, 0):end], ()):
+                    if size <= end and (piece := word[end - size:end]) in score:
+                        left = tail[end - size]
+                        if (ok := fits.get((left, piece))) or ok is None and self.follows(left, piece):
+                            break  # the merges leave one path; no other piece can end here
                 else:
-                    piece, before = word[end - 1], forward[end - 1]
-                forward.append((before[0] + score.get(piece, 0.0), piece))
+                    piece, size = word[end - 1], 1
+                forward.append(forward[end - size] + score.get(piece, 0.0))
+                tail.append(piece)
             end, path = len(word), []
             while end:
-                path.append(ids(piece := forward[end][1]))
+                path.append(ids(piece := tail[end]))
                 end -= len(piece)
             self.seen[word] = b"".join(reversed(path))
             last = word
