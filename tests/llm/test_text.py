@@ -132,22 +132,27 @@ def edit(a, b):
     return row[-1]
 
 
+def random_word(rng):
+    return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 8))))
+
+
 def test_line_dedup(spark, rng):
-    lines = [" ".join(make_words(rng, int(rng.integers(5, 14)), 5000)) for _ in range(25)]
-    near = [x.replace("w", "W", 2) + "!" for x in lines[:8]] + [x + "q" for x in lines[5:15]] + ["short one"]
-    pool = lines + near
-    rows = [(i, "\n".join(pool[int(k)] for k in rng.integers(0, len(pool), 4))) for i in range(25)] + [(90, None), (91, ""), (92, "\n\n"), (None, lines[0])]
+    """Against all pairs by edit similarity alone; distinct lines below FUZZY_CHARS are not compared."""
+    lines = [" ".join(random_word(rng) for _ in range(int(rng.integers(3, 14)))) for _ in range(25)]
+    pool = lines + [x.title() + "!" for x in lines[:8]] + [x + "q" for x in lines[5:15]] + [x[:9] + x[11:] for x in lines[12:20] if len(x) > 40]
+    pool += ["short one", "les", "let", "Les", "...", ""]
+    rows = [(i, "\n".join(pool[int(k)] for k in rng.integers(0, len(pool), 4))) for i in range(30)] + [(90, None), (91, ""), (92, "\n\n"), (None, lines[0])]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int").repartition(4)
     got = {r["doc_id"]: r["text"] for r in L.line_dedup(df).collect()}
     at = [(i, k, x, L.normalise(x.encode()).decode()) for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) for k, x in enumerate((t or "").split("\n"))]
-    distinct = sorted({n for *_, n in at if n.count(" ") >= 4})
-    sims = dict(zip(distinct, L.simhashes([n.encode() for n in distinct]).tolist()))
+    distinct = sorted({n for *_, n in at if n})
     group = {n: n for n in distinct}
     for a in distinct:
         for b in distinct:
-            if a < b and (sims[a] ^ sims[b]).bit_count() <= 3 and edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            if a < b and min(len(a), len(b)) >= L.FUZZY_CHARS and edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
                 old, new = group[b], group[a]
                 group = {n: new if g == old else g for n, g in group.items()}
+    assert len(set(group.values())) < len(distinct) - 10
     seen, want = set(), {i: [] for i, _ in rows}
     for i, _, x, n in at:
         if n not in group or group[n] not in seen:
@@ -159,13 +164,12 @@ def test_line_dedup(spark, rng):
 
 def near_lines(rng, kinds):
     """(line, near line) pairs of edit similarity at least 0.8, one changed word each, by number of words."""
-    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 8))))
     out = []
     for n, times in kinds:
         while times:
-            a = [word() for _ in range(n)]
+            a = [random_word(rng) for _ in range(n)]
             b = a.copy()
-            b[int(rng.integers(n))] = word()
+            b[int(rng.integers(n))] = random_word(rng)
             a, b = " ".join(a), " ".join(b)
             if a != b and 5 * edit(a, b) <= max(len(a), len(b)):
                 out.append((a, b))
