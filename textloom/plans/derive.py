@@ -77,12 +77,20 @@ def doc_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pin(out, ["content", "category"])
 
 
+def summary_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, mode): the mode of each document, by doc_id % 4. Reads identifiers only."""
+    return mixed_documents(spark, sf_dir).select("doc_id", _mode())
+
+
+def _mode() -> Column:
+    return F.element_at(F.array(*[F.lit(m) for m in MODES]), (F.col("doc_id") % 4 + 1).cast("int")).alias("mode")
+
+
 def summary_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt variables per document: mode by doc_id % 4, an audience for
     every third, a word limit for every other."""
     d = doc_content(spark, sf_dir)
-    modes = F.array(*[F.lit(m) for m in MODES])
-    return (d.withColumn("mode", F.element_at(modes, (F.col("doc_id") % 4 + 1).cast("int")))
+    return (d.withColumn("mode", _mode())
             .withColumn("audience", F.when(F.col("doc_id") % 3 == 0, F.lit("engineers")))
             .withColumn("max_length", F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 50 + 100).cast("int")))
             .withColumn("source_label", F.lit("argument")))

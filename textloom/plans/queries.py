@@ -152,7 +152,7 @@ def q_diff_prompts(spark, sf):
 def q_mode_prompts(spark, sf):
     """Each document's mode joined to the 4-row mode table (broadcast:
     the dimension is fixed at 4 rows)."""
-    v = derive.summary_variables(spark, sf).select("doc_id", "mode")
+    v = derive.summary_modes(spark, sf)
     return v.join(F.broadcast(modes_table(spark)), "mode", "left").select("doc_id", "mode", "instruction")
 
 
