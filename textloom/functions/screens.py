@@ -23,7 +23,8 @@ _B0, _B1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 MAX_COMMAND_LENGTH = 500
 MAX_ARGUMENT_LENGTH = 200
 MAX_COMMAND_NAME_LENGTH = 100
-SAFE_COMMAND = r"^[a-zA-Z0-9._" + _WS_IN + r"\-\"':,!?/\\|$@`()\[\]<>]+\z"
+_SAFE_COMMAND_CLASS = r"[a-zA-Z0-9._" + _WS_IN + r"\-\"':,!?/\\|$@`()\[\]<>]"
+SAFE_COMMAND = "^" + _SAFE_COMMAND_CLASS + r"+\z"
 DANGEROUS = [
     ("chaining_and", r"&&"),
     ("chaining_or", r"\|\|"),
@@ -34,6 +35,9 @@ DANGEROUS = [
     ("rm_rf", _B0 + "rm" + JS_WS + "+-rf" + _B1),
     ("redirect_root", ">" + JS_WS + r"*/"),
 ]
+# What a text must hold for the pattern to match at all: a plain search spares most texts the pattern.
+DANGEROUS_MARK = {"chaining_and": "&&", "chaining_or": "||", "separator": ";", "substitution": "$(", "backtick_command": "`", "sudo": "sudo",
+                  "rm_rf": "-rf", "redirect_root": ">"}
 SAFE_TOOL_COMMAND = r"^[a-zA-Z0-9._" + _WS_IN + r"-]+\z"
 SAFE_ARGUMENT = r"^[a-zA-Z0-9._\-\"/\\@#=" + _WS_IN + r",.:()\[\]{}]+\z"
 SAFE_REF = r"^[a-zA-Z0-9._\-/~^@{}]+\z"
@@ -51,13 +55,19 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _longer(c: Column, limit: int) -> Column:
+    """More than ``limit`` UTF-16 units; a text has at least as many bytes, so short ones are not searched for pairs."""
+    return (F.octet_length(c) > limit) & (utf16_length(c) > limit)
+
+
 def command_rules(col) -> Column:
     """Broken rules of a template/prompt command (empty array = safe)."""
     def broken(t: Column) -> Column:
         rules = [F.when(F.length(t) == 0, F.lit("empty")),
-                 F.when(utf16_length(t) > MAX_COMMAND_LENGTH, F.lit("too_long")),
-                 F.when((F.length(t) > 0) & ~t.rlike(SAFE_COMMAND), F.lit("characters"))]
-        rules += [F.when(t.rlike(p), F.lit(name)) for name, p in DANGEROUS]
+                 F.when(_longer(t, MAX_COMMAND_LENGTH), F.lit("too_long")),
+                 # Letters, digits and spaces, most of a text, are allowed: only the rest is held against the long list.
+                 F.when((F.length(t) > 0) & ~F.regexp_replace(t, r"[\p{Alnum} ]+", "").rlike("^" + _SAFE_COMMAND_CLASS + r"*\z"), F.lit("characters"))]
+        rules += [F.when(t.contains(DANGEROUS_MARK[name]) & t.rlike(p), F.lit(name)) for name, p in DANGEROUS]
         return F.array_compact(F.array(*rules))
     return let(js_trim(_c(col)), broken)  # trimmed once, not once a rule
 
@@ -75,8 +85,8 @@ def argument_rules(col) -> Column:
     """C7 over array<string>: every argument within 200 units and allowed characters."""
     a = _c(col)
     return F.array_compact(F.array(
-        F.when(F.exists(a, lambda x: ~x.rlike(SAFE_ARGUMENT)), F.lit("characters")),
-        F.when(F.exists(a, lambda x: utf16_length(x) > MAX_ARGUMENT_LENGTH), F.lit("too_long"))))
+        F.when(F.exists(a, lambda x: ~(x.rlike(r"^\p{Alnum}+\z") | x.rlike(SAFE_ARGUMENT))), F.lit("characters")),
+        F.when(F.exists(a, lambda x: _longer(x, MAX_ARGUMENT_LENGTH)), F.lit("too_long"))))
 
 
 def ref_rules(col) -> Column:
